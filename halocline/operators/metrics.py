@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from halocline.operators.ordered import scan
+from halocline.operators.ordered import CHUNK, cut, scan
 from halocline.schema import require_columns
 
 
