@@ -77,7 +77,8 @@ def scan(df: DataFrame, by: list[str], order: str, tie: str | None = None, sums:
     """One ordered pass over each group along (order, tie).
 
     `sums` adds running sums (and `<name>_total` per group with `totals`), `before` adds
-    `prev_<c>` from the row before and `after` adds `next_<c>` from the row after.
+    `prev_<c>` from the row before and `after` adds `next_<c>` from the row after. Rows that
+    already carry `_chunk` keep it, so that several scans share one cut.
     """
     by, sums, before, after = list(by), dict(sums or {}), list(before or []), list(after or [])
     rows = df if CHUNK in df.columns else cut(df, order, tie, chunks)
@@ -116,7 +117,7 @@ def scan(df: DataFrame, by: list[str], order: str, tie: str | None = None, sums:
     for b in by:
         on = on & same(b, f"_o_{b}")
     out = local.join(ends, on, "left")
-    cols = [F.col(c) for c in df.columns if c != CHUNK]
+    cols = [F.col(c) for c in df.columns]
     for n in sums:
         cols.append((F.coalesce(F.col(f"_loc_{n}"), F.col(f"_off_{n}") * 0) + F.col(f"_off_{n}")).alias(n))
         if totals:
