@@ -111,10 +111,10 @@ def w2(spark, sf):
     return S.stage_label(track(spark, sf), ["pcode"], "time", "event_id", 120, 1).select("event_id", "stage")
 
 
-@query("w2_session_stages", using("obs", extra=breaks_sql("obs", 120, 1000)) +
+@query("w2_stage_spans", using("obs", extra=breaks_sql("obs", 120, 1000)) +
        'SELECT pcode, min(time) AS start, max(time) AS "last", count(*) AS n FROM st GROUP BY pcode, stage', keys="*")
 def w2b(spark, sf):
-    return S.session_stages(obs(spark, sf), ["pcode"], "time", "120 minutes")
+    return S.stage_spans(obs(spark, sf), ["pcode"], "time", "event_id", 120)
 
 
 @query("a28_stage_bias", using("obs", extra=TRACK + ", " + breaks_sql("track", 120, 1)) +

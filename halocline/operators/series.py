@@ -31,37 +31,39 @@ def _wrapped(a: Column, b: Column, wrap: bool) -> Column:
 
 
 def find_breaks(df: DataFrame, by: list[str], time: str, tie: str | None = None, gap_minutes: float = 2880.0,
-                deg: float = 1.0, strict_reference: bool = False) -> DataFrame:
+                deg: float | None = 1.0, strict_reference: bool = False) -> DataFrame:
     """Add `is_break`: 1 where a stage ends, before a long gap or a jump in position.
 
-    `strict_reference` never tests the first pair, needs a positive gap before the row for a
-    gap break, and does not wrap longitudes.
+    `deg=None` looks at gaps only. `strict_reference` never tests the first pair, needs a
+    positive gap before the row for a gap break, and does not wrap longitudes.
     """
-    at = [time, "lat", "lon"]
+    at = [time] + (["lat", "lon"] if deg is not None else [])
     s = scan(df, by, time, tie, before=[time] if strict_reference else [], after=at)
-    ahead = seconds_between(time, f"next_{time}") / 60.0
-    jump = (F.abs(F.col("next_lat") - F.col("lat")) > deg) | (
-        _wrapped(F.col("next_lon"), F.col("lon"), not strict_reference) > deg)
+    gap = seconds_between(time, f"next_{time}") / 60.0 > gap_minutes
+    jump = F.lit(False)
+    if deg is not None:
+        jump = (F.abs(F.col("next_lat") - F.col("lat")) > deg) | (
+            _wrapped(F.col("next_lon"), F.col("lon"), not strict_reference) > deg)
     if strict_reference:
         back = seconds_between(f"prev_{time}", time) / 60.0
-        cond = F.col(f"prev_{time}").isNotNull() & (((ahead > gap_minutes) & (back > 0)) | jump)
+        cond = F.col(f"prev_{time}").isNotNull() & ((gap & (back > 0)) | jump)
     else:
-        cond = (ahead > gap_minutes) | jump
+        cond = gap | jump
     s = s.withColumn("is_break", F.when(cond, 1).otherwise(0).cast("bigint"))
     return s.drop(f"prev_{time}", *[f"next_{c}" for c in at])
 
 
 def stage_label(df: DataFrame, by: list[str], time: str, tie: str | None = None, gap_minutes: float = 2880.0,
-                deg: float = 1.0, strict_reference: bool = False) -> DataFrame:
+                deg: float | None = 1.0, strict_reference: bool = False) -> DataFrame:
     """Add `stage`: the number of breaks before the row. Both passes share one cut."""
     b = find_breaks(cut(df, time, tie), by, time, tie, gap_minutes, deg, strict_reference)
     return scan(b, by, time, tie, {"stage": F.col("is_break")}, inclusive=False).drop(CHUNK)
 
 
-def session_stages(df: DataFrame, by: list[str], time: str, gap: str) -> DataFrame:
-    """Stages by gap only, as rows (group, start, last, n): Spark's own session windows."""
-    return (df.groupBy(*by, F.session_window(F.col(time).cast("timestamp"), gap).alias("_s"))
-            .agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n")).drop("_s"))
+def stage_spans(df: DataFrame, by: list[str], time: str, tie: str | None = None, gap_minutes: float = 2880.0) -> DataFrame:
+    """Stages by gap only, as rows (group, start, last, n); a gap of exactly the limit does not break."""
+    return (stage_label(df, by, time, tie, gap_minutes, None).groupBy(*by, "stage")
+            .agg(F.min(time).alias("start"), F.max(time).alias("last"), F.count(F.lit(1)).alias("n")).drop("stage"))
 
 
 def stage_bias(df: DataFrame, by: list[str], measured: str, bulk: str, min_n: int = 20) -> DataFrame:
