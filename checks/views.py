@@ -60,7 +60,7 @@ SELECT o_orderkey AS row_id, o_orderdate AS ts, CAST(o_orderkey % 5 AS INT) AS e
   CASE WHEN o_orderkey % 2 = 0 THEN 'Bulk' ELSE 'ANN' END AS flux,
   CASE WHEN o_custkey % 2 = 0 THEN 'kepsilon' ELSE 'kpp' END AS method,
   CAST(CASE WHEN o_custkey % 3 = 0 THEN 10 ELSE 60 END AS INT) AS dt,
-  -1.0E1 - o_totalprice/1.0E4 AS mld, 4.0E0 + o_totalprice/5.0E4 AS sst,
+  -1.0E1 - o_totalprice/9.7E3 AS mld, 4.0E0 + o_totalprice/4.9E4 AS sst,
   (o_orderkey % 401) - 2.0E2 AS q
 FROM {orders}"""
 
