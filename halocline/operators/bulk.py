@@ -210,25 +210,15 @@ def _outputs(rows: DataFrame, version: str, zr: tuple[float, float, float], exte
     }
     if not extended:
         return out
-    z10u, zr_u, zr_t, zr_q = F.lit(10.0), *(F.lit(float(z)) for z in zr)
-
-    def at_u(z):  # stability part of the wind profile between two heights
-        return T.psiu_26(z / s["mol"])
-
-    def at_t(z):
-        return T.psit_26(z / s["mol"])
-
+    st = {n: F.col(f"_st.{n}") for n in ("u", "u10", "ur", "t", "t10", "tr", "qr")}
+    pr = {n: F.col(f"_pr.{n}") for n in ("u10", "t10", "q10", "ur", "tr", "qr")}
     t_c = i["ta"] - KELVIN_SOLVER
-    lapse = i["grav"] / CP_AIR
-    wind = lambda z: i["du"] + s["usr"] / k / gf * (F.log(z / i["zu"]) - at_u(z) + at_u(i["zu"]))
-    temp = lambda z: t_c + s["tsr"] / k * (F.log(z / i["zt"]) - at_t(z) + at_t(i["zt"])) + lapse * (i["zt"] - z)
-    hum = lambda z: 1000.0 * (i["q"] + s["qsr"] / k * (F.log(z / i["zq"]) - at_t(z) + at_t(i["zt"])))
     neutral = lambda zo_h: k * k / F.log(10.0 / s["zo"]) / F.log(10.0 / zo_h)
     p_ref = (lambda z: F.col("p") / 100.0 - 0.125 * z) if version == "3.6" else (lambda z: F.col("p") / 100.0)
     rh = (lambda z, tz, qz: T.rh26(tz, p_ref(z), qz / 1000.0, T.freeze_pt(_input(rows, "ss")))) if version == "3.6" else (
         lambda z, tz, qz: T.rhcalc(tz, p_ref(z), qz / 1000.0))
-    u10, t10, q10 = wind(z10u), temp(z10u), hum(z10u)
-    u10n = u10 + at_u(z10u) * s["usr"] / k / gf
+    u10, t10, q10 = pr["u10"], pr["t10"], pr["q10"]
+    u10n = u10 + st["u10"] * s["usr"] / k / gf
     diffus = 2.11e-5 * F.pow(i["ta"] / KELVIN_SOLVER, F.lit(1.94))
     conduct = (1.0 + 3.309e-3 * t_c - 1.44e-6 * t_c * t_c) * 0.02411 / (i["rhoa"] * CP_AIR)
     slope = i["q"] * i["le"] / (GAS_AIR * i["ta"] * i["ta"])
@@ -246,13 +236,13 @@ def _outputs(rows: DataFrame, version: str, zr: tuple[float, float, float], exte
         "hb": -moist * tv, "hb_sonic": -moist * tsonic, "hl_webb": i["rhoa"] * wbar * i["q"] * i["le"],
         "evap": 3600.0 * out["hl"] / i["le"], "lw_net": -s["lw_net"], "sw_net": i["sw"], "le": i["le"], "rhoa": i["rhoa"],
         "qs": 1000.0 * (i["qs"] - dq_skin), "q": 1000.0 * i["q"],
-        "u_ref": wind(zr_u), "t_ref": temp(zr_t), "q_ref": hum(zr_q), "rh_ref": rh(zr_t, temp(zr_t), hum(zr_q)),
-        "un": i["du"] + at_u(i["zu"]) * s["usr"] / k / gf, "tn": t_c + at_t(i["zt"]) * s["tsr"] / k,
-        "un_ref": wind(zr_u) + at_u(zr_u) * s["usr"] / k / gf, "tn_ref": temp(zr_t) + at_t(zr_t) * s["tsr"] / k,
-        "qn_ref": hum(zr_q) + at_t(zr_q) * 1000.0 * s["qsr"] / k,
-        "u10": u10, "u10n": u10n, "t10": t10, "t10n": t10 + at_t(z10u) * s["tsr"] / k, "q10": q10,
-        "q10n": q10 + at_t(z10u) * 1000.0 * s["qsr"] / k, "rh10": rh(z10u, t10, q10), "p10": p_ref(z10u),
-        "rhoa10": p_ref(z10u) * 100.0 / (GAS_AIR * (t10 + KELVIN_SOLVER) * (1 + 0.61 * q10 / 1000.0)),
+        "u_ref": pr["ur"], "t_ref": pr["tr"], "q_ref": pr["qr"], "rh_ref": rh(F.lit(float(zr[1])), pr["tr"], pr["qr"]),
+        "un": i["du"] + st["u"] * s["usr"] / k / gf, "tn": t_c + st["t"] * s["tsr"] / k,
+        "un_ref": pr["ur"] + st["ur"] * s["usr"] / k / gf, "tn_ref": pr["tr"] + st["tr"] * s["tsr"] / k,
+        "qn_ref": pr["qr"] + st["qr"] * 1000.0 * s["qsr"] / k,
+        "u10": u10, "u10n": u10n, "t10": t10, "t10n": t10 + st["t10"] * s["tsr"] / k, "q10": q10,
+        "q10n": q10 + st["t10"] * 1000.0 * s["qsr"] / k, "rh10": rh(F.lit(10.0), t10, q10), "p10": p_ref(F.lit(10.0)),
+        "rhoa10": p_ref(F.lit(10.0)) * 100.0 / (GAS_AIR * (t10 + KELVIN_SOLVER) * (1 + 0.61 * q10 / 1000.0)),
         "cdn10": neutral(s["zo"]), "chn10": neutral(s["zoq"]), "cen10": neutral(s["zoq"]),
         "h_rain": _input(rows, "rain") * wet_bulb * CP_WATER * (
             (i["ts"] - t_c - skin) + (i["qs"] - i["q"] - dq_skin) * i["le"] / CP_AIR) / 3600.0,
@@ -260,8 +250,28 @@ def _outputs(rows: DataFrame, version: str, zr: tuple[float, float, float], exte
     }
 
 
+def _with_profiles(rows: DataFrame, zr: tuple[float, float, float]) -> DataFrame:
+    """Stability and profile values as columns of their own, so that each is evaluated once."""
+    mol, k = F.col("_s.mol"), VON_KARMAN
+    heights = {"u": F.col("_in.zu"), "u10": F.lit(10.0), "ur": F.lit(float(zr[0]))}
+    thermal = {"t": F.col("_in.zt"), "t10": F.lit(10.0), "tr": F.lit(float(zr[1])), "qr": F.lit(float(zr[2]))}
+    rows = rows.withColumn("_st", F.struct(*[T.psiu_26(z / mol).alias(n) for n, z in heights.items()],
+                                           *[T.psit_26(z / mol).alias(n) for n, z in thermal.items()]))
+    du, zu, zt, zq = (F.col(f"_in.{n}") for n in ("du", "zu", "zt", "zq"))
+    lapse = F.col("_in.grav") / CP_AIR
+    wind = lambda z, n: du + F.col("_s.usr") / k * du / F.col("_s.ut") * (F.log(z / zu) - F.col(f"_st.{n}") + F.col("_st.u"))
+    temp = lambda z, n: (F.col("_in.ta") - KELVIN_SOLVER + lapse * (zt - z)
+                         + F.col("_s.tsr") / k * (F.log(z / zt) - F.col(f"_st.{n}") + F.col("_st.t")))
+    hum = lambda z, n: 1000.0 * (F.col("_in.q") + F.col("_s.qsr") / k * (F.log(z / zq) - F.col(f"_st.{n}") + F.col("_st.t")))
+    ten, ru, rt, rq = F.lit(10.0), *(F.lit(float(z)) for z in zr)
+    return rows.withColumn("_pr", F.struct(
+        wind(ten, "u10").alias("u10"), temp(ten, "t10").alias("t10"), hum(ten, "t10").alias("q10"),
+        wind(ru, "ur").alias("ur"), temp(rt, "tr").alias("tr"), hum(rq, "qr").alias("qr")))
+
+
 def _bulk(df, version, cool_skin, sw_net, humidity, zr, extended, prefix):
     rows = _solve(df, version, cool_skin, sw_net, humidity)
+    rows = _with_profiles(rows, zr) if extended else rows
     out = _outputs(rows, version, zr, extended)
     return rows.select(*df.columns, *[_clean(c).alias(prefix + n) for n, c in out.items()])
 

@@ -43,7 +43,7 @@ def bracket(df: DataFrame, col: str, values: list[float], out: str) -> DataFrame
     on_last = (F.col("_c") == n) & (x == values[-1])
     cell = F.when((F.col("_c") >= 1) & (F.col("_c") < n), F.col("_c") - 1).when(on_last, F.lit(n - 2))
     s = s.withColumn(out, cell)
-    lo, hi = F.lit(values)[F.col(out)], F.lit(values)[F.col(out) + 1]
+    lo, hi = F.get(F.lit(values), F.col(out)), F.get(F.lit(values), F.col(out) + 1)
     return s.withColumn(f"{out}_w", (x - lo) / (hi - lo)).drop("_c")
 
 
