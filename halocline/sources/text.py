@@ -39,7 +39,7 @@ def read_vars(spark: SparkSession, folder: str, files: list[tuple[str, list[str]
 # File names and columns of a station folder.
 STATION_FILES = [
     ("sst.dat", ["sst"]), ("u10.dat", ["ux", "uy"]), ("airt.dat", ["t"]), ("airp.dat", ["p"]), ("hum.dat", ["q"]),
-    ("momentumflux.dat", ["taux", "tauy"]), ("heatflux.dat", ["Q"]), ("swr.dat", ["swr"]), ("lwr.dat", ["lwr"]),
+    ("momentumflux.dat", ["taux", "tauy"]), ("heatflux.dat", ["heat"]), ("swr.dat", ["swr"]), ("lwr.dat", ["lwr"]),
 ]
 
 
