@@ -41,8 +41,8 @@ def floor_time(col: Column | str, freq: str) -> Column:
         return F.make_date(F.year(t), F.month(t), F.lit(1)).cast("timestamp_ntz")
     if unit == "year":
         return F.make_date(F.year(t), F.lit(1), F.lit(1)).cast("timestamp_ntz")
-    w = step_micros(freq)
-    return from_micros(F.floor(micros(t) / F.lit(w)).cast("bigint") * F.lit(w))
+    m = micros(t)
+    return from_micros(m - F.pmod(m, F.lit(step_micros(freq))))
 
 
 def day_of_year(year: Column, month: Column, day: Column) -> Column:

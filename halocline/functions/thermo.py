@@ -25,7 +25,12 @@ def _c(x) -> Column:
 
 
 def _buck(t: Column, p: Column, k: tuple) -> Column:
-    return k[0] * F.exp(k[1] * t / (k[2] + t)) * (k[3] + k[4] * p)
+    return k[0] * F.exp(ratio(k[1] * t, k[2] + t)) * (k[3] + k[4] * p)
+
+
+def ratio(a, b) -> Column:
+    """Division that gives NULL, not an error, where the divisor is zero."""
+    return F.try_divide(_c(a), _c(b))
 
 
 def _polynomial(x: Column, coefs) -> Column:
@@ -43,34 +48,34 @@ def qsat(t, p_mb) -> Column:
 def qsea(sst, p_mb) -> Column:
     """Saturation specific humidity at the sea surface, g/kg."""
     e = SEA_FACTOR * qsat(sst, p_mb)
-    return 622.0 * e / (_c(p_mb) - 0.378 * e)
+    return ratio(622.0 * e, _c(p_mb) - 0.378 * e)
 
 
 def vapour_pressure(q, p_mb) -> Column:
-    return _c(p_mb) * _c(q) / (0.622 + 0.378 * _c(q))
+    return ratio(_c(p_mb) * _c(q), 0.622 + 0.378 * _c(q))
 
 
 def rhcalc(t, p_mb, q) -> Column:
     """Relative humidity in % from specific humidity in kg/kg."""
-    return 100.0 * vapour_pressure(q, p_mb) / qsat(t, p_mb)
+    return ratio(100.0 * vapour_pressure(q, p_mb), qsat(t, p_mb))
 
 
 def qair(t, p_mb, rh) -> Column:
     """Struct (q g/kg, e mb) from relative humidity."""
     e = _c(rh) / 100.0 * qsat(t, p_mb)
-    return F.struct((621.97 * e / (_c(p_mb) - 0.378 * e)).alias("q"), e.alias("e"))
+    return F.struct(ratio(621.97 * e, _c(p_mb) - 0.378 * e).alias("q"), e.alias("e"))
 
 
 def rhoa(t, p_mb, rh) -> Column:
     """Moist-air density, kg/m3."""
     vapour = _c(rh) * qsat(t, p_mb)
     dry = 100.0 * _c(p_mb) - vapour
-    return (MOL_DRY * dry + MOL_VAPOUR * vapour) / (GAS * (_c(t) + 273.15))
+    return ratio(MOL_DRY * dry + MOL_VAPOUR * vapour, GAS * (_c(t) + 273.15))
 
 
 def rhod(t, p_mb) -> Column:
     """Dry-air density, kg/m3."""
-    return 100.0 * _c(p_mb) / (GAS_DRY * (_c(t) + 273.15))
+    return ratio(100.0 * _c(p_mb), GAS_DRY * (_c(t) + 273.15))
 
 
 def grv(lat) -> Column:
@@ -162,17 +167,17 @@ def bucksat(t, p_mb, tf) -> Column:
 def qsat26sea(t, p_mb, ss, tf) -> Column:
     """Specific humidity at the surface of water of a salinity, g/kg."""
     e = (1.0 - 0.02 * _c(ss) / 35.0) * bucksat(t, p_mb, tf)
-    return 622.0 * e / (_c(p_mb) - 0.378 * e)
+    return ratio(622.0 * e, _c(p_mb) - 0.378 * e)
 
 
 def qsat26air(t, p_mb, rh) -> Column:
     """Struct (q g/kg, e mb) of air; relative humidity is over ice below 0 degC."""
     e = 0.01 * _c(rh) * bucksat(t, p_mb, 0.0)
-    return F.struct((622.0 * e / (_c(p_mb) - 0.378 * e)).alias("q"), e.alias("e"))
+    return F.struct(ratio(622.0 * e, _c(p_mb) - 0.378 * e).alias("q"), e.alias("e"))
 
 
 def rh26(t, p_mb, q, tf) -> Column:
-    return 100.0 * vapour_pressure(q, p_mb) / bucksat(t, p_mb, tf)
+    return ratio(100.0 * vapour_pressure(q, p_mb), bucksat(t, p_mb, tf))
 
 
 # --- other closed forms --------------------------------------------------------------------
@@ -193,12 +198,12 @@ def rho0(salt, temp) -> Column:
 
 def log_ratio(z0, z1, z2) -> Column:
     """Ratio of logarithmic wind profiles at two heights above roughness `z0`."""
-    return F.log(_c(z1) / _c(z0)) / F.log(_c(z2) / _c(z0))
+    return ratio(F.log(ratio(z1, z0)), F.log(ratio(z2, z0)))
 
 
 def normal_pdf(x, mu, sd) -> Column:
-    d = (_c(x) - _c(mu)) / _c(sd)
-    return F.exp(-0.5 * d * d) / (_c(sd) * math.sqrt(2.0 * math.pi))
+    d = ratio(_c(x) - _c(mu), sd)
+    return ratio(F.exp(-0.5 * d * d), _c(sd) * math.sqrt(2.0 * math.pi))
 
 
 def with_rh(df, t: str = "tair", p_pa: str | None = "p", q: str = "qair", constant_mb: float = 1010.0):

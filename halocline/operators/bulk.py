@@ -170,13 +170,13 @@ def _solve(df: DataFrame, version: str, cool_skin: bool, sw_net: Column | None,
                                          lapse.alias("lapse"), le.alias("le"), al.alias("al"), be.alias("be"),
                                          cool.alias("cool"), light.alias("sw")))
     x = {n: F.col(f"_pre.{n}") for n in ("q", "qs", "p_at", "ice", "grav", "lapse", "le", "al", "be", "cool", "sw")}
-    rhoa = x["p_at"] * 100.0 / (GAS_AIR * kelvin * (1 + 0.61 * x["q"]))
+    rhoa = T.ratio(x["p_at"] * 100.0, GAS_AIR * kelvin * (1 + 0.61 * x["q"]))
     x |= {
         "du": F.col("U"), "zu": F.col("zu"), "zt": F.col("zt"), "zq": F.col("zq"), "ta": kelvin, "ts": ts,
         "dt": ts - t - x["lapse"] * F.col("zt"), "dq": x["qs"] - x["q"], "zi": _input(df, "zi"), "rhoa": rhoa,
         "visa": 1.326e-5 * (1 + 6.542e-3 * t + 8.301e-6 * t * t - 4.84e-9 * t * t * t),
-        "wetc": 0.622 * x["le"] * x["qs"] / (GAS_AIR * (ts + KELVIN_SOLVER) ** 2),
-        "bigc": 16.0 * x["grav"] * CP_WATER * (RHO_WATER * VISC_WATER) ** 3 / (COND_WATER**2 * rhoa**2),
+        "wetc": T.ratio(0.622 * x["le"] * x["qs"], GAS_AIR * (ts + KELVIN_SOLVER) ** 2),
+        "bigc": T.ratio(16.0 * x["grav"] * CP_WATER * (RHO_WATER * VISC_WATER) ** 3, COND_WATER**2 * rhoa**2),
         "lw": _input(df, "lw"), "cp": _input(df, "cp"), "sig": _input(df, "sigh"),
     }
     names = list(x)
@@ -200,49 +200,49 @@ def _outputs(rows: DataFrame, version: str, zr: tuple[float, float, float], exte
     s = {n: F.col(f"_s.{n}") for n in SCALES}
     k = VON_KARMAN
     skin, dq_skin = s["dt_skin"] * i["cool"], i["wetc"] * s["dt_skin"] * i["cool"]
-    gf = s["ut"] / i["du"]
-    tau = i["rhoa"] * s["usr"] * s["usr"] / gf
+    calm = T.ratio(i["du"], s["ut"])          # share of the mean wind in the gusty wind
+    tau = i["rhoa"] * s["usr"] * s["usr"] * calm
     out = {
         "tau": tau, "hs": -i["rhoa"] * CP_AIR * s["usr"] * s["tsr"], "hl": -i["rhoa"] * i["le"] * s["usr"] * s["qsr"],
-        "cd": tau / i["rhoa"] / s["ut"] / F.greatest(F.lit(0.1), i["du"]),
-        "ch": -s["usr"] * s["tsr"] / s["ut"] / (i["dt"] - skin),
-        "ce": -s["usr"] * s["qsr"] / s["ut"] / (i["dq"] - dq_skin),
+        "cd": T.ratio(tau, i["rhoa"] * s["ut"] * F.greatest(F.lit(0.1), i["du"])),
+        "ch": T.ratio(-s["usr"] * s["tsr"], s["ut"] * (i["dt"] - skin)),
+        "ce": T.ratio(-s["usr"] * s["qsr"], s["ut"] * (i["dq"] - dq_skin)),
     }
     if not extended:
         return out
     st = {n: F.col(f"_st.{n}") for n in ("u", "u10", "ur", "t", "t10", "tr", "qr")}
     pr = {n: F.col(f"_pr.{n}") for n in ("u10", "t10", "q10", "ur", "tr", "qr")}
     t_c = i["ta"] - KELVIN_SOLVER
-    neutral = lambda zo_h: k * k / F.log(10.0 / s["zo"]) / F.log(10.0 / zo_h)
+    neutral = lambda zo_h: T.ratio(F.lit(k * k), F.log(T.ratio(10.0, s["zo"])) * F.log(T.ratio(10.0, zo_h)))
     p_ref = (lambda z: F.col("p") / 100.0 - 0.125 * z) if version == "3.6" else (lambda z: F.col("p") / 100.0)
     rh = (lambda z, tz, qz: T.rh26(tz, p_ref(z), qz / 1000.0, T.freeze_pt(_input(rows, "ss")))) if version == "3.6" else (
         lambda z, tz, qz: T.rhcalc(tz, p_ref(z), qz / 1000.0))
     u10, t10, q10 = pr["u10"], pr["t10"], pr["q10"]
-    u10n = u10 + st["u10"] * s["usr"] / k / gf
+    u10n = u10 + st["u10"] * s["usr"] / k * calm
     diffus = 2.11e-5 * F.pow(i["ta"] / KELVIN_SOLVER, F.lit(1.94))
-    conduct = (1.0 + 3.309e-3 * t_c - 1.44e-6 * t_c * t_c) * 0.02411 / (i["rhoa"] * CP_AIR)
-    slope = i["q"] * i["le"] / (GAS_AIR * i["ta"] * i["ta"])
-    wet_bulb = 1.0 / (1.0 + 0.622 * slope * i["le"] * diffus / (CP_AIR * conduct))
+    conduct = T.ratio((1.0 + 3.309e-3 * t_c - 1.44e-6 * t_c * t_c) * 0.02411, i["rhoa"] * CP_AIR)
+    slope = T.ratio(i["q"] * i["le"], GAS_AIR * i["ta"] * i["ta"])
+    wet_bulb = T.ratio(1.0, 1.0 + T.ratio(0.622 * slope * i["le"] * diffus, CP_AIR * conduct))
     moist = i["rhoa"] * CP_AIR * s["usr"]
     tv = (s["tsr"] * (1 + 0.61 * i["q"]) if version == "3.6" else s["tsr"]) + 0.61 * i["ta"] * s["qsr"]
     tsonic = (s["tsr"] * (1 + 0.51 * i["q"]) if version == "3.6" else s["tsr"]) + 0.51 * i["ta"] * s["qsr"]
-    wbar = 1.61 * out["hl"] / i["le"] / (1 + 1.61 * i["q"]) / i["rhoa"] + out["hs"] / i["rhoa"] / CP_AIR / i["ta"]
+    wbar = T.ratio(1.61 * out["hl"], i["le"] * (1 + 1.61 * i["q"]) * i["rhoa"]) + T.ratio(out["hs"], i["rhoa"] * CP_AIR * i["ta"])
     caps = F.when(u10 < 2.1, 1e-5).when(u10n >= 2, 0.00073 * F.pow(F.greatest(u10n - 2, F.lit(0.0)), F.lit(1.43)))
     caps = F.when(i["ice"] > 0, 0.0).when(
-        i["cp"].isNotNull(), 0.0016 * F.pow(u10n, F.lit(1.1)) / F.sqrt(i["cp"] / u10n)).otherwise(caps)
+        i["cp"].isNotNull(), T.ratio(0.0016 * F.pow(u10n, F.lit(1.1)), F.sqrt(T.ratio(i["cp"], u10n)))).otherwise(caps)
     return out | {
         "usr": s["usr"], "tsr": s["tsr"], "qsr": s["qsr"], "zo": s["zo"], "zot": s["zoq"], "zoq": s["zoq"], "mol": s["mol"],
         "zeta": s["zeta"], "gust": s["gust"], "dt_skin": skin, "dq_skin": 1000.0 * dq_skin, "dz_skin": s["dz_skin"],
         "hb": -moist * tv, "hb_sonic": -moist * tsonic, "hl_webb": i["rhoa"] * wbar * i["q"] * i["le"],
-        "evap": 3600.0 * out["hl"] / i["le"], "lw_net": -s["lw_net"], "sw_net": i["sw"], "le": i["le"], "rhoa": i["rhoa"],
+        "evap": T.ratio(3600.0 * out["hl"], i["le"]), "lw_net": -s["lw_net"], "sw_net": i["sw"], "le": i["le"], "rhoa": i["rhoa"],
         "qs": 1000.0 * (i["qs"] - dq_skin), "q": 1000.0 * i["q"],
         "u_ref": pr["ur"], "t_ref": pr["tr"], "q_ref": pr["qr"], "rh_ref": rh(F.lit(float(zr[1])), pr["tr"], pr["qr"]),
-        "un": i["du"] + st["u"] * s["usr"] / k / gf, "tn": t_c + st["t"] * s["tsr"] / k,
-        "un_ref": pr["ur"] + st["ur"] * s["usr"] / k / gf, "tn_ref": pr["tr"] + st["tr"] * s["tsr"] / k,
+        "un": i["du"] + st["u"] * s["usr"] / k * calm, "tn": t_c + st["t"] * s["tsr"] / k,
+        "un_ref": pr["ur"] + st["ur"] * s["usr"] / k * calm, "tn_ref": pr["tr"] + st["tr"] * s["tsr"] / k,
         "qn_ref": pr["qr"] + st["qr"] * 1000.0 * s["qsr"] / k,
         "u10": u10, "u10n": u10n, "t10": t10, "t10n": t10 + st["t10"] * s["tsr"] / k, "q10": q10,
         "q10n": q10 + st["t10"] * 1000.0 * s["qsr"] / k, "rh10": rh(F.lit(10.0), t10, q10), "p10": p_ref(F.lit(10.0)),
-        "rhoa10": p_ref(F.lit(10.0)) * 100.0 / (GAS_AIR * (t10 + KELVIN_SOLVER) * (1 + 0.61 * q10 / 1000.0)),
+        "rhoa10": T.ratio(p_ref(F.lit(10.0)) * 100.0, GAS_AIR * (t10 + KELVIN_SOLVER) * (1 + 0.61 * q10 / 1000.0)),
         "cdn10": neutral(s["zo"]), "chn10": neutral(s["zoq"]), "cen10": neutral(s["zoq"]),
         "h_rain": _input(rows, "rain") * wet_bulb * CP_WATER * (
             (i["ts"] - t_c - skin) + (i["qs"] - i["q"] - dq_skin) * i["le"] / CP_AIR) / 3600.0,
@@ -255,14 +255,14 @@ def _with_profiles(rows: DataFrame, zr: tuple[float, float, float]) -> DataFrame
     mol, k = F.col("_s.mol"), VON_KARMAN
     heights = {"u": F.col("_in.zu"), "u10": F.lit(10.0), "ur": F.lit(float(zr[0]))}
     thermal = {"t": F.col("_in.zt"), "t10": F.lit(10.0), "tr": F.lit(float(zr[1])), "qr": F.lit(float(zr[2]))}
-    rows = rows.withColumn("_st", F.struct(*[T.psiu_26(z / mol).alias(n) for n, z in heights.items()],
-                                           *[T.psit_26(z / mol).alias(n) for n, z in thermal.items()]))
+    rows = rows.withColumn("_st", F.struct(*[T.psiu_26(T.ratio(z, mol)).alias(n) for n, z in heights.items()],
+                                           *[T.psit_26(T.ratio(z, mol)).alias(n) for n, z in thermal.items()]))
     du, zu, zt, zq = (F.col(f"_in.{n}") for n in ("du", "zu", "zt", "zq"))
     lapse = F.col("_in.grav") / CP_AIR
-    wind = lambda z, n: du + F.col("_s.usr") / k * du / F.col("_s.ut") * (F.log(z / zu) - F.col(f"_st.{n}") + F.col("_st.u"))
+    wind = lambda z, n: du + F.col("_s.usr") / k * T.ratio(du, F.col("_s.ut")) * (F.log(T.ratio(z, zu)) - F.col(f"_st.{n}") + F.col("_st.u"))
     temp = lambda z, n: (F.col("_in.ta") - KELVIN_SOLVER + lapse * (zt - z)
-                         + F.col("_s.tsr") / k * (F.log(z / zt) - F.col(f"_st.{n}") + F.col("_st.t")))
-    hum = lambda z, n: 1000.0 * (F.col("_in.q") + F.col("_s.qsr") / k * (F.log(z / zq) - F.col(f"_st.{n}") + F.col("_st.t")))
+                         + F.col("_s.tsr") / k * (F.log(T.ratio(z, zt)) - F.col(f"_st.{n}") + F.col("_st.t")))
+    hum = lambda z, n: 1000.0 * (F.col("_in.q") + F.col("_s.qsr") / k * (F.log(T.ratio(z, zq)) - F.col(f"_st.{n}") + F.col("_st.t")))
     ten, ru, rt, rq = F.lit(10.0), *(F.lit(float(z)) for z in zr)
     return rows.withColumn("_pr", F.struct(
         wind(ten, "u10").alias("u10"), temp(ten, "t10").alias("t10"), hum(ten, "t10").alias("q10"),
@@ -341,15 +341,15 @@ def exchange_coeffs(df: DataFrame, sources: dict[str, tuple[Column, Column, Colu
     base = df.withColumns({
         "qsea": T.qsea("tsea", c("p") / 100.0) / 1000.0, "le": (2.501 - 0.00237 * c("tsea")) * 1e6,
         "thetav": (c("tair") + KELVIN) * (1 + 0.61 * c("qair")),
-    }).withColumn("rhoair", (c("p") - 12.5 * c("zq")) / (GAS_AIR * c("thetav")))
+    }).withColumn("rhoair", T.ratio(c("p") - 12.5 * c("zq"), GAS_AIR * c("thetav")))
     out = {}
     for tag, (tau, hs, hl) in sources.items():
         out[f"{tag}CE"] = F.try_divide(hl, c("U") * (c("qair") - c("qsea")) * c("le") * c("rhoair"))
         out[f"{tag}CT"] = F.try_divide(hs, c("U") * (c("tair") + 0.0098 * c("zt") - c("tsea")) * CP_AIR * c("rhoair"))
         out[f"{tag}CD"] = F.try_divide(tau, c("U") * c("U") * c("rhoair"))
     if {"taucx", "hsc", "hlc"} <= set(df.columns):
-        buoy = VON_KARMAN * 9.8 * (c("hsc") / CP_AIR / c("thetav") + 0.61 * c("hlc") / c("le") + 1e-8)
-        ratio = c("taucx") / c("rhoair")
+        buoy = VON_KARMAN * 9.8 * (T.ratio(c("hsc"), CP_AIR * c("thetav")) + T.ratio(0.61 * c("hlc"), c("le")) + 1e-8)
+        ratio = T.ratio(c("taucx"), c("rhoair"))
         out["MOL"] = F.when(ratio >= 0, F.try_divide(c("taucx") * F.sqrt(F.when(ratio >= 0, ratio)), buoy))
     return base.withColumns(out).drop("qsea", "le", "thetav")
 

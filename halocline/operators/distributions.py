@@ -36,7 +36,7 @@ def histogram(df: DataFrame, col: str, edges: list[float], w: str | None = None,
     # at most len(edges) rows per group are left here
     total = at.groupBy(*by).agg(F.sum("weight").alias("_all"))
     joined = at.join(total, list(by)) if by else at.join(F.broadcast(total))
-    return joined.withColumn("density", F.col("weight") / F.col("_all") / (F.col("right") - F.col("left"))).drop("_all")
+    return joined.withColumn("density", F.try_divide(F.col("weight"), F.col("_all") * (F.col("right") - F.col("left")))).drop("_all")
 
 
 def extent(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
@@ -58,7 +58,7 @@ def hex_density(df: DataFrame, x: str, y: str, n: int = 50, min_count: int = 1,
         box = tuple(rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
     xmin, xmax, ymin, ymax = box
     m = int(n / math.sqrt(3))
-    sx, sy = (xmax - xmin) / n, (ymax - ymin) / m
+    sx, sy = (xmax - xmin) / n or 1.0, (ymax - ymin) / m or 1.0
     u, v = (F.col("x") - xmin) / sx, (F.col("y") - ymin) / sy
     i1, j1, i2, j2 = F.rint(u), F.rint(v), F.floor(u).cast("double"), F.floor(v).cast("double")
     d1 = (u - i1) ** 2 + 3.0 * (v - j1) ** 2
@@ -74,7 +74,7 @@ def kernel_width(df: DataFrame, cols: list[str], w: str | None = None) -> tuple[
     """Covariance of a Gaussian kernel by Scott's rule, the weight total and the row count."""
     wt = weighted(w)
     aggs = [F.sum(wt).alias("s"), F.sum(wt * wt).alias("s2"), F.count(F.lit(1)).alias("n")]
-    aggs += [(F.sum(wt * F.col(c)) / F.sum(wt)).alias(f"m{i}") for i, c in enumerate(cols)]
+    aggs += [F.try_divide(F.sum(wt * F.col(c)), F.sum(wt)).alias(f"m{i}") for i, c in enumerate(cols)]
     first = df.dropna("any", subset=cols).agg(*aggs).first()
     mean = [first[f"m{i}"] for i in range(len(cols))]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
@@ -150,6 +150,6 @@ def compare_distributions(df: DataFrame, cols: dict[str, list[float]], campaign:
 
 def raw_exchange(df: DataFrame, flux: str, u: str, dt: Column, eps: float = 1e-8, limit: float = 100.0) -> DataFrame:
     """Mean and std of -flux/(U+eps)/(dT+eps) after the outlier guard."""
-    ch = -F.col(flux) / (F.col(u) + eps) / (dt + eps)
+    ch = F.try_divide(F.try_divide(-F.col(flux), F.col(u) + eps), dt + eps)
     kept = df.withColumn("ch", ch).filter(F.abs("ch") < limit)
     return kept.agg(F.avg("ch").alias("mean"), F.stddev_pop("ch").alias("std"), F.count("ch").alias("n"))

@@ -49,7 +49,7 @@ def mse_r2_weighted(df: DataFrame, pred: str, truth: str, w: str, by: list[str]
 
 def residual(pred: str, truth: str, var: str) -> Column:
     """Error in units of the predicted standard deviation, prediction minus truth."""
-    return (F.col(pred) - F.col(truth)) / F.sqrt(F.col(var))
+    return F.try_divide(F.col(pred) - F.col(truth), F.sqrt(F.col(var)))
 
 
 def residual_moments(df: DataFrame, pred: str, truth: str, var: str, w: str | None = None,
@@ -199,4 +199,4 @@ def weight_share(df: DataFrame, w: str, by: list[str]) -> DataFrame:
     parts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("s"))
     total = parts.agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
     return parts.join(F.broadcast(total)).select(
-        *by, (F.col("n") / F.col("_n")).alias("unweighted"), (F.col("s") / F.col("_s")).alias("weighted"))
+        *by, F.try_divide("n", "_n").alias("unweighted"), F.try_divide("s", "_s").alias("weighted"))

@@ -161,9 +161,9 @@ def autocorr(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None
 def lag_corr(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None = None, by: list[str] = ()) -> DataFrame:
     """Pearson correlation of the series with itself `lag` rows later, each lag centred anew."""
     s = _lag_sums(df, col, max_lag, order, tie, list(by)).filter("lag > 0")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    va = F.col("sxx") - F.col("sx") ** 2 / F.col("n")
-    vb = F.col("syy") - F.col("sy") ** 2 / F.col("n")
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    va = F.col("sxx") - F.try_divide(F.col("sx") ** 2, F.col("n"))
+    vb = F.col("syy") - F.try_divide(F.col("sy") ** 2, F.col("n"))
     return s.select(*by, "lag", F.try_divide(cov, F.sqrt(va * vb)).alias("r"))
 
 
@@ -171,7 +171,7 @@ def corr_time(ac: DataFrame, by: list[str] = ()) -> DataFrame:
     """Correlation time from the lag nearest to 1/e, and from lag 1."""
     k = F.min_by("lag", F.struct(F.abs(F.col("r") - math.exp(-1.0)), F.col("lag")))
     out = ac.groupBy(*by).agg(k.alias("k"), F.max(F.when(F.col("lag") == 1, F.col("r"))).alias("r1"))
-    return out.select(*by, "k", F.when(F.col("k") > 0, 1.0 / (1.0 - F.exp(-1.0 / F.col("k")))).alias("t_fold"),
+    return out.select(*by, "k", F.when(F.col("k") > 0, F.try_divide(F.lit(1.0), 1.0 - F.exp(F.try_divide(F.lit(-1.0), F.col("k"))))).alias("t_fold"),
                       F.try_divide(F.lit(1.0), 1.0 - F.col("r1")).alias("t_lag1"))
 
 
