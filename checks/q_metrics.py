@@ -72,8 +72,7 @@ def a5(spark, sf):
     "SELECT pcode, taucx AS x, weight AS wa, 0e0 AS wb FROM obs_ok UNION ALL "
     "SELECT pcode, taubx, 0e0, 1e0 FROM obs_ok")) + "SELECT * FROM w_d", keys="pcode")
 def a5b(spark, sf):
-    o = obs(spark, sf)
-    return M.wasserstein(M.two_samples(o, "taucx", o, "taubx", "weight", None, ["pcode"]), ["pcode"])
+    return M.wasserstein(M.two_columns(obs(spark, sf), "taucx", "taubx", "weight", None, ["pcode"]), ["pcode"])
 
 
 @query("a6_evaluate", using("obs", extra=f"{OK}, {NORMALS}, " + _wd(f"{RES} UNION ALL {REF}")) + """

@@ -75,7 +75,7 @@ def s7(spark, sf):
 
 
 def dump_line(seconds, cols):
-    return F.concat_ws(" ", seconds, *[F.format_string("%.9f", c) for c in cols])
+    return F.concat_ws(" ", seconds, *[c.cast("string") for c in cols])
 
 
 def profile_lines(start):
@@ -157,7 +157,7 @@ def s12(spark, sf):
     body = F.sort_array(F.collect_list(F.struct("z", "temp")))
     blocks = prof_s(spark, sf).groupBy("pid", "ts").agg(body.alias("b"))
     head = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.size("b").cast("string"), F.lit(" 2"))
-    rest = F.transform("b", lambda r: F.format_string("%.2f %.9f", r["z"], r["temp"]))
+    rest = F.transform("b", lambda r: F.concat_ws(" ", r["z"].cast("string"), r["temp"].cast("string")))
     blocks.select(F.concat_ws("\n", head, F.concat_ws("\n", rest)).alias("value")).write.text(path)
     return R.read_profile_blocks(spark, path)
 

@@ -88,9 +88,17 @@ def scan(df: DataFrame, by: list[str], order: str, tie: str | None = None, sums:
     for name, val in sums.items():
         rows = rows.withColumn(f"_v_{name}", val)
 
+    # One row per (group, chunk). Without a tie column all aggregation buffers are plain
+    # numbers, so the partial aggregation hashes instead of sorting.
     aggs = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
-    aggs += [F.max_by("_row", place).alias("_last"), F.min_by("_row", place).alias("_first")] if borrowed else []
-    ends = rows.groupBy(*by, CHUNK).agg(*aggs)
+    if tie is None:
+        aggs += [F.max_by(c, order).alias(f"_l_{c}") for c in before] + [F.min_by(c, order).alias(f"_f_{c}") for c in after]
+        last, first = F.struct(*[F.col(f"_l_{c}").alias(c) for c in before]), F.struct(*[F.col(f"_f_{c}").alias(c) for c in after])
+    else:
+        aggs += [F.max_by("_row", place).alias("_last")] if before else []
+        aggs += [F.min_by("_row", place).alias("_first")] if after else []
+        last, first = F.col("_last"), F.col("_first")
+    ends = rows.groupBy(*by, CHUNK).agg(*(aggs or [F.count(F.lit(1)).alias("_rows")]))
     whole = W.partitionBy(*by)
     along = whole.orderBy(CHUNK)
     carry = [F.col(b).alias(f"_o_{b}") for b in by] + [F.col(CHUNK).alias("_o_chunk")]
@@ -100,8 +108,8 @@ def scan(df: DataFrame, by: list[str], order: str, tie: str | None = None, sums:
         carry.append(F.coalesce(upto, zero).alias(f"_off_{n}"))
         if totals:
             carry.append(F.coalesce(F.sum(f"_t_{n}").over(whole), zero).alias(f"{n}_total"))
-    if borrowed:
-        carry += [F.lag("_last").over(along).alias("_pl"), F.lead("_first").over(along).alias("_nf")]
+    carry += [F.lag(last).over(along).alias("_pl")] if before else []
+    carry += [F.lead(first).over(along).alias("_nf")] if after else []
     ends = ends.select(*carry)
 
     inside = W.partitionBy(*by, CHUNK).orderBy(*([F.col(order)] + ([F.col(tie)] if tie else [])))
@@ -122,8 +130,8 @@ def scan(df: DataFrame, by: list[str], order: str, tie: str | None = None, sums:
         cols.append((F.coalesce(F.col(f"_loc_{n}"), F.col(f"_off_{n}") * 0) + F.col(f"_off_{n}")).alias(n))
         if totals:
             cols.append(F.col(f"{n}_total"))
-    cols += [F.coalesce("_p", "_pl")[c].alias(f"prev_{c}") for c in before]
-    cols += [F.coalesce("_n", "_nf")[c].alias(f"next_{c}") for c in after]
+    cols += [F.when(F.col("_p").isNotNull(), F.col("_p")[c]).otherwise(F.col("_pl")[c]).alias(f"prev_{c}") for c in before]
+    cols += [F.when(F.col("_n").isNotNull(), F.col("_n")[c]).otherwise(F.col("_nf")[c]).alias(f"next_{c}") for c in after]
     return out.select(*cols)
 
 

@@ -204,16 +204,22 @@ def fill_nearest(df: DataFrame, col: str, order: str, tie: str | None = None, by
                  name: str | None = None) -> DataFrame:
     """Missing values take the nearest present value by position; the earlier one wins a tie."""
     by = list(by)
-    rows = cut(row_index(df, by, order, tie, "_i"), "_i")
+    rows = row_index(cut(df, order, tie), by, order, tie, "_i")
+    have = F.when(F.col(col).isNotNull(), F.col("_i"))
     rows = rows.withColumn("_at", F.when(F.col(col).isNotNull(), F.struct("_i", F.col(col).alias("v"))))
-    along = W.partitionBy(*by).orderBy(CHUNK)
-    ends = rows.groupBy(*by, CHUNK).agg(F.max("_at").alias("_l"), F.min("_at").alias("_f"))
+    ends = rows.groupBy(*by, CHUNK).agg(F.max(have).alias("_li"), F.max_by(col, have).alias("_lv"),
+                                        F.min(have).alias("_fi"), F.min_by(col, have).alias("_fv"))
+    pair = lambda i, v: F.when(F.col(i).isNotNull(), F.struct(F.col(i).alias("_i"), F.col(v).alias("v")))
+    earlier = W.partitionBy(*by).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    later = W.partitionBy(*by).orderBy(F.desc(CHUNK)).rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select(*[F.col(b).alias(f"_o_{b}") for b in by], F.col(CHUNK).alias("_o_chunk"),
-                       F.max("_l").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_pl"),
-                       F.min("_f").over(along.rowsBetween(1, W.unboundedFollowing)).alias("_nf"))
-    inside = W.partitionBy(*by, CHUNK).orderBy("_i")
-    rows = (rows.withColumn("_p", F.max("_at").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-            .withColumn("_n", F.min("_at").over(inside.rowsBetween(0, W.unboundedFollowing))))
+                       F.last(pair("_li", "_lv"), ignorenulls=True).over(earlier).alias("_pl"),
+                       F.last(pair("_fi", "_fv"), ignorenulls=True).over(later).alias("_nf"))
+    # both directions as running frames; a frame open to the end would be quadratic
+    up = W.partitionBy(*by, CHUNK).orderBy("_i").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*by, CHUNK).orderBy(F.desc("_i")).rowsBetween(W.unboundedPreceding, 0)
+    rows = (rows.withColumn("_p", F.last("_at", ignorenulls=True).over(up))
+            .withColumn("_n", F.last("_at", ignorenulls=True).over(down)))
     on = F.col(CHUNK) == F.col("_o_chunk")
     for b in by:
         on = on & same(b, f"_o_{b}")
