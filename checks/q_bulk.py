@@ -103,9 +103,27 @@ def b3(spark, sf):
     return B.bulk35(obs(spark, sf), extended=False).select("event_id", "tau", "hs", "hl", "cd", "ch", "ce")
 
 
-@query("b3_bulk_35_all_outputs")
+TEN = f"""x AS (SELECT *, U/ut AS calm, {psiu('zu/l')} AS pu, {psiu('1e1/l')} AS pu10, {psit('zt/l')} AS pt, {psit('1e1/l')} AS pt10 FROM sol),
+  y AS (SELECT *, U + usr/0.4e0*calm*(ln(1e1/zu)-pu10+pu) AS w10, tair + tsr/0.4e0*(ln(1e1/zt)-pt10+pt) + g/1004.67e0*(zt-1e1) AS t10,
+    1e3*(q + qsr/0.4e0*(ln(1e1/zq)-pt10+pt)) AS q10 FROM x)
+  SELECT event_id, o_tau AS tau, o_hs AS hs, o_hl AS hl, o_cd AS cd, o_ch AS ch, o_ce AS ce, usr, tsr, qsr, zo, zoq, l AS mol, zu/l AS zeta,
+    sk AS dt_skin, 1e3*wetc*sk AS dq_skin, rhoa, le, 1e3*q AS q, 1e3*(qs-wetc*sk) AS qs, 36e2*o_hl/le AS evap, w10 AS u10, t10, q10,
+    w10 + pu10*usr/0.4e0*calm AS u10n, t10 + pt10*tsr/0.4e0 AS t10n, q10 + pt10*1e3*qsr/0.4e0 AS q10n,
+    1e2*((mb*q10/1e3)/(0.622e0+0.378e0*q10/1e3))/({es('t10', 'mb')}) AS rh10,
+    U + pu*usr/0.4e0*calm AS un, 0.16e0/pow(ln(1e1/zo),2) AS cdn10, 0.16e0/(ln(1e1/zo)*ln(1e1/zoq)) AS chn10,
+    -rhoa*1004.67e0*usr*(tsr+0.61e0*ta*qsr) AS hb, -rhoa*1004.67e0*usr*(tsr+0.51e0*ta*qsr) AS hb_sonic,
+    rhoa*(1.61e0*o_hl/le/(1e0+1.61e0*q)/rhoa + o_hs/rhoa/1004.67e0/ta)*q*le AS hl_webb, 0.095e0*rhoa*(w10 + pu10*usr/0.4e0*calm)*usr*usr AS dissipation
+  FROM y"""
+ALL35 = ["event_id", "tau", "hs", "hl", "cd", "ch", "ce", "usr", "tsr", "qsr", "zo", "zoq", "mol", "zeta", "dt_skin", "dq_skin", "rhoa", "le", "q", "qs",
+         "evap", "u10", "t10", "q10", "u10n", "t10n", "q10n", "rh10", "un", "cdn10", "chn10", "hb", "hb_sonic", "hl_webb", "dissipation"]
+
+
+@query("b3_bulk_35_all_outputs", using("obs", extra=OK + solver_sql("3.5", cool=True) + ", " + TEN.split("\n  SELECT event_id")[0])
+       + "SELECT event_id" + TEN.split("\n  SELECT event_id")[1], keys="event_id", digits=4)
 def b3b(spark, sf):
-    return B.bulk35(obs(spark, sf).select("event_id", "U", "tsea", "tair", "rh", "p", "zu", "zt", "zq", "lat")).drop("U", "tsea", "tair")
+    o = obs(spark, sf).select("event_id", "U", "tsea", "tair", "rh", "p", "zu", "zt", "zq", "lat")
+    return B.bulk35(o, prefix="_o_").select(
+        "event_id", *[F.col(f"_o_{c}").alias(c) for c in ALL35[1:]])
 
 
 @query("b4_profile_at_height", using("obs", extra=OK + solver_sql()) + f""", pr AS (SELECT event_id, U, ut, usr, tsr, qsr, l, zu, zt, zq, tair, q, g,
@@ -133,7 +151,15 @@ def b5(spark, sf):
     return B.bulk_grid(o, "mask").select("event_id", "hlb", "hsb", "tau_bx", "tau_by")
 
 
-@query("b6_compare_algorithms")
+def _algo(name, version, cool):
+    return (f"SELECT * FROM (WITH {solver_sql(version, humidity='qair', cool=cool)} "
+            f"SELECT '{name}' AS algo, event_id, -o_hl AS hlb, -o_hs AS hsb, o_tau AS taubx FROM sol) AS {name}")
+
+
+ALGOS = " UNION ALL ".join(_algo(*a) for a in (("bulk36", "3.6", False), ("bulk35", "3.5", True), ("bulk35_noskin", "3.5", False)))
+
+
+@query("b6_compare_algorithms", using("obs", extra=OK.rstrip(", ")) + ALGOS, keys="algo, event_id", digits=6)
 def b6(spark, sf):
     o = obs(spark, sf).select("event_id", "U", "tsea", "tair", "qair", "p", "zu", "zt", "zq", "lat")
     return B.compare_algos(o, ["bulk36", "bulk35", "bulk35_noskin"]).select("algo", "event_id", "hlb", "hsb", "taubx")

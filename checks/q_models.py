@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from checks import models as N
 from checks.models import net_sql
+from checks.q_bulk import solver_sql
+from checks.q_fields import MEAN
 from checks.q_functions import RH as _RH
+from checks.q_sampling import nrm
 from checks.registry import query
 from checks.views import table, using, view
 from halocline.functions import thermo as T
@@ -186,18 +189,48 @@ def l2a(spark, sf):
     return prepared_state(station(spark, sf), "2024-01-03", "2024-01-20").select("datetime", "tsea", "tair", "U", "heat", "zu")
 
 
-@query("l2_forcing_heat", digits=6)
+STATE_RH = "1e2*((p/1e2)*q/(0.622e0+0.378e0*q))/(6.1121e0*exp(17.502e0*t/(240.97e0+t))*(1.0007e0+p/1e2*3.46e-6))"
+STATE = f"""s AS (SELECT *, sqrt(ux*ux+uy*uy) AS U, ux/sqrt(ux*ux+uy*uy) AS c, uy/sqrt(ux*ux+uy*uy) AS sn, {STATE_RH} AS rh FROM station
+     WHERE time >= TIMESTAMP '2024-01-03' AND time < TIMESTAMP '2024-01-21'),
+  w AS (SELECT time_bucket(INTERVAL 3 HOUR, time, TIMESTAMP '1970-01-01') AS datetime, avg(U) AS U, avg(sst) AS tsea, avg(t) AS tair, avg(rh) AS rh,
+     avg(p) AS p, avg(lwr) AS lwr, avg(c) AS c, avg(sn) AS sn FROM s GROUP BY 1),
+  st AS (SELECT *, row_number() OVER (ORDER BY datetime) - 1 AS i, {net_sql(N.SH, 'mean')} + {net_sql(N.LH, 'mean')} + lwr AS heat,
+     sqrt({net_sql(N.SH, 'var')} + {net_sql(N.LH, 'var')}) AS sd_heat, {net_sql(N.M, 'mean')}*c AS taux, {net_sql(N.M, 'mean')}*sn AS tauy,
+     abs(sqrt({net_sql(N.M, 'var')})*c) AS sd_taux, abs(sqrt({net_sql(N.M, 'var')})*sn) AS sd_tauy FROM w)"""
+
+
+def _noise(flux, seed, members):
+    """Red noise with a = 0.95 on the 3-hourly state, as a sum over all earlier innovations."""
+    return f"""b_{flux} AS (SELECT m::INT AS ensem, i, CASE WHEN i = 0 THEN 1e0 ELSE {math.sqrt(1 - 0.95 * 0.95)!r}::DOUBLE END*sd_{flux}*{nrm(seed, 'i', 'm')} AS b
+     FROM st CROSS JOIN range(1, {members + 1}) t(m)),
+  e_{flux} AS (SELECT c.ensem, c.i, sum(p.b*pow(0.95e0, c.i-p.i)) AS eps FROM b_{flux} c JOIN b_{flux} p ON p.ensem = c.ensem AND p.i <= c.i GROUP BY 1, 2)"""
+
+
+@query("l2_forcing_heat", using("station", extra=STATE + ", " + _noise("heat", 5, 4)) +
+       "SELECT ensem, datetime, heat + eps AS heat FROM st JOIN e_heat USING (i)", keys="ensem, datetime", digits=6)
 def l2(spark, sf):
     return build_forcing(station(spark, sf), {"SH": N.SH, "LH": N.LH, "M": N.M}, "2024-01-03", "2024-01-20", members=4, seed=5,
                          path=scratch(spark, "forcing"))
 
 
-@query("l2_forcing_momentum", digits=6)
+@query("l2_forcing_momentum", using("station", extra=STATE + ", " + _noise("taux", 5, 3) + ", " + _noise("tauy", 7, 3)) +
+       """SELECT x.ensem, datetime, taux + x.eps AS taux, tauy + y.eps AS tauy FROM st JOIN e_taux x USING (i)
+  JOIN e_tauy y ON y.i = st.i AND y.ensem = x.ensem""", keys="ensem, datetime", digits=6)
 def l2c(spark, sf):
     return build_forcing(station(spark, sf), {"SH": N.SH, "LH": N.LH, "M": N.M}, "2024-01-03", "2024-01-20", "momentum", members=3, seed=5)
 
 
-@query("l6_global_map", digits=6)
+CELLS = """air AS (SELECT point_id, lat, lon, 3+air/2 AS ux, 4-air/3 AS uy, 12+air/2 AS Ta FROM points),
+  cell AS (SELECT a.* EXCLUDE (Ta), b.sst AS tsea, a.Ta AS tair, 0.007e0 AS qair, 101325e0 AS p, sqrt(ux*ux+uy*uy) AS U, 1e1 AS zu, 1e1 AS zt, 1e1 AS zq
+     FROM air a JOIN b USING (point_id) WHERE b.n = 4), """
+COLS = ["U", "tsea", "tair", "rh_", "p"]
+
+
+@query("l6_global_map", using("grid", "points", extra=MEAN + ", " + CELLS + solver_sql(src="cell", humidity="qair")) + f""",
+  z AS (SELECT *, {_RH} AS rh_ FROM sol)
+  SELECT point_id, lat, lon, {net_sql(N.SH, 'mean', COLS)} AS Qs, {net_sql(N.LH, 'mean', COLS)} AS Ql, {net_sql(N.M, 'mean', COLS)}*ux/U AS taux,
+    {net_sql(N.M, 'mean', COLS)}*uy/U AS tauy, -o_hs AS hsb, -o_hl AS hlb,
+    {net_sql(N.SH, 'mean', COLS)} + {net_sql(N.LH, 'mean', COLS)} + o_hs + o_hl AS dq FROM z""", keys="point_id", digits=6)
 def l6(spark, sf):
     ocean = view(spark, sf, "grid").groupBy("lat", "lon").agg(F.avg("sst").alias("sst"))
     air = view(spark, sf, "points").select("point_id", "lat", "lon", (3 + F.col("air") / 2).alias("ux"), (4 - F.col("air") / 3).alias("uy"),
