@@ -46,10 +46,11 @@ def d2(spark, sf):
 
 @query("d3_weighted_resample", using("obs") + f"""
   , e AS (SELECT event_id, sum(weight) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)/(SELECT sum(weight) FROM obs) AS hi FROM obs),
-  d AS (SELECT {uni(3, 'i')} AS u FROM range(10000) t(i))
+  d AS (SELECT {uni(3, 'event_id')} AS u FROM obs)
   SELECT event_id, count(*) AS copies FROM (SELECT e.event_id FROM d ASOF JOIN e ON d.u < e.hi) GROUP BY event_id""", keys="*")
 def d3(spark, sf):
-    return D.resample_rows(obs(spark, sf), "event_id", 10000, 3, "weight", expand=False).select("event_id", "copies")
+    o = obs(spark, sf)
+    return D.resample_rows(o, "event_id", o.count(), 3, "weight", expand=False).select("event_id", "copies")
 
 
 @query("d6_synthetic_fluxes", f"""WITH s AS (SELECT event_id, 5e0*sqrt(-2e0*ln(1e0-{uni(11, 'event_id')})) AS u,

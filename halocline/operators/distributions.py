@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from halocline.operators.metrics import weighted
 from halocline.operators.quality import regime
@@ -34,9 +34,8 @@ def histogram(df: DataFrame, col: str, edges: list[float], w: str | None = None,
     if not density:
         return at
     # at most len(edges) rows per group are left here
-    total = at.groupBy(*by).agg(F.sum("weight").alias("_all"))
-    joined = at.join(total, list(by)) if by else at.join(F.broadcast(total))
-    return joined.withColumn("density", F.try_divide(F.col("weight"), F.col("_all") * (F.col("right") - F.col("left")))).drop("_all")
+    whole = at.withColumn("_all", F.sum("weight").over(W.partitionBy(*by)) if by else at.select(F.sum("weight")).scalar())
+    return whole.withColumn("density", F.try_divide(F.col("weight"), F.col("_all") * (F.col("right") - F.col("left")))).drop("_all")
 
 
 def extent(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:

@@ -9,11 +9,12 @@ execution splits it, or `salt` spreads it beforehand.
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 from itertools import product
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from halocline.operators.ordered import order_key
 
@@ -47,6 +48,15 @@ def bracket(df: DataFrame, col: str, values: list[float], out: str) -> DataFrame
     return s.withColumn(f"{out}_w", (x - lo) / (hi - lo)).drop("_c")
 
 
+def _literal(df: DataFrame, axis: str, value: float):
+    """An axis value as a literal of the axis type."""
+    kind = df.schema[axis].dataType
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
+        at = datetime(1970, 1, 1) + timedelta(microseconds=int(value))
+        return F.lit(str(at)).cast("timestamp_ntz").cast(kind)
+    return F.lit(value).cast(kind)
+
+
 def interp_at(points: DataFrame, grid: DataFrame, axes: dict[str, str], cols: list[str],
               values: dict[str, list[float]] | None = None, salt: int = 1) -> DataFrame:
     """Multilinear interpolation of `cols` of `grid` at `points`.
@@ -66,7 +76,13 @@ def interp_at(points: DataFrame, grid: DataFrame, axes: dict[str, str], cols: li
         pts = bracket(pts, c, known[a], names[a])
     inside = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cell])
 
+    # Only the part of the field around the points is read: these ranges reach the scan.
+    reach = pts.filter(inside).agg(*[f(names[a]).alias(f"{names[a]}_{t}") for a in axes for t, f in (("lo", F.min), ("hi", F.max))]).first()
     nodes = grid
+    for a in axes:
+        lo, hi = reach[f"{names[a]}_lo"], reach[f"{names[a]}_hi"]
+        if lo is not None:
+            nodes = nodes.filter(F.col(a).between(_literal(grid, a, known[a][lo]), _literal(grid, a, known[a][hi + 1])))
     for a in axes:
         nodes = _step(nodes, a, known[a], f"_n{names[a]}").withColumn(f"_n{names[a]}", F.col(f"_n{names[a]}") - 1)
     nodes = nodes.select(*[f"_n{c}" for c in cell], *[F.col(c).alias(f"_g_{c}") for c in cols])

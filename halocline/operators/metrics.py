@@ -117,7 +117,7 @@ def evaluate(df: DataFrame, pred: str, truth: str, var: str, bulk: str, w: str |
         wmean(r, wt).alias("res_mean"), wmean(r * r, wt).alias("res_var"),
         wmean(eb, wt).alias("bulk_mse"), (1 - F.try_divide(wmean(eb, wt), spread)).alias("bulk_r2"))
     wd = wasserstein_normal(rows, r, w, by)
-    return scores.join(wd, list(by), "left") if by else scores.join(F.broadcast(wd), F.lit(True), "left")
+    return scores.join(wd, list(by), "left") if by else scores.withColumn("wd", wd.select("wd").scalar())
 
 
 def bias(df: DataFrame, pred: str, truth: str, bulk: str, w: str | None = None, by: list[str] = ()) -> DataFrame:
@@ -204,8 +204,7 @@ def score_scaled(df: DataFrame, pred: str, truth: str, var: str, w: str, by: lis
 
 
 def weight_share(df: DataFrame, w: str, by: list[str]) -> DataFrame:
-    """Share of rows next to share of weight per group; the totals are a one-row table."""
+    """Share of rows next to share of weight per group."""
     parts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("s"))
-    total = parts.agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"))
-    return parts.join(F.broadcast(total)).select(
-        *by, F.try_divide("n", "_n").alias("unweighted"), F.try_divide("s", "_s").alias("weighted"))
+    n, s = parts.select(F.sum("n")).scalar(), parts.select(F.sum("s")).scalar()
+    return parts.select(*by, F.try_divide(F.col("n"), n).alias("unweighted"), F.try_divide(F.col("s"), s).alias("weighted"))

@@ -121,7 +121,7 @@ def _lag_sums(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None
     """
     mean = df.groupBy(*by).agg(F.avg(col).alias("_mean"))
     rows = df.filter(F.col(col).isNotNull())
-    rows = rows.join(mean, by) if by else rows.join(F.broadcast(mean))
+    rows = rows.join(mean, by) if by else rows.withColumn("_mean", mean.scalar())
     rows = rows.select(*by, order, *([tie] if tie else []), (F.col(col) - F.col("_mean")).alias("_x"))
     blocks = halo_blocks(row_index(rows, by, order, tie, "_i"), by, "_i", BLOCK, 0, max_lag)
     blocks = blocks.select(*by, "_block", "_own", "_i", "_x")
@@ -154,7 +154,7 @@ def autocorr(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None
         df = rolling_mean(df, col, detrend, order, tie, by, "_roll").withColumn(col, F.col("_roll_anomaly"))
     s = _lag_sums(df, col, max_lag, order, tie, by)
     zero = s.filter("lag = 0").select(*by, F.col("sxx").alias("_whole"))
-    s = s.join(zero, by) if by else s.join(F.broadcast(zero))
+    s = s.join(zero, by) if by else s.withColumn("_whole", zero.scalar())
     return s.select(*by, "lag", F.try_divide(F.col("sxy"), F.col("_whole")).alias("r"))
 
 

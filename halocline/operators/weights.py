@@ -113,4 +113,5 @@ def importance_weights(sample: DataFrame, target: DataFrame, cols: list[str], ke
 def global_weights(sample: DataFrame, grid: DataFrame, cols: list[str], key: str, max_lat: float = 60.0, **kw) -> DataFrame:
     """Weights toward a gridded climate: cells south of a latitude with all variables present."""
     from halocline.operators.quality import grid_to_samples
-    return importance_weights(sample, grid_to_samples(grid, cols, max_lat), cols, key, **kw)
+    keep = [kw["target_key"]] if kw.get("target_key") else []
+    return importance_weights(sample, grid_to_samples(grid, cols + keep, max_lat), cols, key, **kw)

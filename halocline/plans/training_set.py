@@ -13,7 +13,7 @@ WEIGHT_ON = ["U", "tdiff", "rh"]
 
 def station_target(station: DataFrame) -> DataFrame:
     """Station state in the variables the weights are fitted on."""
-    return station.select("U", (F.col("sst") - F.col("t")).alias("tdiff"), "rh")
+    return station.select(*[c for c in ("datetime",) if c in station.columns], "U", (F.col("sst") - F.col("t")).alias("tdiff"), "rh")
 
 
 def build_training(raw: DataFrame, key: str, algo: str = "bulk36", target: DataFrame | None = None, path: str | None = None,
