@@ -5,6 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from checks import models as N
+from checks.fit_sql import gaussian_sql, two_step_sql, variance_sql
 from checks.models import net_sql
 from checks.q_bulk import solver_sql
 from checks.q_fields import MEAN
@@ -118,32 +119,48 @@ def _log(spark, log):
     return TR.log_table(spark, log)
 
 
-@query("m3_fit_gaussian", digits=6)
+def _fit(parts, log):
+    return using("obs", extra=OK + ", " + ", ".join(parts)) + log
+
+
+KEYS = "model, epoch, role, metric"
+
+
+@query("m3_fit_gaussian", _fit(*gaussian_sql("obs_ok", "event_id", FEATURES, "taucx", 8, FAST, w="weight")), digits=6, keys=KEYS)
 def m3(spark, sf):
     return _log(spark, TR.fit_gaussian(obs(spark, sf), FEATURES, ["taucx"], "event_id", [8], "weight", params=FAST)[1])
 
 
-@query("m4_fit_two_step", digits=6)
+@query("m4_fit_two_step", _fit(*two_step_sql("obs_ok", "event_id", FEATURES, "taucx", 8, FAST, w="weight")), digits=6, keys=KEYS)
 def m4(spark, sf):
     return _log(spark, TR.fit_gaussian(obs(spark, sf), FEATURES, ["taucx"], "event_id", [8], "weight", params=FAST, two_step=True)[1])
 
 
-@query("m5_fit_sweep", digits=6)
+SWEEP = [gaussian_sql("obs_ok", "event_id", FEATURES, o, 4, FAST, s, label=f"{o}_{s}", tag=f"{o[0]}{s}") for o in ("taucx", "hsc") for s in (0, 1)]
+
+
+@query("m5_fit_sweep", _fit([c for parts, _ in SWEEP for c in parts], " UNION ALL ".join(log for _, log in SWEEP)), digits=6, keys=KEYS)
 def m5(spark, sf):
     grid = {f"{o}_{s}": {"okeys": [o], "seed": s} for o in ("taucx", "hsc") for s in (0, 1)}
-    return _log(spark, TR.fit_sweep(obs(spark, sf), grid, FEATURES, "event_id", [8], params=FAST)[1])
+    return _log(spark, TR.fit_sweep(obs(spark, sf), grid, FEATURES, "event_id", [4], params=FAST)[1])
+
+
+LOG6 = gaussian_sql("obs_ok", "event_id", FEATURES, "hsc", 8, FAST)
 
 
-@query("m6_training_log", digits=6)
+@query("m6_training_log", _fit(LOG6[0], f"""SELECT epoch, role, max(value) FILTER (metric = 'nll') AS nll, max(value) FILTER (metric = 'r2') AS r2
+  FROM ({LOG6[1]}) WHERE metric IN ('nll', 'r2') GROUP BY epoch, role"""), digits=6, keys="epoch, role")
 def m6(spark, sf):
     model, log = TR.fit_gaussian(obs(spark, sf), FEATURES, ["hsc"], "event_id", [8], params=FAST)
     return _log(spark, log).filter("metric IN ('nll', 'r2')").groupBy("epoch", "role").pivot("metric", ["nll", "r2"]).agg(F.first("value"))
 
 
-@query("m15_fit_variance", digits=6)
+VAR_MODEL = N.demo("hsc", 8, -10.0, 15.0)
+
+
+@query("m15_fit_variance", _fit(*variance_sql("obs_ok", "event_id", VAR_MODEL, FAST)), digits=6, keys=KEYS)
 def m15(spark, sf):
-    model = N.demo("hsc", 8, -10.0, 15.0)
-    return _log(spark, TR.fit_variance_mse(obs(spark, sf), model, "event_id", params=FAST)[1])
+    return _log(spark, TR.fit_variance_mse(obs(spark, sf), VAR_MODEL, "event_id", params=FAST)[1])
 
 
 @query("s19_open_case", using("obs", extra=OK) + f"SELECT event_id, {net_sql(N.M, 'mean')} AS m_mean, {net_sql(N.M, 'var')} AS m_var FROM obs_ok",
