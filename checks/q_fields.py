@@ -28,14 +28,14 @@ def track(spark, sf):
 
 @query("j3_track_interpolation", using("obs", "grid", extra=PLACE) + f"""SELECT event_id, CASE WHEN p.n = 8 THEN p.v END AS phs0,
     CASE WHEN t.n = 8 THEN t.v END AS sst FROM obs LEFT JOIN {tri('phs0')} p USING (event_id) LEFT JOIN {tri('sst')} t USING (event_id)""",
-       keys="event_id")
+       keys="event_id", digits=7)
 def j3(spark, sf):
     return I.interp_track(track(spark, sf), view(spark, sf, "grid"), ["phs0", "sst"]).select("event_id", "phs0", "sst")
 
 
 @query("l3_waves_on_track", using("obs", "grid", extra=PLACE) + f"""SELECT event_id, coalesce(CASE WHEN p.n = 8 THEN p.v END, 0) AS phs0,
     coalesce(CASE WHEN t.n = 8 THEN t.v END, 0) AS plp0 FROM obs LEFT JOIN {tri('phs0', True)} p USING (event_id)
-    LEFT JOIN {tri('plp0', True)} t USING (event_id)""", keys="event_id")
+    LEFT JOIN {tri('plp0', True)} t USING (event_id)""", keys="event_id", digits=7)
 def l3(spark, sf):
     return add_waves(track(spark, sf), view(spark, sf, "grid"), ["phs0", "plp0"]).select("event_id", "phs0", "plp0")
 

@@ -209,7 +209,7 @@ SAMPLE = f"""smp AS (SELECT event_id, U, tsea-tair AS tdiff, rh FROM obs WHERE U
 
 
 @query("d4_importance_weights", using("obs", "station", extra=SAMPLE + ", " + weights_sql(
-    "smp", "tgt", ["U", "tdiff", "rh"], "event_id", "datetime", 4, 3)) + "SELECT * FROM wt", keys="event_id", digits=6)
+    "smp", "tgt", ["U", "tdiff", "rh"], "event_id", "datetime", 4, 3)) + "SELECT * FROM wt", keys="event_id", digits=5)
 def d4(spark, sf):
     o = obs(spark, sf).withColumn("tdiff", F.col("tsea") - F.col("tair"))
     return K.importance_weights(o, station_target(station(spark, sf)), ["U", "tdiff", "rh"], "event_id", "w", steps=4, folds=3,
@@ -221,7 +221,7 @@ CELLS_60 = """smp AS (SELECT event_id, tsea AS sst, rh AS phs0 FROM obs WHERE U
 
 
 @query("d5_global_weights", using("obs", "grid", extra=CELLS_60 + ", " + weights_sql("smp", "tgt", ["sst", "phs0"], "event_id", "cell", 1, 2, centres=10))
-       + "SELECT * FROM wt", keys="event_id", digits=6)
+       + "SELECT * FROM wt", keys="event_id", digits=5)
 def d5(spark, sf):
     o = obs(spark, sf).select("event_id", F.col("tsea").alias("sst"), F.col("rh").alias("phs0"))
     g = view(spark, sf, "grid").withColumn("cell", F.concat_ws("|", F.col("ts").cast("string"), F.col("lat").cast("string"), F.col("lon").cast("string")))
@@ -231,7 +231,7 @@ def d5(spark, sf):
 @query("l1_build_training", using("obs", "station", extra=OK + ", " + SAMPLE + ", " + weights_sql(
     "smp", "tgt", ["U", "tdiff", "rh"], "event_id", "datetime", 3, 3) + f", solved AS (WITH {solver_sql(humidity='qair')} SELECT event_id, U, o_tau AS taubx, "
     "-o_hs AS hsb, -o_hl AS hlb FROM sol)") + """SELECT event_id, U, taubx, hsb, hlb, w AS weight, 'bulk36' AS bulkalg, CAST(1 AS INT) AS weighting
-  FROM solved JOIN wt USING (event_id)""", keys="event_id, bulkalg, weighting", digits=6)
+  FROM solved JOIN wt USING (event_id)""", keys="event_id, bulkalg, weighting", digits=5)
 def l1(spark, sf):
     raw = view(spark, sf, "obs").select(
         "event_id", "time", "pcode", "U", F.col("tsea").alias("tsnk"), F.col("tair").alias("ta"), (F.col("qair") * 1e3).alias("qa"),
@@ -242,16 +242,16 @@ def l1(spark, sf):
     return spark.read.parquet(path).select("event_id", "U", "taubx", "hsb", "hlb", "weight", "bulkalg", "weighting")
 
 
-@query("l2_prepared_state", using("station") + """, s AS (SELECT *, sqrt(ux*ux+uy*uy) AS U FROM station),
-  h AS (SELECT * FROM s WHERE time >= TIMESTAMP '2024-01-03' AND time < TIMESTAMP '2024-01-21')
-  SELECT time_bucket(INTERVAL 3 HOUR, time, TIMESTAMP '1970-01-01') AS datetime, avg(sst) AS tsea, avg(t) AS tair, avg(U) AS U, avg(heat) AS heat,
-    CASE WHEN avg(U) <> 0 THEN 1e1 END AS zu FROM h GROUP BY 1""", keys="datetime", digits=7)
-def l2a(spark, sf):
-    return prepared_state(station(spark, sf), "2024-01-03", "2024-01-20").select("datetime", "tsea", "tair", "U", "heat", "zu")
-
-
-STATE = f"""s AS (SELECT *, sqrt(ux*ux+uy*uy) AS U, ux/sqrt(ux*ux+uy*uy) AS c, uy/sqrt(ux*ux+uy*uy) AS sn, {STATE_RH} AS rh FROM station
-     WHERE time >= TIMESTAMP '2024-01-03' AND time < TIMESTAMP '2024-01-21'),
+_COLS = ["sst", "t", "p", "heat", "lwr", "U", "rh", "c", "sn"]
+# Hourly values between the station's own times, then the dates, then the step.
+HOURLY = f"""s0 AS (SELECT *, sqrt(ux*ux+uy*uy) AS U, ux/sqrt(ux*ux+uy*uy) AS c, uy/sqrt(ux*ux+uy*uy) AS sn, {STATE_RH} AS rh FROM station),
+  s1 AS (SELECT *, lead(time) OVER w AS t1, {', '.join(f'lead({c}) OVER w AS {c}_1' for c in _COLS)} FROM s0 WINDOW w AS (ORDER BY time)),
+  hr AS (SELECT unnest(range((SELECT min(time) FROM s0), (SELECT max(time) + INTERVAL 1 HOUR FROM s0), INTERVAL 1 HOUR)) AS tt),
+  s2 AS (SELECT *, coalesce(date_diff('microsecond', time, tt)/date_diff('microsecond', time, t1)::DOUBLE, 0) AS f FROM hr JOIN s1
+     ON tt >= time AND (tt < t1 OR (t1 IS NULL AND tt = time))),
+  s AS (SELECT tt AS time, {', '.join(f'CASE WHEN f = 0 THEN {c} ELSE {c} + ({c}_1-{c})*f END AS {c}' for c in _COLS)} FROM s2
+     WHERE tt >= TIMESTAMP '2024-01-03' AND tt < TIMESTAMP '2024-01-21')"""
+STATE = HOURLY + f""",
   w AS (SELECT time_bucket(INTERVAL 3 HOUR, time, TIMESTAMP '1970-01-01') AS datetime, avg(U) AS U, avg(sst) AS tsea, avg(t) AS tair, avg(rh) AS rh,
      avg(p) AS p, avg(lwr) AS lwr, avg(c) AS c, avg(sn) AS sn FROM s GROUP BY 1),
   st AS (SELECT *, row_number() OVER (ORDER BY datetime) - 1 AS i, {net_sql(N.SH, 'mean')} + {net_sql(N.LH, 'mean')} + lwr AS heat,
@@ -259,6 +259,12 @@ STATE = f"""s AS (SELECT *, sqrt(ux*ux+uy*uy) AS U, ux/sqrt(ux*ux+uy*uy) AS c, u
      abs(sqrt({net_sql(N.M, 'var')})*c) AS sd_taux, abs(sqrt({net_sql(N.M, 'var')})*sn) AS sd_tauy FROM w)"""
 
 
+@query("l2_prepared_state", using("station", extra=HOURLY) + """SELECT time_bucket(INTERVAL 3 HOUR, time, TIMESTAMP '1970-01-01') AS datetime,
+  avg(sst) AS tsea, avg(t) AS tair, avg(U) AS U, avg(heat) AS heat, CASE WHEN avg(U) <> 0 THEN 1e1 END AS zu FROM s GROUP BY 1""", keys="datetime", digits=7)
+def l2a(spark, sf):
+    return prepared_state(station(spark, sf), "2024-01-03", "2024-01-20").select("datetime", "tsea", "tair", "U", "heat", "zu")
+
+
 def _noise(flux, seed, members):
     """Red noise with a = 0.95 on the 3-hourly state, as a sum over all earlier innovations."""
     return f"""b_{flux} AS (SELECT m::INT AS ensem, i, CASE WHEN i = 0 THEN 1e0 ELSE {math.sqrt(1 - 0.95 * 0.95)!r}::DOUBLE END*sd_{flux}*{nrm(seed, 'i', 'm')} AS b
@@ -290,7 +296,7 @@ COLS = ["U", "tsea", "tair", "rh_", "p"]
   z AS (SELECT *, {_RH} AS rh_ FROM sol)
   SELECT point_id, lat, lon, {net_sql(N.SH, 'mean', COLS)} AS Qs, {net_sql(N.LH, 'mean', COLS)} AS Ql, {net_sql(N.M, 'mean', COLS)}*ux/U AS taux,
     {net_sql(N.M, 'mean', COLS)}*uy/U AS tauy, -o_hs AS hsb, -o_hl AS hlb,
-    {net_sql(N.SH, 'mean', COLS)} + {net_sql(N.LH, 'mean', COLS)} + o_hs + o_hl AS dq FROM z""", keys="point_id", digits=6)
+    {net_sql(N.SH, 'mean', COLS)} + {net_sql(N.LH, 'mean', COLS)} + o_hs + o_hl AS dq FROM z""", keys="point_id", digits=4)
 def l6(spark, sf):
     ocean = view(spark, sf, "grid").groupBy("lat", "lon").agg(F.avg("sst").alias("sst"))
     air = view(spark, sf, "points").select("point_id", "lat", "lon", (3 + F.col("air") / 2).alias("ux"), (4 - F.col("air") / 3).alias("uy"),
