@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from halocline.functions.arrays import doubles
 from halocline.operators.metrics import weighted
 from halocline.operators.quality import regime
 
@@ -29,7 +30,7 @@ def histogram(df: DataFrame, col: str, edges: list[float], w: str | None = None,
               density: bool = True) -> DataFrame:
     """Weight per bin, or density so that the bins of a group integrate to one."""
     at = in_bins(df, col, edges).groupBy(*by, "bin").agg(F.sum(weighted(w)).alias("weight"))
-    lo, hi = F.lit(edges)[F.col("bin")], F.lit(edges)[F.col("bin") + 1]
+    lo, hi = doubles(edges)[F.col("bin")], doubles(edges)[F.col("bin") + 1]
     at = at.select(*by, "bin", lo.alias("left"), hi.alias("right"), "weight")
     if not density:
         return at
@@ -118,7 +119,7 @@ def kde_grid(df: DataFrame, cols: list[str], grid: list[list[float]], w: str | N
     sums = narrow.mapInPandas(spread, "g long, s double").groupBy("g").agg(F.sum("s").alias("s"))
     at, left = [], F.col("g")
     for k in range(len(cols) - 1, -1, -1):
-        at.insert(0, F.lit([float(v) for v in grid[k]])[(left % len(grid[k])).cast("int")].alias(f"g{k}"))
+        at.insert(0, doubles(grid[k])[(left % len(grid[k])).cast("int")].alias(f"g{k}"))
         left = F.floor(left / len(grid[k]))
     return sums.select(*at, (F.col("s") * factor).alias("density"))
 
@@ -135,7 +136,7 @@ def binned_stats(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
     edges = edges_of(lo, hi, n)
     at = in_bins(rows, x, edges).groupBy("bin").agg(
         F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.count(y).alias("n"))
-    return at.withColumn("left", F.lit(edges)[F.col("bin")])
+    return at.withColumn("left", doubles(edges)[F.col("bin")])
 
 
 def compare_distributions(df: DataFrame, cols: dict[str, list[float]], campaign: str) -> DataFrame:

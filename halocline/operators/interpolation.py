@@ -16,6 +16,7 @@ from itertools import product
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from halocline.functions.arrays import doubles
 from halocline.operators.ordered import order_key
 
 MAX_AXIS = 100_000
@@ -44,7 +45,8 @@ def bracket(df: DataFrame, col: str, values: list[float], out: str) -> DataFrame
     on_last = (F.col("_c") == n) & (x == values[-1])
     cell = F.when((F.col("_c") >= 1) & (F.col("_c") < n), F.col("_c") - 1).when(on_last, F.lit(n - 2))
     s = s.withColumn(out, cell)
-    lo, hi = F.get(F.lit(values), F.col(out)), F.get(F.lit(values), F.col(out) + 1)
+    axis = doubles(values)
+    lo, hi = F.get(axis, F.col(out)), F.get(axis, F.col(out) + 1)
     return s.withColumn(f"{out}_w", (x - lo) / (hi - lo)).drop("_c")
 
 

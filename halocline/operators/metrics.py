@@ -6,6 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from halocline.functions.arrays import doubles
 from halocline.operators.ordered import CHUNK, cut, scan
 from halocline.schema import require_columns
 
@@ -66,7 +67,8 @@ def normal_quantiles(n: int = 2001) -> list[float]:
     return [d.inv_cdf((j - 0.5) / n) for j in range(1, n + 1)]
 
 
-def wasserstein(points: DataFrame, by: list[str] = (), x: str = "x", wa: str = "wa", wb: str = "wb") -> DataFrame:
+def wasserstein(points: DataFrame, by: list[str] = (), x: str = "x", wa: str = "wa", wb: str = "wb",
+                like: DataFrame | None = None) -> DataFrame:
     """Area between two weighted empirical distribution functions.
 
     `points` holds both samples: a row of the first has weight `wa` and `wb` = 0, and the
@@ -100,9 +102,9 @@ def wasserstein_normal(df: DataFrame, x: Column, w: str | None = None, by: list[
     """Distance of a column from the standard normal, which is a table of `n` quantiles."""
     mine = df.select(*by, x.alias("x"), weighted(w).alias("wa"), F.lit(0.0).alias("wb"))
     groups = mine.select(*by).distinct() if by else df.sparkSession.range(1).select()
-    ref = groups.select(*by, F.explode(F.lit(normal_quantiles(n))).alias("x"),
+    ref = groups.select(*by, F.explode(doubles(normal_quantiles(n))).alias("x"),
                         F.lit(0.0).alias("wa"), F.lit(1.0).alias("wb"))
-    return wasserstein(mine.unionByName(ref), by)
+    return wasserstein(mine.unionByName(ref), by, like=mine.filter(F.col("x").isNotNull()))
 
 
 def evaluate(df: DataFrame, pred: str, truth: str, var: str, bulk: str, w: str | None = None,

@@ -14,6 +14,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from halocline.functions.arrays import doubles
 from halocline.functions.clock import micros
 from halocline.session import shuffle_width
 
@@ -49,11 +50,17 @@ def _bucketed(df: DataFrame, col: str, cuts: list[float], out: str) -> DataFrame
     return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
-def cut(df: DataFrame, order: str, tie: str | None = None, chunks: int | None = None) -> DataFrame:
-    """Add an integer `_chunk` that never decreases along (order, tie)."""
+def cut(df: DataFrame, order: str, tie: str | None = None, chunks: int | None = None,
+        like: DataFrame | None = None) -> DataFrame:
+    """Add an integer `_chunk` that never decreases along (order, tie).
+
+    The edges come from one pass over the order column of `df`, or of `like`, a table with
+    the same column that is cheaper to read and spread alike.
+    """
     n = chunks or shuffle_width(df.sparkSession)
     keyed = df.withColumn("_key", F.coalesce(order_key(df, order), F.lit(-_BIG)))
-    edges = _quantiles(keyed, F.col("_key"), n)
+    source = keyed if like is None else like.withColumn("_key", F.coalesce(order_key(like, order), F.lit(-_BIG)))
+    edges = _quantiles(source, F.col("_key"), n)
     cuts = sorted({e for e in edges if math.isfinite(e)})
     out = _bucketed(keyed, "_key", cuts, CHUNK)
     heavy = sorted({e for e in edges if math.isfinite(e) and edges.count(e) > 1})
@@ -66,7 +73,7 @@ def cut(df: DataFrame, order: str, tie: str | None = None, chunks: int | None =
         .agg(F.percentile_approx("_tie", [i / n for i in range(1, n)], max(10000, 10 * n)).alias("e")).collect())}
     sub = F.lit(n + 1)
     for value, at in tie_cuts.items():
-        inside = F.size(F.filter(F.lit([float(a) for a in at]), lambda a: a <= F.col("_tie")))
+        inside = F.size(F.filter(doubles(at), lambda a: a <= F.col("_tie")))
         sub = F.when(F.col("_key") == value, inside).otherwise(sub)
     return out.withColumn(CHUNK, F.col(CHUNK) * (n + 2) + sub).drop("_key", "_tie")
 

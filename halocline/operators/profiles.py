@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from halocline.functions.arrays import doubles
 from halocline.functions.thermo import rho0
 
 
@@ -72,6 +73,6 @@ def interp_levels(df: DataFrame, by: list[str], levels: list[float], cols: list[
     keep = df.filter(F.col(z).isNotNull())
     prof = keep.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(z, *cols))).alias("_p"))
     prof = prof.withColumns({f"_{c}": onto(F.col("_p")[z], F.col("_p")[c]) for c in cols})
-    rows = prof.select(*by, F.posexplode(F.lit([float(g) for g in grid])).alias("_k", z), *[f"_{c}" for c in cols])
+    rows = prof.select(*by, F.posexplode(doubles(grid)).alias("_k", z), *[f"_{c}" for c in cols])
     value = [F.col(f"_{c}")[F.col("_k")] for c in cols]
     return rows.select(*by, z, *[F.when(~F.isnan(v), v).alias(c) for v, c in zip(value, cols)])

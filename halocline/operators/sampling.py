@@ -10,6 +10,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from halocline.functions.arrays import doubles
 from halocline.functions.hashing import hash_hex, hash_normal, hash_rayleigh, hash_uniform
 from halocline.operators.ordered import CHUNK, cut, scan
 from halocline.operators.quality import label_as
@@ -122,7 +123,7 @@ def feature_grid(base: DataFrame, axes: dict[str, tuple[float, float, int]], fix
     """For each row of `base` a regular grid over the axes (lo, hi, points), other features fixed."""
     out = base
     for name, (lo, hi, n) in axes.items():
-        out = out.withColumn(name, F.explode(F.lit([float(v) for v in np.linspace(lo, hi, n)])))
+        out = out.withColumn(name, F.explode(doubles(np.linspace(lo, hi, n))))
     return out.withColumns({k: F.lit(float(v)) for k, v in (fixed or {}).items()}) if fixed else out
 
 
