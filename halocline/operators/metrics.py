@@ -72,10 +72,11 @@ def wasserstein(points: DataFrame, by: list[str] = (), x: str = "x", wa: str = "
     """Area between two weighted empirical distribution functions.
 
     `points` holds both samples: a row of the first has weight `wa` and `wb` = 0, and the
-    other way round. Equal positions are summed first, so no position is hot afterwards.
+    other way round. Chunk edges come from the rows as they are, without a shuffle; equal
+    positions are then summed map-side, so no position is hot afterwards.
     """
-    at = points.filter(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(wa).alias("a"), F.sum(wb).alias("b"))
-    # Totals come from the same scan, so the two functions end at one.
+    at = (cut(points.filter(F.col(x).isNotNull()), x, like=like).groupBy(*by, x, CHUNK)
+          .agg(F.sum(wa).alias("a"), F.sum(wb).alias("b")))
     s = scan(at, list(by), x, None, {"fa": F.col("a"), "fb": F.col("b")}, totals=True, after=[x])
     gap = F.abs(F.try_divide(F.col("fa"), F.col("fa_total")) - F.try_divide(F.col("fb"), F.col("fb_total")))
     return s.groupBy(*by).agg(F.sum(gap * (F.col(f"next_{x}") - F.col(x))).alias("wd"))
