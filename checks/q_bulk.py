@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.q_functions import _far, es, psit_sql, psiu_sql
+from checks.q_functions import es, psit_sql, psiu_sql
 from checks.registry import query
 from checks.views import using, view
 from halocline.operators import bulk as B, quality as Q

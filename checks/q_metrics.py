@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from checks.registry import query
 from checks.views import using, view
 from halocline.operators import metrics as M, quality as Q
-from halocline.functions.hashing import hash_uniform
 
 OK = "obs_ok AS (SELECT * FROM obs WHERE U IS NOT NULL)"
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import query
 from checks.views import table, using, view
-from halocline.operators import noise as N, quality as Q, sampling as D
+from halocline.operators import noise as N, sampling as D
 
 
 def obs(spark, sf):

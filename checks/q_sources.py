@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from checks.registry import query
-from checks.views import table, using, view
-from halocline.functions.clock import floor_time, micros, ntz
+from checks.views import using, view
+from halocline.functions.clock import floor_time, ntz
 from halocline.operators import quality as Q
 from halocline.session import scratch
 from halocline.sources import sinks as W, tables as L, text as R

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from halocline.functions.clock import floor_time, from_micros, micros, seconds_between, step_micros

@@ -1,6 +1,5 @@
 """Edges and properties of filters, scores, series, profiles, cases and interpolation."""
 
-import math
 import random
 
 import numpy as np
