@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from halocline.llm import decontam
+from halocline.llm import decontam, quality
 from halocline.llm.frames import read
 from halocline.llm.registry import ORACLES, QUERIES, query
 
@@ -30,3 +30,9 @@ FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)"""
 @query("op1_decontamination", OP1_SQL)
 def op1(spark, sf_dir):
     return decontam.digest(decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+@query("op3_quality_rules")
+def op3(spark, sf_dir):
+    out = quality.judge(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
