@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from halocline.llm import decontam, quality
+from pyspark.sql import functions as F
+
+from halocline.llm import decontam, quality, toxicity
 from halocline.llm.frames import read
 from halocline.llm.registry import ORACLES, QUERIES, query
 
@@ -36,3 +38,9 @@ def op1(spark, sf_dir):
 def op3(spark, sf_dir):
     out = quality.judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+@query("op7_toxicity")
+def op7(spark, sf_dir):
+    out = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))

@@ -68,15 +68,27 @@ class Words:
         self.start = np.flatnonzero(solid & (~before | edge[:-1]))
         self.end = np.flatnonzero(solid & (~after | edge[1:])) + 1
         self.row = np.searchsorted(at, self.start, side="right") - 1
-        p, q = _power(len(buf) + 1)
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_CODE[buf] * p[: len(buf)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * q[self.start])
+        p, _ = _power(len(buf) + 1)
+        self._total = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_CODE[buf] * p[: len(buf)], out=self._total[1:])
+        self.hash = mix(self.span_hash(self.start, self.end))
         self.first = np.searchsorted(self.row, np.arange(self.n_rows + 1))  # of each text, and the end
 
     def __len__(self) -> int:
         return len(self.start)
 
+    def span_hash(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Hash of the bytes low to high (exclusive), not yet mixed."""
+        return (self._total[high] - self._total[low]) * _power(len(self.buf) + 1)[1][low]
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of more than n characters, and a hash of their first n characters."""
+        heads = np.append(np.flatnonzero((self.buf & 0xC0) != 0x80), len(self.buf))
+        begin = np.searchsorted(heads, self.start)
+        stop = heads[np.minimum(begin + n, len(heads) - 1)]
+        which = np.flatnonzero(stop < self.end)
+        return which, mix(self.span_hash(self.start[which], stop[which]), n)
+
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -136,8 +148,5 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def text_key(words: Words) -> np.ndarray:
     """A 64-bit hash of each whole text, byte by byte after lower-casing if that was asked for."""
-    p, q = _power(len(words.buf) + 1)
-    total = np.zeros(len(words.buf) + 1, np.uint64)
-    np.cumsum(_CODE[words.buf] * p[: len(words.buf)], out=total[1:])
     length = np.diff(words.at).astype(np.uint64)
-    return signed(mix((total[words.at[1:]] - total[words.at[:-1]]) * q[words.at[:-1]] + length))
+    return signed(mix(words.span_hash(words.at[:-1], words.at[1:]) + length))
