@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halocline.llm import decontam, quality, toxicity
+from halocline.llm import decontam, near_dup, quality, toxicity
 from halocline.llm.frames import read
 from halocline.llm.registry import ORACLES, QUERIES, query
 
@@ -40,6 +40,11 @@ def op3(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+@query("op5_near_duplicates")
+def op5(spark, sf_dir):
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     out = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
