@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halocline.llm import decontam, near_dup, quality, toxicity
-from halocline.llm.frames import read
+from halocline.llm import decontam, near_dup, quality, rollup, sharding, toxicity
+from halocline.llm.frames import filter_words, kept, might_hold, read
+from halocline.session import scratch
 from halocline.llm.registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -40,6 +41,28 @@ def op3(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+@query("op4_token_rollup")
+def op4(spark, sf_dir):
+    """All documents are inserted; then those labelled toxic are deleted, and those of low quality are counted again
+    without their symbols. One batch is delivered twice."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    tokenizers = {"words-1": rollup.by_words, "byte_bpe_50k-1": rollup.by_byte_pairs(f"{rollup.TOKENIZERS}/byte_bpe_50k.tiktoken")}
+    state = rollup.Rollup(spark, scratch(spark, "rollup"))
+    seq = F.lit(0).cast("long").alias("seq")
+    state.apply("insert", kept(rollup.counts(docs, tokenizers), "counts").select("*", F.lit("insert").alias("op"), seq))
+    version = F.explode(F.array(*map(F.lit, tokenizers))).alias("version")
+    none = F.lit(None).cast("string")
+    gone = labels.filter("toxic = 1").select("doc_id").distinct().select("doc_id", version, none.alias("source"), none.alias("lang"),
+                                                                         F.lit(0).cast("long").alias("n_tokens"), F.lit("delete").alias("op"), seq)
+    state.apply("delete-toxic", gone)
+    poor = labels.filter("quality = 0 AND (toxic = 0 OR toxic IS NULL)").select("doc_id").distinct()
+    texts = might_hold(docs, "doc_id", filter_words(poor, "doc_id")).join(poor, "doc_id", "left_semi")
+    again = rollup.counts(texts.withColumn("text", F.translate("text", "#*$%&|<>", "")), tokenizers)
+    state.apply("recount-symbols", kept(again, "recounts").select("*", F.lit("revise").alias("op"), seq))
+    state.apply("delete-toxic", gone)
+    return state.totals()
+
+
 @query("op5_near_duplicates")
 def op5(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
@@ -49,3 +72,11 @@ def op5(spark, sf_dir):
 def op7(spark, sf_dir):
     out = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op10_resharding")
+def op10(spark, sf_dir):
+    """Documents that lie in six shards by source move to eight of equal bytes."""
+    docs = read(spark, sf_dir, "documents")
+    placed = sharding.plan(docs, F.pmod(F.xxhash64("source"), F.lit(sharding.OLD_SHARDS)))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
