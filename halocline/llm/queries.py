@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halocline.llm import decontam, near_dup, quality, rollup, sharding, toxicity
+from halocline.llm import decontam, licenses, near_dup, quality, rollup, secrets, sharding, toxicity
 from halocline.llm.frames import filter_words, kept, might_hold, read
 from halocline.session import scratch
 from halocline.llm.registry import ORACLES, QUERIES, query
@@ -68,12 +68,22 @@ def op5(spark, sf_dir):
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+@query("op6_secrets")
+def op6(spark, sf_dir):
+    return secrets.digest(secrets.spans(read(spark, sf_dir, "documents")))
+
+
 @query("op7_toxicity")
 def op7(spark, sf_dir):
     out = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+@query("op8_licenses")
+def op8(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
 @query("op10_resharding")
 def op10(spark, sf_dir):
     """Documents that lie in six shards by source move to eight of equal bytes."""
