@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halocline.llm import decontam, licenses, near_dup, quality, rollup, secrets, sharding, toxicity
+from halocline.llm import decontam, licenses, lm, near_dup, quality, rollup, secrets, sharding, toxicity
 from halocline.llm.frames import filter_words, kept, might_hold, read
 from halocline.session import scratch
 from halocline.llm.registry import ORACLES, QUERIES, query
@@ -35,6 +35,11 @@ def op1(spark, sf_dir):
     return decontam.digest(decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
 
+@query("op2_lm_scores")
+def op2(spark, sf_dir):
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 @query("op3_quality_rules")
 def op3(spark, sf_dir):
     out = quality.judge(read(spark, sf_dir, "documents"))
