@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halocline.llm import decontam, licenses, lm, near_dup, quality, rollup, secrets, sharding, toxicity
+from halocline.llm import decontam, licenses, lm, near_dup, quality, rollup, secrets, sharding, subwords, toxicity
 from halocline.llm.frames import filter_words, kept, might_hold, read
 from halocline.session import scratch
 from halocline.llm.registry import ORACLES, QUERIES, query
@@ -95,3 +95,12 @@ def op10(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     placed = sharding.plan(docs, F.pmod(F.xxhash64("source"), F.lit(sharding.OLD_SHARDS)))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@query("op9_subword_pieces")
+def op9(spark, sf_dir):
+    """Every document's pieces, and whether they decode to its text again."""
+    model = subwords.Pieces.read(f"{rollup.TOKENIZERS}/piece_bpe_32k.model")
+    done = subwords.decode(subwords.encode(read(spark, sf_dir, "documents"), model, keep_text=True), model)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"),
+                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
