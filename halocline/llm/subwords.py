@@ -16,6 +16,7 @@ are encoded one by one; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 from dataclasses import dataclass, field
@@ -31,6 +32,8 @@ BLANK = 0x2581
 UNIGRAM, MERGES = 1, 2
 #: Units longer than this are merged one by one with a heap, which is faster for them; the result is the same.
 LONG = 256
+#: Leading bits of a hash that the probes of the sorted keys start from.
+INDEX = 18
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -61,13 +64,17 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
+_known = [np.ones(0, np.uint64)] * 2
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 2**64)):
-        steps = np.full(n, base, np.uint64)
-        steps[:1] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+    """Powers 0 to n - 1 of the base and of its inverse; kept for the next call."""
+    if len(_known[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            _known[i] = np.multiply.accumulate(steps)
+    return _known[0][:n], _known[1][:n]
 
 
 def _sums(codes: np.ndarray) -> np.ndarray:
@@ -139,10 +146,31 @@ class Pieces:
         unknown = kinds.index(2) if 2 in kinds else 0
         return cls(kind, texts, np.array(scores, float), byte_id, unknown, keys[order], np.array(ordinary, np.int32)[order], max((len(texts[i]) for i in ordinary), default=1))
 
+    @functools.cached_property
+    def written(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What every id stands for in UTF-8: all bytes, and where each id's begin and how many they are."""
+        held = [t.replace("▁", " ").encode() for t in self.texts]
+        for b, i in enumerate(self.byte_id.tolist()):
+            if i >= 0:
+                held[i] = bytes([b])
+        size = np.array([len(b) for b in held])
+        return np.frombuffer(b"".join(held), np.uint8), np.cumsum(size) - size, size
+
+    def __post_init__(self):
+        # where the keys of each leading INDEX bits begin, and the most that share them
+        self._begin = np.searchsorted(self.keys, np.arange(1 << INDEX, dtype=np.uint64) << np.uint64(64 - INDEX)).astype(np.int32)
+        self._most = int(np.bincount((self.keys >> np.uint64(64 - INDEX)).astype(np.int64)).max()) if len(self.keys) else 0
+        self._keys = np.append(self.keys, np.zeros(self._most, np.uint64))
+        self._ids = np.append(self.key_id, np.full(self._most, -1, np.int32))
+
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of ordinary pieces by hash, -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.key_id[at], -1)
+        """Ids of ordinary pieces by hash, -1 for none: the sorted keys are probed from their leading bits on."""
+        at = self._begin[(h >> np.uint64(64 - INDEX)).astype(np.int64)]
+        out = np.full(len(h), -1, np.int32)
+        for i in range(self._most):
+            same = self._keys[at + i] == h
+            out[same] = self._ids[at[same] + i]
+        return out
 
 
 def _viterbi(model: Pieces, sums: np.ndarray) -> np.ndarray:
@@ -303,23 +331,12 @@ def encode_batch(model: Pieces, texts: list[str | None]) -> tuple[np.ndarray, np
 
 def decode_batch(model: Pieces, ids: np.ndarray, n: np.ndarray) -> list[str]:
     """The texts of id runs of n each."""
-    raw = [bytes([b]) if b >= 0 else None for b in _byte_of(model)]
-    held = [r if r is not None else t.replace("▁", " ").encode() for r, t in zip(raw, model.texts)]
-    size = np.array([len(b) for b in held])
-    table = np.frombuffer(b"".join(held), np.uint8)
-    start = np.cumsum(size) - size
+    table, start, size = model.written
     out = table[T.spread(start[ids], start[ids] + size[ids])].tobytes()
     ends = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(n)])]
     return [out[a + (out[a: a + 1] == b" "): b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def _byte_of(model: Pieces) -> np.ndarray:
-    out = np.full(len(model.texts), -1)
-    known = np.flatnonzero(model.byte_id >= 0)
-    out[model.byte_id[known]] = known
-    return out
-
-
 def _encode(model: Pieces, others: list[str]):
     def run(batches):
         for batch in batches:
@@ -342,12 +359,13 @@ def _decode(model: Pieces, others: list[str]):
     return run
 
 
-def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, ids (and text if asked for) of every whole text, without a shuffle."""
+def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """doc_id, the columns in ``keep`` ("text" for the text itself) and ids of every whole text, without a shuffle."""
     tune(docs.sparkSession)
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    others = ["doc_id", "text"] if keep_text else ["doc_id"]
-    return slim.mapInArrow(_encode(model, others), "doc_id long, " + ("text string, " if keep_text else "") + "ids array<int>")
+    others = ["doc_id", *keep]
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c for c in keep if c != "text"), F.col(text_col).cast("string").alias("text"))
+    schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in others)
+    return slim.mapInArrow(_encode(model, others), f"{schema}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: Pieces) -> DataFrame:
