@@ -7,9 +7,9 @@ as no slot can still improve. Here all elements of a batch take their step j tog
 all its slots are filled, which is when later steps can't change it.
 
 Documents with equal sets are one class (a 128-bit sum of element hashes). Only classes are banded: at BANDS bands of
-ROWS slots a pair with similarity 0.8 misses all bands with probability (1 - 0.8 ** 4) ** 32 = 5e-8. Pairs are never
-listed within a bucket. Instead, in each round every bucket's members are compared with one pivot of the bucket; links
-found join components, and buckets whose members all are in one component are done. What is left after the rounds,
+ROWS slots a pair with similarity 0.8 misses all bands with probability (1 - 0.8 ** 6) ** 48 = 5e-7. Pairs are never
+listed within a bucket. Instead, in each round every bucket's members are compared with one pivot of the bucket (in the
+first round, in a few bands only); links found join components, and buckets whose members all are in one component are done. What is left after the rounds,
 members of different components in one bucket, is compared in full. Links are confirmed on the full sets of shingle
 hashes, so no link is reported that does not hold, and every bucket's components are those of all its pairs.
 
@@ -29,8 +29,10 @@ from halocline.llm import text as T
 from halocline.llm.components import components
 from halocline.llm.frames import filter_words, kept, might_hold, tune
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 6
 SLOTS = BANDS * ROWS
+#: Bands of the first round: they join most of a large group, so that other bands have little left to compare.
+FIRST = 4
 #: Pivot rounds go on while a round still joins components and more than this many pairs a class are undecided.
 UNDECIDED = 2
 
@@ -75,7 +77,7 @@ def superminhash(row: np.ndarray, h: np.ndarray, n_rows: int, slots: int = SLOTS
         np.minimum.at(sig, owner * slots + slot, (np.uint64(j) << np.uint64(56)) | (draw >> np.uint64(8)))
         open_ = (sig.reshape(n_rows, slots) == top).any(axis=1)[owner]
         if perm is None:
-            perm = np.tile(np.arange(slots, dtype=np.uint8), (int(open_.sum()), 1))
+            perm = np.tile(np.arange(slots, dtype=np.uint16), (int(open_.sum()), 1))
             perm[np.arange(len(perm)), k[open_]] = 0  # step 0 moved slot 0 to the place of the slot it took
         else:
             perm = perm[open_]
@@ -120,10 +122,14 @@ def _sets(size: int, kind):
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v) whose full sets are similar enough."""
     a, b = (sets.select(F.col("id").alias(c), F.col("items").alias(f"s{c}")) for c in "uv")
-    small, large = F.least(F.size("su"), F.size("sv")), F.greatest(F.size("su"), F.size("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return (pairs.join(a, "u").join(b, "v").filter((100 * small >= percent * large) & (small > 0))
-            .withColumn("both", both).filter((100 + percent) * F.col("both") >= percent * (F.size("su") + F.size("sv"))).select("u", "v"))
+    return (pairs.join(a, "u").join(b, "v").withColumn("both", both)
+            .filter((100 + percent) * F.col("both") >= percent * (F.size("su") + F.size("sv"))).select("u", "v"))
+
+
+def _sizes_fit(a: str, b: str, percent: int):
+    """Sets of these sizes can be similar enough."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -134,14 +140,14 @@ def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links (u, v) between classes (id, bands) that connect all classes whose sets are similar enough.
+    """Links (u, v) between classes (id, n, bands) that connect all classes whose sets are similar enough.
 
     ``sets_of`` takes a table of ids and returns their full sets (id, items).
     """
     spark = classes.sparkSession
-    exploded = classes.select("id", F.posexplode("bands").alias("band", "h")).select("id", F.xxhash64("band", "h").alias("bucket"))
+    exploded = classes.select("id", "n", F.posexplode("bands").alias("band", "h")).select("id", "n", "band", F.xxhash64("band", "h").alias("bucket"))
     shared = exploded.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
-    buckets = kept(exploded.join(shared, "bucket").distinct(), "buckets")
+    buckets = kept(exploded.join(shared, "bucket"), "buckets")
     members = kept(buckets.select("id").distinct(), "members")
     n = members.count()
     none = spark.createDataFrame([], "u long, v long")
@@ -149,7 +155,7 @@ def links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
         return none
     sets = kept(sets_of(members), "sets")
     found, tried, gained, turn = None, none, True, 0
-    rows = kept(_rooted(buckets, None), "rooted")
+    rows = _rooted(buckets, None)
     while True:
         inside = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         pending = kept(inside.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q"), "pending")
@@ -159,23 +165,22 @@ def links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
         rows = rows.join(pending.select("bucket"), "bucket")
         last = left <= UNDECIDED * n or not gained
         if last:
-            other = rows.select("bucket", F.col("id").alias("v"), F.col("root").alias("root2"))
-            pairs = (rows.withColumnRenamed("id", "u").join(other, "bucket").filter("u < v AND root != root2").select("u", "v").distinct()
-                     .join(tried, ["u", "v"], "left_anti"))
+            other = rows.select("bucket", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"))
+            pairs = rows.withColumnRenamed("id", "u").join(other, "bucket").filter("u < v AND root != root2")
         else:  # each bucket's pivot: another member by another order in every round
+            some = rows.filter(F.col("band") < FIRST) if turn == 0 else rows
             order = F.xxhash64("id", F.lit(turn))
-            pivot = (rows.groupBy("bucket").agg(F.min(order).alias("o")))
-            pivot = rows.withColumn("o", order).join(pivot, ["bucket", "o"]).select("bucket", F.col("id").alias("p"), F.col("root").alias("root2"))
-            pairs = (rows.join(pivot, "bucket").filter("id != p AND root != root2").select(F.least("id", "p").alias("u"), F.greatest("id", "p").alias("v")).distinct()
-                     .join(tried, ["u", "v"], "left_anti"))
-        pairs = kept(pairs, "pairs")
+            least = some.groupBy("bucket").agg(F.min(order).alias("o"))
+            pivot = some.withColumn("o", order).join(least, ["bucket", "o"]).select("bucket", F.col("id").alias("p"), F.col("n").alias("m"), F.col("root").alias("root2"))
+            pairs = some.join(pivot, "bucket").filter("id != p AND root != root2").withColumns({"u": F.least("id", "p"), "v": F.greatest("id", "p")})
+        pairs = kept(pairs.filter(_sizes_fit("n", "m", percent)).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
         new = kept(_linked(pairs, sets, percent), "links")
-        gained = not new.isEmpty()
+        gained = turn == 0 or not new.isEmpty()
         found = new if found is None else found.unionByName(new)
         if last:
             return found
         tried = tried.unionByName(pairs)
-        rows = kept(_rooted(rows.select("bucket", "id"), found), "rooted")
+        rows = kept(_rooted(rows.select("bucket", "band", "id", "n"), found), "rooted")
         turn += 1
 
 
@@ -190,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = might_hold(slim.filter("id IS NOT NULL"), "id", filter_words(ids, "id"))
         return texts.mapInArrow(_sets(size, kind), "id long, items array<long>").filter("size(items) > 0").join(ids, "id", "left_semi")
 
-    edges = links(classes.select(F.col("class").alias("id"), "bands"), sets_of, percent)
+    edges = links(classes.select(F.col("class").alias("id"), "n", "bands"), sets_of, percent)
     rows = signed.select("id", "n", "a", "b").join(classes.select("a", "b", "n", "class"), ["a", "b", "n"], "left").withColumn("class", F.when(F.col("id").isNotNull(), F.col("class")))
     # rows of one doc_id with several texts
     again = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("v"), F.count("*").alias("c")).filter("c > 1")
