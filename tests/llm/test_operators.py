@@ -111,11 +111,26 @@ def test_lm_on_awkward_rows(awkward, empty, clashing):
     assert len(lm.score(clashing).toPandas()) == len(AWKWARD)
 
 
-def test_exchange_finds_two_kinds_of_words():
-    n = np.zeros((8, 8))  # words 0 to 2 and 3 to 7 take turns
-    n[:3, 3:], n[3:, :3] = np.arange(1, 16).reshape(3, 5), 5
-    of = lm.exchange(n, np.full(8, -1), 2)
-    assert len(set(of[:3])) == 1 and len(set(of[3:])) == 1 and of[0] != of[7]
+def likelihood(n, of, classes):
+    table = np.zeros((classes, classes))
+    np.add.at(table, (of[:, None], of[None, :]), n)
+    return sum(x * math.log(x) for x in table.ravel() if x > 0) - sum(x * math.log(x) for side in (0, 1) for x in table.sum(side) if x > 0)
+
+
+def test_exchange_ends_where_no_move_gains():
+    rng = np.random.default_rng(4)
+    for classes in (2, 3):
+        n = rng.poisson(3, (12, 12)) + 20 * (rng.random((12, 12)) < 0.15)
+        fixed = np.full(12, -1)
+        fixed[11] = classes  # one word that may not move
+        of = lm.exchange(n, fixed, classes)
+        best = likelihood(n, of, classes + 1)
+        assert of[11] == classes and best > likelihood(n, np.where(fixed >= 0, fixed, np.arange(12) % classes), classes + 1)
+        for w in range(11):
+            for c in range(classes):
+                moved = of.copy()
+                moved[w] = c
+                assert likelihood(n, moved, classes + 1) <= best + 1e-6
 
 
 # --- quality -------------------------------------------------------------------------------------------------------
@@ -217,7 +232,9 @@ def test_components_equal_all_pairs(spark, size, percent):
 def test_pivot_rounds_and_full_comparison_agree(spark, monkeypatch):
     rows = [(i, t) for i, t in variants(9)]
     docs, want = spark.createDataFrame(rows, "doc_id long, text string"), B.component_of(variants(9), 2, 80)
-    for undecided in (0, 10**9):  # as many pivot rounds as gain something, and none
+    for undecided, small in ((0, 8), (10**9, 8), (10**9, 1), (10**9, 10**9)):  # pivot rounds or none; buckets in blocks or by pairs
+        monkeypatch.setattr(near_dup, "SMALL", small)
+        monkeypatch.setattr(near_dup, "BLOCK", 5)
         monkeypatch.setattr(near_dup, "UNDECIDED", undecided)
         assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, size=2).collect()} == want
 
