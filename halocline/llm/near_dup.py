@@ -10,7 +10,8 @@ Documents with equal sets are one class (a 128-bit sum of element hashes). Only
 ROWS slots a pair with similarity 0.8 misses all bands with probability (1 - 0.8 ** 6) ** 48 = 5e-7. Pairs are never
 listed within a bucket. Instead, in each round every bucket's members are compared with one pivot of the bucket (in the
 first round, in a few bands only); links found join components, and buckets whose members all are in one component are done. What is left after the rounds,
-members of different components in one bucket, is compared in full. Links are confirmed on the full sets of shingle
+members of different components in one bucket, is compared in full: pair by pair in small buckets, and in large ones,
+as those of groups that stay just below the limit, block against block inside tasks, which return links only. Links are confirmed on the full sets of shingle
 hashes, so no link is reported that does not hold, and every bucket's components are those of all its pairs.
 
 Rules for odd input: a NULL or empty text, or one without words, has an empty set and is linked with nothing; a text
@@ -31,6 +32,8 @@ from halocline.llm.frames import filter_words, kept, might_hold, tune
 
 BANDS, ROWS = 48, 6
 SLOTS = BANDS * ROWS
+#: Buckets of more members than this are compared in blocks of BLOCK members.
+SMALL, BLOCK = 8, 256
 #: Bands of the first round: they join most of a large group, so that other bands have little left to compare.
 FIRST = 4
 #: Pivot rounds go on while a round still joins components and more than this many pairs a class are undecided.
@@ -127,6 +130,46 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .filter((100 + percent) * F.col("both") >= percent * (F.size("su") + F.size("sv"))).select("u", "v"))
 
 
+def _within(percent: int):
+    """Links between members (id, items) of one or two blocks of a bucket, as few as connect what links connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = np.asarray(table.column("id"), np.int64)
+        lists = table.column("items").combine_chunks()
+        n = np.asarray(pa.compute.list_value_length(lists), np.int64)
+        values, owner = np.asarray(lists.flatten(), np.int64), np.repeat(np.arange(len(ids)), n)
+        _, item, times = np.unique(values, return_inverse=True, return_counts=True)
+        order = np.argsort(item)
+        item, owner = item[order], owner[order]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        step = max(1, 8_000_000 // max(len(ids), 1))  # items at once: a matrix of at most 32 MB
+        for low in range(0, len(times), step):
+            a, b = np.searchsorted(item, [low, low + step])
+            part = np.zeros((len(ids), min(step, len(times) - low)), np.float32)
+            part[owner[a:b], item[a:b] - low] = 1
+            both += part @ part.T
+        link = (100 + percent) * both >= percent * (n[:, None] + n[None, :]) - 1e-3
+        root = np.arange(len(ids))
+        out = []
+        for i, j in zip(*np.nonzero(np.triu(link, 1))):
+            if root[i] != root[j]:
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                root[root == root[j]] = root[i]
+        u, v = zip(*out) if out else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside large buckets (bucket, id, s members): every pair of a bucket's blocks is one task's group."""
+    blocks = F.ceil(F.col("s") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(-1)), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))
+    spread = rows.select("bucket", "id", F.explode(pairs).alias("g")).select("bucket", "id", "g.a", "g.b")
+    return (spread.join(sets, "id").groupBy("bucket", "a", "b").applyInArrow(_within(percent), "u long, v long").filter("u != v").distinct())
+
+
 def _sizes_fit(a: str, b: str, percent: int):
     """Sets of these sizes can be similar enough."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
@@ -165,6 +208,10 @@ def links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
         rows = rows.join(pending.select("bucket"), "bucket")
         last = left <= UNDECIDED * n or not gained
         if last:
+            large = rows.join(pending.filter(F.col("s") > SMALL).select("bucket", "s"), "bucket")
+            dense = kept(_block_links(large, sets, percent), "links")
+            found = dense if found is None else found.unionByName(dense)
+            rows = rows.join(pending.filter(F.col("s") <= SMALL).select("bucket"), "bucket")
             other = rows.select("bucket", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"))
             pairs = rows.withColumnRenamed("id", "u").join(other, "bucket").filter("u < v AND root != root2")
         else:  # each bucket's pivot: another member by another order in every round
