@@ -34,7 +34,6 @@ UNIGRAM, MERGES = 1, 2
 LONG = 256
 #: Leading bits of a hash that the probes of the sorted keys start from.
 INDEX = 18
-_BASE = 0x9E3779B97F4A7C15
 
 
 def _fields(data: bytes):
@@ -64,17 +63,13 @@ def _fields(data: bytes):
         yield key >> 3, value
 
 
-_known = [np.ones(0, np.uint64)] * 2
+_all_powers = T.Powers(0x9E3779B97F4A7C15)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0 to n - 1 of the base and of its inverse; kept for the next call."""
-    if len(_known[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _known[i] = np.multiply.accumulate(steps)
-    return _known[0][:n], _known[1][:n]
+    """Powers 0 to n - 1 of the base and of its inverse."""
+    p, q = _all_powers(n)
+    return p[:n], q[:n]
 
 
 def _sums(codes: np.ndarray) -> np.ndarray:

@@ -32,18 +32,30 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 
 _CODE = mix(np.arange(256), 7)
-_P = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(n: int):
-    """Powers of the base and of its inverse, at least n of each."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_P, pow(_P, -1, 2**64))):
-            steps = np.full(max(n, CHUNK + 1), base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for so far.
+
+    The tables are not sent along with tasks: what is unpickled starts empty again.
+    """
+
+    def __init__(self, base: int):
+        self.base, self.tables = base, (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __reduce__(self):
+        return Powers, (self.base,)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.tables[0]) < n:
+            made = []
+            for base in (self.base, pow(self.base, -1, 2**64)):
+                steps = np.full(max(n, 1 << 16), base, np.uint64)
+                steps[0] = 1
+                made.append(np.multiply.accumulate(steps))
+            self.tables = tuple(made)
+        return self.tables
+
+
+_power = Powers(0x5851F42D4C957F2D)
 
 
 class Words:
