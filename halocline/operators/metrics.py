@@ -120,7 +120,13 @@ def evaluate(df: DataFrame, pred: str, truth: str, var: str, bulk: str, w: str |
         wmean(r, wt).alias("res_mean"), wmean(r * r, wt).alias("res_var"),
         wmean(eb, wt).alias("bulk_mse"), (1 - F.try_divide(wmean(eb, wt), spread)).alias("bulk_r2"))
     wd = wasserstein_normal(rows, r, w, by)
-    return scores.join(wd, list(by), "left") if by else scores.withColumn("wd", wd.select("wd").scalar())
+    if not by:
+        return scores.withColumn("wd", wd.select("wd").scalar())
+    wd = wd.withColumnsRenamed({b: f"_g_{b}" for b in by})
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return scores.join(wd, on, "left").drop(*[f"_g_{b}" for b in by])
 
 
 def bias(df: DataFrame, pred: str, truth: str, bulk: str, w: str | None = None, by: list[str] = ()) -> DataFrame:

@@ -21,7 +21,12 @@ def resample_mean(df: DataFrame, time: str, freq: str, cols: list[str], by: list
     w = step_micros(freq)
     span = out.groupBy(*by).agg(F.min(micros(time)).alias("_a"), F.max(micros(time)).alias("_b"))
     bins = span.select(*by, F.explode(F.sequence("_a", "_b", F.lit(w).cast("bigint"))).alias("_m"))
-    return bins.withColumn(time, from_micros(F.col("_m"))).drop("_m").join(out, [*by, time], "left")
+    bins = bins.withColumn(time, from_micros(F.col("_m"))).drop("_m")
+    renamed = out.withColumnsRenamed({c: f"_g_{c}" for c in [*by, time]})
+    on = F.col(time) == F.col(f"_g_{time}")
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return bins.join(renamed, on, "left").select(*by, time, *cols)
 
 
 def _wrapped(a: Column, b: Column, wrap: bool) -> Column:
@@ -112,6 +117,15 @@ def rolling_mean(df: DataFrame, col: str, n: int, order: str, tie: str | None =
     return rows.select(*df.columns, mean.alias(name), (F.col(col) - F.coalesce(mean, F.lit(0.0))).alias(f"{name}_anomaly"))
 
 
+def _join_groups(rows: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
+    """Rows with the columns of their group's row; NULL is a group like others."""
+    renamed = per_group.withColumnsRenamed({b: f"_g_{b}" for b in by})
+    on = F.lit(True)
+    for b in by:
+        on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
+    return rows.join(renamed, on).drop(*[f"_g_{b}" for b in by])
+
+
 def _lag_sums(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None, by: list[str]) -> DataFrame:
     """Sums over all pairs (i, i+k) of one series, k = 0..max_lag.
 
@@ -120,7 +134,7 @@ def _lag_sums(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None
     """
     mean = df.groupBy(*by).agg(F.avg(col).alias("_mean"))
     rows = df.filter(F.col(col).isNotNull())
-    rows = rows.join(mean, by) if by else rows.withColumn("_mean", mean.scalar())
+    rows = _join_groups(rows, mean, by) if by else rows.withColumn("_mean", mean.scalar())
     rows = rows.select(*by, order, *([tie] if tie else []), (F.col(col) - F.col("_mean")).alias("_x"))
     blocks = halo_blocks(row_index(rows, by, order, tie, "_i"), by, "_i", BLOCK, 0, max_lag)
     blocks = blocks.select(*by, "_block", "_own", "_i", "_x")
@@ -153,7 +167,7 @@ def autocorr(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None
         df = rolling_mean(df, col, detrend, order, tie, by, "_roll").withColumn(col, F.col("_roll_anomaly"))
     s = _lag_sums(df, col, max_lag, order, tie, by)
     zero = s.filter("lag = 0").select(*by, F.col("sxx").alias("_whole"))
-    s = s.join(zero, by) if by else s.withColumn("_whole", zero.scalar())
+    s = _join_groups(s, zero, by) if by else s.withColumn("_whole", zero.scalar())
     return s.select(*by, "lag", F.try_divide(F.col("sxy"), F.col("_whole")).alias("r"))
 
 

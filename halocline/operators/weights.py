@@ -56,7 +56,6 @@ def importance_weights(sample: DataFrame, target: DataFrame, cols: list[str], ke
     The width is chosen by the mean log weight of held-out target folds.
     """
     gammas = list(gammas or GAMMAS)
-    centres = min(centres, MAX_CENTRES)
     pick = hash_hex(seed, F.col(target_key) if target_key else F.concat_ws("|", *cols))
     target = target.dropna("any", subset=cols)
     source = sample.dropna("any", subset=cols)

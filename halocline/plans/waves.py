@@ -20,9 +20,9 @@ def cruise_months(wave: DataFrame, time: str = "ts") -> DataFrame:
 
 
 def add_waves(obs: DataFrame, wave: DataFrame, cols: list[str], time: str = "time", grid_time: str = "ts",
-              only_cruise_months: bool = False) -> DataFrame:
-    """Observations with wave columns interpolated in time and space; 0 where there is no wave value."""
-    rows = obs.filter(F.col(time) >= F.lit(f"{FIRST_YEAR}-01-01").cast("timestamp_ntz"))
+              only_cruise_months: bool = False, first_year: int | None = FIRST_YEAR) -> DataFrame:
+    """Observations from `first_year` on (None: all) with wave columns interpolated in time and space; 0 where there is no wave value."""
+    rows = obs if first_year is None else obs.filter(F.col(time) >= F.lit(f"{first_year}-01-01").cast("timestamp_ntz"))
     field = cruise_months(wave, grid_time) if only_cruise_months else wave
     field = fill_missing(field, cols)
     return fill_missing(interp_track(rows, field, cols, time, grid_time), cols)

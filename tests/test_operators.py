@@ -240,3 +240,11 @@ def test_profile_at_the_measuring_height_is_the_measurement(spark):
         {"p": F.lit(101000.0), "zu": F.lit(15.0), "zt": F.lit(15.0), "zq": F.lit(15.0)})
     r = B.profile_at(df, 15.0).first()
     assert r["u_ref"] == pytest.approx(7.0) and r["t_ref"] == pytest.approx(18.0) and r["rh_ref"] == pytest.approx(75.0, abs=0.2)
+
+
+def test_a_null_group_is_a_group(spark):
+    rows = [(None, "2024-01-01 00:10", 1.0), (None, "2024-01-01 02:10", 3.0), ("a", "2024-01-01 00:10", 5.0), ("a", "2024-01-01 01:10", 6.0)]
+    df = spark.createDataFrame(rows, "g string, t string, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = [(r.g, r.t.hour, r.v) for r in S.resample_mean(df, "t", "1 hour", ["v"], ["g"], fill=True).orderBy("g", "t").collect()]
+    assert got == [(None, 0, 1.0), (None, 1, None), (None, 2, 3.0), ("a", 0, 5.0), ("a", 1, 6.0)]
+    assert {r.g for r in S.autocorr(df, "v", 1, "t", by=["g"]).collect()} == {None, "a"}
