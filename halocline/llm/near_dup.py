@@ -11,7 +11,8 @@ ROWS slots a pair with similarity 0.8 misses all bands with probability (1 - 0.8
 listed within a bucket. Instead, in each round every bucket's members are compared with one pivot of the bucket (in the
 first round, in a few bands only); links found join components, and buckets whose members all are in one component are done. What is left after the rounds,
 members of different components in one bucket, is compared in full: pair by pair in small buckets, and in large ones,
-as those of groups that stay just below the limit, block against block inside tasks, which return links only. Links are confirmed on the full sets of shingle
+as those of groups that stay just below the limit, block against block inside tasks, which return links only; members
+of a bucket's largest component meet the other members there, not each other's blocks. Links are confirmed on the full sets of shingle
 hashes, so no link is reported that does not hold, and every bucket's components are those of all its pairs.
 
 Rules for odd input: a NULL or empty text, or one without words, has an empty set and is linked with nothing; a text
@@ -36,7 +37,7 @@ SLOTS = BANDS * ROWS
 SMALL, BLOCK = 8, 256
 #: Bands of the first round: they join most of a large group, so that other bands have little left to compare.
 FIRST = 4
-#: Pivot rounds go on while a round still joins components and more than this many pairs a class are undecided.
+#: Pivot rounds go on while more than this many pairs a class are undecided and the last round left at most half of them.
 UNDECIDED = 2
 
 
@@ -127,7 +128,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a, b = (sets.select(F.col("id").alias(c), F.col("items").alias(f"s{c}")) for c in "uv")
     both = F.size(F.array_intersect("su", "sv"))
     return (pairs.join(a, "u").join(b, "v").withColumn("both", both)
-            .filter((100 + percent) * F.col("both") >= percent * (F.size("su") + F.size("sv"))).select("u", "v"))
+            .filter((100 + percent) * F.col("both") >= percent * (F.size("su") + F.size("sv"))).select(pairs.columns))
 
 
 def _within(percent: int):
@@ -162,11 +163,23 @@ def _within(percent: int):
 
 
 def _block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside large buckets (bucket, id, s members): every pair of a bucket's blocks is one task's group."""
-    blocks = F.ceil(F.col("s") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(-1)), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("a"), F.greatest(o, own).alias("b")))
-    spread = rows.select("bucket", "id", F.explode(pairs).alias("g")).select("bucket", "id", "g.a", "g.b")
+    """Links inside large buckets (bucket, id, root): every two blocks that have pairs to compare are one task's group.
+
+    Blocks 0 to o - 1 hold members outside the bucket's largest component, the m blocks after them those in it.
+    """
+    parts = rows.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(
+        F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("c"), F.sum("c").alias("s"))
+    parts = parts.select("bucket", "main", F.ceil((F.col("s") - F.col("c")) / BLOCK).cast("int").alias("o"), F.ceil(F.col("c") / BLOCK).cast("int").alias("m"))
+    inside = F.col("root") == F.col("main")
+    own = F.pmod(F.xxhash64("id", F.lit(-1)), F.when(inside, F.col("m")).otherwise(F.col("o"))).cast("int")
+    others, mains = F.sequence(F.lit(0), F.col("o") - 1), F.sequence(F.lit(0), F.col("m") - 1)
+
+    def met(i, j):
+        return F.struct(F.least(i, j).alias("a"), F.greatest(i, j).alias("b"))
+
+    to = F.when(inside, F.transform(others, lambda i: met(i, F.col("o") + own))).otherwise(
+        F.concat(F.transform(others, lambda i: met(i, own)), F.transform(mains, lambda i: met(own, F.col("o") + i))))
+    spread = rows.join(parts, "bucket").select("bucket", "id", F.explode(to).alias("g")).select("bucket", "id", "g.a", "g.b")
     return (spread.join(sets, "id").groupBy("bucket", "a", "b").applyInArrow(_within(percent), "u long, v long").filter("u != v").distinct())
 
 
@@ -175,11 +188,10 @@ def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _rooted(buckets: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Buckets' rows with each member's component so far."""
-    if links is None:
-        return buckets.withColumn("root", F.col("id"))
-    return buckets.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _merged(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows whose components (column root) are joined by the links (ru, rv) between roots."""
+    root = components(joined.select(F.col("ru").alias("u"), F.col("rv").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return rows.join(root, "root", "left").withColumn("root", F.coalesce("above", "root")).drop("above")
 
 
 def links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -197,38 +209,37 @@ def links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
     if not n:
         return none
     sets = kept(sets_of(members), "sets")
-    found, tried, gained, turn = None, none, True, 0
-    rows = _rooted(buckets, None)
+    found, tried, before, turn = none, none, None, 0
+    rows = buckets.withColumn("root", F.col("id"))
     while True:
         inside = rows.groupBy("bucket", "root").agg(F.count("*").alias("c"))
         pending = kept(inside.groupBy("bucket").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q"), "pending")
         left = pending.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
         if not left:
-            return found if found is not None else none
+            return found
         rows = rows.join(pending.select("bucket"), "bucket")
-        last = left <= UNDECIDED * n or not gained
+        last = left <= UNDECIDED * n or (before is not None and 2 * left > before)
         if last:
-            large = rows.join(pending.filter(F.col("s") > SMALL).select("bucket", "s"), "bucket")
-            dense = kept(_block_links(large, sets, percent), "links")
-            found = dense if found is None else found.unionByName(dense)
+            large = rows.join(pending.filter(F.col("s") > SMALL).select("bucket"), "bucket")
+            found = found.unionByName(kept(_block_links(large, sets, percent), "links"))
             rows = rows.join(pending.filter(F.col("s") <= SMALL).select("bucket"), "bucket")
             other = rows.select("bucket", F.col("id").alias("v"), F.col("n").alias("m"), F.col("root").alias("root2"))
-            pairs = rows.withColumnRenamed("id", "u").join(other, "bucket").filter("u < v AND root != root2")
+            pairs = rows.withColumnRenamed("id", "u").join(other, "bucket").filter("u < v AND root != root2").withColumns({"ru": F.col("root"), "rv": F.col("root2")})
         else:  # each bucket's pivot: another member by another order in every round
             some = rows.filter(F.col("band") < FIRST) if turn == 0 else rows
             order = F.xxhash64("id", F.lit(turn))
             least = some.groupBy("bucket").agg(F.min(order).alias("o"))
             pivot = some.withColumn("o", order).join(least, ["bucket", "o"]).select("bucket", F.col("id").alias("p"), F.col("n").alias("m"), F.col("root").alias("root2"))
-            pairs = some.join(pivot, "bucket").filter("id != p AND root != root2").withColumns({"u": F.least("id", "p"), "v": F.greatest("id", "p")})
-        pairs = kept(pairs.filter(_sizes_fit("n", "m", percent)).select("u", "v").distinct().join(tried, ["u", "v"], "left_anti"), "pairs")
+            pairs = some.join(pivot, "bucket").filter("id != p AND root != root2").withColumns(
+                {"u": F.least("id", "p"), "v": F.greatest("id", "p"), "ru": F.col("root"), "rv": F.col("root2")})
+        pairs = kept(pairs.filter(_sizes_fit("n", "m", percent)).select("u", "v", "ru", "rv").dropDuplicates(["u", "v"]).join(tried, ["u", "v"], "left_anti"), "pairs")
         new = kept(_linked(pairs, sets, percent), "links")
-        gained = turn == 0 or not new.isEmpty()
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(new.select("u", "v"))
         if last:
             return found
-        tried = tried.unionByName(pairs)
-        rows = kept(_rooted(rows.select("bucket", "band", "id", "n"), found), "rooted")
-        turn += 1
+        tried = tried.unionByName(pairs.select("u", "v"))
+        rows = kept(_merged(rows, new), "rooted")
+        before, turn = left if turn else None, turn + 1  # the first round looks at a few bands only
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, kind=T.SOLID) -> DataFrame:
