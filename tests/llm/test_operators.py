@@ -390,6 +390,22 @@ def test_licence_labels(spark):
     assert got[6].labels == "gpl"
 
 
+def test_each_notice_gets_its_own_licence(spark):
+    """Every sentence, whole and without any one word but the telling ones, against all sentences of other licences."""
+    cases = []
+    for label, text, tell in licenses.TEMPLATES:
+        words = text.split()
+        cases.append((label, text))
+        if len(words) > 10:
+            cases += [(label, " ".join(words[:i] + words[i + 1:])) for i, w in enumerate(words) if not set(B.alnum(w)) & set(tell.split() + B.alnum("creativecommons Attribution GNU"))]
+    cases += [("cc-by", "This work is licensed under a Creative Commons Attribution 3.0 Unported License"), ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License"),
+              ("lgpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+              ("gpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation")]
+    docs = spark.createDataFrame([(i, f"Foo bar {t}. Baz") for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: {s.label for s in r.spans} for r in licenses.scan(docs).collect()}
+    assert not [(label, got[i], t) for i, (label, t) in enumerate(cases) if got[i] != {label}]
+
+
 def test_licences_on_awkward_rows(awkward, empty, clashing):
     assert licenses.scan(clashing).count() == len(AWKWARD) and licenses.scan(empty).count() == 0
     assert {r.labels for r in licenses.scan(awkward).collect()} == {""}
