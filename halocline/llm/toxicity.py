@@ -6,10 +6,14 @@
    the (negative) log-odds of the rest.
 2. In every whole text a linear-time scan finds all maximal scoring segments of the word scores.
 3. Extreme-value calibration: the best segment's score of clean sample texts gives the parameters of
-   E = K n exp(-lambda S) for a text of n words. Segments with E below ``PASSAGE`` are toxic passages; the smallest E
-   becomes a p-value, its Bayes factor bound -1 / (e p ln p) and, with the prior odds, the probability of being toxic.
+   E = K n exp(-lambda S) for a text of n words. Segments with E below ``PASSAGE`` are toxic passages.
+4. All segments of a text count: E of the r-th best is the expected number of segments as good, so r of them have the
+   chance of a Poisson number of r or more. Each r has its share of the error (``ALONE`` for the best segment), the
+   smallest quotient is the text's p-value, and if more of the clean sample than that has values below ``PASSAGE``, all
+   are raised by this ratio. The p-value gives the Bayes factor bound -1 / (e p ln p) and, with the prior odds, the
+   probability of being toxic.
 
-The model (features and three numbers) has a fixed size; texts are scored in one pass without a shuffle.
+The model (features and four numbers) has a fixed size; texts are scored in one pass without a shuffle.
 
 Rules for odd input: a NULL or empty text has no words and gets the prior; labels that are NULL are not used; a
 doc_id with several labels counts as toxic if one of them says so; without labels of both kinds there is no feature
@@ -19,7 +23,7 @@ and every text gets the prior; repeated rows are scored one by one; other column
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +40,21 @@ Z = 3.0
 ODDS = 3.0
 PRIOR = 0.1
 PASSAGE = 0.05
+#: Share of the error that the best segment alone has; the r best together have (1 - ALONE) / (r (r - 1)), which adds up to 1.
+ALONE = 0.9
 REJECT = 0.7
 
 
 @dataclass(frozen=True)
 class Model:
-    """Hashes of features (sorted) with their scores and lengths in characters (0: whole words), the score of all other words, and E's parameters."""
+    """Hashes of features (sorted) with their scores and lengths in characters (0: whole words), the score of all other words, E's parameters, and the factor of p-values."""
 
     hashes: np.ndarray
     scores: np.ndarray
     rest: float
     rate: float = 1.0
     log_k: float = 0.0
+    raised: float = 1.0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -114,7 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     a, b, c = m.vl - math.pi ** 2 / 6, -2 * m.c, m.vs
     roots = [r for r in ((-b + s * math.sqrt(max(b * b - 4 * a * c, 0))) / (2 * a) if abs(a) > 1e-9 else -c / b if b else 0 for s in (1, -1)) if r > 0]
     rate = min(1.0, 1 / min(roots)) if roots else 1.0
-    return Model(model.hashes, model.scores, model.rest, rate, rate * m.s - m.l - 0.5772156649)
+    model = replace(model, rate=rate, log_k=rate * m.s - m.l - 0.5772156649)
+    low = scan(texts.filter("toxic = 0").select("id", "text"), model).agg(F.avg((F.col("p") < PASSAGE).cast("double"))).first()[0]
+    return replace(model, raised=max(1.0, low / PASSAGE))
 
 
 def _scores(words: T.Words, model: Model) -> np.ndarray:
@@ -182,22 +191,43 @@ def _scan(model: Model):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(part.schema.get_field_index("id")), pa.array(words.counts.astype(np.int64)),
                      pa.array([max((s[2] for s in f), default=0.0) for f in found], pa.float64()),
-                     pa.array([[{"first": a, "last": b, "score": s} for a, b, s in f] for f in found], kind)], names=["id", "n_words", "best", "segments"])
+                     pa.array([p_value([s[2] for s in f], n, model) for f, n in zip(found, words.counts.tolist())], pa.float64()),
+                     pa.array([[{"first": a, "last": b, "score": s} for a, b, s in f] for f in found], kind)], names=["id", "n_words", "best", "p", "segments"])
     return run
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """Of each text: id, n_words, best (its highest segment score) and segments."""
-    return docs.select("id", "text").mapInArrow(_scan(model), "id long, n_words long, best double, segments array<struct<first:int,last:int,score:double>>")
+    """Of each text: id, n_words, best (its highest segment score), p (p-value of all segments) and segments."""
+    return docs.select("id", "text").mapInArrow(_scan(model), "id long, n_words long, best double, p double, segments array<struct<first:int,last:int,score:double>>")
 
 
 def _expected(score: Column, n_words: Column, model: Model) -> Column:
     return F.exp(F.lit(model.log_k) + F.log(n_words + 1.0) - F.lit(model.rate) * score)
 
 
-def probability(best: Column, n_words: Column, model: Model, prior: float = PRIOR) -> Column:
-    p = F.greatest(F.lit(1e-300), -F.expm1(-_expected(best, n_words, model)))
-    bayes = F.when((best > 0) & (p < math.exp(-1)), -1 / (math.e * p * F.log(p))).otherwise(1.0)
+def _at_least(r: int, mean: float) -> float:
+    """Log of the chance that a Poisson number with this mean, below r + 1, is r or more."""
+    total, term, k = 1.0, 1.0, r
+    while term > 1e-12 * total:
+        k += 1
+        term *= mean / k
+        total += term
+    return r * math.log(mean) - mean - math.lgamma(r + 1) + math.log(total)
+
+
+def p_value(scores: list[float], n_words: int, model: Model) -> float:
+    """The p-value of a text of so many words by the scores of all its segments."""
+    base, low = model.log_k + math.log(n_words + 1.0), 0.0
+    for r, s in enumerate(sorted(scores, reverse=True), 1):
+        share = ALONE if r == 1 else (1 - ALONE) / (r * (r - 1))
+        log_e = base - model.rate * s
+        if log_e < math.log(r):  # else the chance is above a half or so
+            low = min(low, _at_least(r, max(math.exp(max(log_e, -700.0)), 1e-300)) - math.log(share))
+    return min(1.0, max(1e-300, math.exp(max(low, -690.0)) * model.raised))
+
+
+def probability(p: Column, prior: float = PRIOR) -> Column:
+    bayes = F.when(p < math.exp(-1), -1 / (math.e * p * F.log(p))).otherwise(1.0)
     odds = bayes * (prior / (1 - prior))
     return odds / (1 + odds)
 
@@ -211,7 +241,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     tune(docs.sparkSession)
     slim = _slim(docs, id_col, text_col)
     model = fit(slim, labels, size)
-    p = probability(F.col("best"), F.col("n_words"), model)
+    p = probability(F.col("p"))
     passages = F.filter("segments", lambda s: _expected(s["score"], F.col("n_words"), model) < PASSAGE)
     return (scan(slim, model).withColumn("score", p)
             .select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
@@ -237,14 +267,13 @@ def _passes(model: Model, threshold: float):
                 good = np.ones(words.n_rows, bool)
                 for r in np.flatnonzero(np.diff(cut)):
                     w = hit[cut[r]: cut[r + 1]]
-                    best = max(s[2] for s in segments(w - words.first[r], score[w], model.rest))
-                    good[r] = _probability(best, int(words.counts[r]), model) < threshold
+                    found = [s[2] for s in segments(w - words.first[r], score[w], model.rest)]
+                    good[r] = _probability(p_value(found, int(words.counts[r]), model)) < threshold
                 yield part.filter(pa.array(good))
     return run
 
 
-def _probability(best: float, n_words: int, model: Model, prior: float = PRIOR) -> float:
+def _probability(p: float, prior: float = PRIOR) -> float:
     """The same as :func:`probability` for one text."""
-    p = max(1e-300, -math.expm1(-math.exp(min(700.0, model.log_k + math.log(n_words + 1.0) - model.rate * best))))
-    odds = (-1 / (math.e * p * math.log(p)) if best > 0 and p < math.exp(-1) else 1.0) * prior / (1 - prior)
+    odds = (-1 / (math.e * p * math.log(p)) if p < math.exp(-1) else 1.0) * prior / (1 - prior)
     return odds / (1 + odds)

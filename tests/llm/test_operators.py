@@ -354,6 +354,22 @@ def test_toxicity_on_held_out_labels(spark):
     assert ((got.score >= 0.7) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_all_passages_of_a_text_count():
+    model = toxicity.Model(np.empty(0, np.uint64), np.empty(0), -1.0)
+
+    def score(*expected, n=99):
+        return toxicity._probability(toxicity.p_value([np.log((n + 1) / e) for e in expected], n, model))
+
+    assert score(0.01) < 0.5 and score(0.01, 0.01) >= toxicity.REJECT and score(0.04) < 0.5 and score(*[0.04] * 3) >= toxicity.REJECT
+    assert score(*[10.0] * 40) >= toxicity.REJECT > score(*[10.0] * 10)
+    assert score(1e-3) >= toxicity.REJECT and score(1e-3, 2.0, 3.0) == score(1e-3) and score() == pytest.approx(toxicity.PRIOR)
+    for r, e in ((1, 0.3), (3, 0.04), (40, 10.0)):
+        assert toxicity._at_least(r, e) == pytest.approx(np.log(sum(np.exp(-e + k * np.log(e) - sum(np.log(range(1, k + 1)))) for k in range(r, r + 60))))
+    rng = np.random.default_rng(4)  # texts without passages: segments of a Poisson number, E uniform
+    low = [toxicity.p_value([np.log(100 / e) for e in rng.uniform(0, 20, rng.poisson(20))], 99, model) for _ in range(20_000)]
+    assert all(np.mean(np.array(low) <= a) <= a * 1.2 for a in (0.1, 0.05, 0.01))
+
+
 def test_toxicity_without_labels_and_on_awkward_rows(spark, awkward, empty, clashing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(awkward, none).toPandas()
