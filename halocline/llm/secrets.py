@@ -1,10 +1,11 @@
 """Secrets in texts, with linking of credentials that come in parts; DataFrame functions only.
 
 Certain kinds stand alone: assignments of a value to a secret's name, access ids and long hex strings. Others are weak:
-a random-looking value (secret), the name of an account (ident) and a service's address (endpoint). A weak one counts
-only if its complement stands within ``SCOPE`` characters: a value next to an identifier, an identifier next to a value,
-an address next to both. That is an interval join of the parts of one text: parts are ordered by place, and a range
-frame around each looks for the others, which is linear in the number of parts and lists no pairs.
+a random-looking value (secret), the name of an account (ident) and a service's address (endpoint), of any length. A
+weak one counts only if its complement stands within ``SCOPE`` characters: a value next to an identifier, an identifier
+next to a value, an address next to both. Only characters outside of all parts are counted, so long parts do not keep
+their neighbours apart. That is an interval join of the parts of one text: parts are ordered by place, and a range frame
+around each looks for the others, which is linear in the number of parts and lists no pairs.
 
 Places are found by splitting a text at a pattern: the pieces' and matches' lengths, summed up, are the places. Texts go
 through this only if they hold a match. One row for each document and one for each part are shuffled, never texts.
@@ -15,6 +16,8 @@ gives an empty result; columns beyond id and text are not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -27,16 +30,27 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_VALUE = 12
 BASE = ["assign", "access", "hex"]
 
-SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])"
-IDENT = r"""(?i)(?<![A-Za-z0-9_])(?:access_?key_?id|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,128}"""
-ENDPOINT = r"(?i)(?:https?|ftp|jdbc:[a-z]+|mongodb|redis|amqp)://[A-Za-z0-9.@:_-]{4,255}"
+SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{14,}+={0,2}(?![A-Za-z0-9+/=_-])"
+#: Least length times log2 of the number of different characters of a random-looking value; 14 characters are the fewest that can reach it.
+BITS = 50
+IDENT = r"""(?i)(?<![A-Za-z0-9_])(?:access_?key_?id|client_?id|account|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""
+ENDPOINT = r"(?i)(?:https?|ftp|jdbc:[a-z]+|mongodb|redis|amqp)://[A-Za-z0-9.@:_-]{4,}"
 KINDS = [*BASE, "secret", "ident", "endpoint"]
 SCOPE = 200
 KEYS = ["id", "key"]
 
 
-def _matches(text: Column, pattern: str, kind: str, value: int = 0, gate: Column | None = None) -> Column:
-    """array<struct<start, kind_no, end>> of the pattern's matches; ``value``: least length of group 2."""
+def _random(value: Column) -> Column:
+    """Whether a value looks random: 32 or more plain characters, or runs of one class (upper, lower, digit) of four characters or fewer in the mean."""
+    plain = value.rlike("^[A-Za-z0-9+/]{32}") & ~value.rlike("[_-]")
+    kinds = F.regexp_replace(value, "[^A-Za-z0-9]+", "")
+    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(kinds, "[a-z]+", "a"), "[A-Z]+", "A"), "[0-9]+", "0")
+    bits = F.length(value) * F.log2(F.size(F.array_distinct(F.split(value, ""))).cast("double"))
+    return plain | ((bits >= BITS) & (4 * F.length(runs) >= F.length(kinds)))
+
+
+def _matches(text: Column, pattern: str, kind: str, value: int = 0, gate: Column | None = None, test: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, kind_no, end>> of the pattern's matches; ``value``: least length of group 2; ``test``: what holds for matches that count."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     size = F.transform(found, lambda m: F.length(m))
     between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
@@ -53,6 +67,8 @@ def _matches(text: Column, pattern: str, kind: str, value: int = 0, gate: Column
     if value:
         long = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
         spans = F.filter(spans, lambda s, i: F.length(F.get(long, i)) >= value)
+    if test:
+        spans = F.filter(spans, lambda s, i: test(F.get(found, i)))
     holds = text.rlike(pattern)
     return F.when(holds if gate is None else gate & holds, spans).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))
 
@@ -60,7 +76,7 @@ def _matches(text: Column, pattern: str, kind: str, value: int = 0, gate: Column
 def _parts(text: Column) -> Column:
     sign = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
     base = F.concat(_matches(text, ASSIGN, "assign", ASSIGN_VALUE, sign), _matches(text, ACCESS, "access", gate=F.contains(text, F.lit("AKIA"))), _matches(text, HEX, "hex"))
-    weak = F.concat(_matches(text, SECRET, "secret"), _matches(text, IDENT, "ident", gate=sign), _matches(text, ENDPOINT, "endpoint", gate=F.contains(text, F.lit("://"))))
+    weak = F.concat(_matches(text, SECRET, "secret", test=_random), _matches(text, IDENT, "ident", gate=sign), _matches(text, ENDPOINT, "endpoint", gate=F.contains(text, F.lit("://"))))
     return F.concat(base, weak)
 
 
@@ -73,7 +89,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope
              .select(*KEYS, F.explode_outer("parts").alias("p")).select(*KEYS, "p.start", "p.kind", "p.end"))
     kind = {k: F.col("kind") == i for i, k in enumerate(KINDS)}
     value, who = kind["assign"] | kind["hex"] | kind["secret"], kind["access"] | kind["ident"]
-    around = Window.partitionBy(*KEYS).orderBy("start").rangeBetween(-scope, scope)
+    in_order = Window.partitionBy(*KEYS).orderBy("start", "end", "kind")
+    done = F.coalesce(F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("gap", F.when(F.col("start") > done, F.col("start") - done).when(F.col("start").isNotNull(), 0).cast("long"))
+    parts = parts.withColumn("place", F.sum("gap").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))  # characters before it that are in no part
+    around = Window.partitionBy(*KEYS).orderBy("place").rangeBetween(-scope, scope)
     near = parts.withColumns({"n_value": F.count_if(value).over(around), "n_who": F.count_if(who).over(around)})
     linked = ((kind["secret"] & (F.col("n_who") > 0)) | (kind["ident"] & (F.col("n_value") > 0)) | (kind["endpoint"] & (F.col("n_who") > 0) & (F.col("n_value") > 0)))
     real = F.col("kind").between(0, len(BASE) - 1) | linked

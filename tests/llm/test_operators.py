@@ -316,6 +316,21 @@ def test_secret_spans(spark):
     assert kinds[8] == {"secret", "endpoint"} and kinds[9] == kinds[10] == kinds[11] == kinds[13] == set() and kinds[12] == {"secret", "ident"}
 
 
+def test_parts_of_any_length_are_linked(spark):
+    rng = random.Random(6)
+    plain, safe = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "_-"
+    values = ["aB3" + "".join(rng.choice(plain) for _ in range(n - 3)) for n in (20, 31, 32, 88, 89, 120, 5000)]
+    values += ["aB3-_" + "".join(rng.choice(plain + safe) for _ in range(n - 6)) + "Z" for n in (31, 43, 200)]
+    long, name = "https://" + "a.b-c" * 80, "login: " + "n" * 400
+    texts = [f"client_id: abc {v} end" for v in values] + [f"{long} login: bob {values[2]}", f"{long} {name} {values[2]}", f"{values[4]} {'pad ' * 49} {name}"]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = [r.text for r in sorted(secrets.redact(docs).collect(), key=lambda r: r.doc_id)]
+    assert got[:len(values)] == ["[secret] [secret] end"] * len(values)
+    assert got[-3:] == ["[secret] [secret] [secret]"] * 2 + [f"[secret] {'pad ' * 49} [secret]"]
+    none = [f"client_id: abc {v} end" for v in ("Internationalisation2024", "short1Aa", "x" * 40)] + [f"{values[4]} {'pad ' * 51} login: bob"]
+    assert {r.spans for r in secrets.digest(secrets.spans(spark.createDataFrame(list(enumerate(none)), "doc_id long, text string"))).collect()} == {""}
+
+
 def test_secrets_on_awkward_rows(awkward, empty, clashing):
     got = secrets.digest(secrets.spans(clashing)).collect()
     assert len(got) == len(AWKWARD) and all(r.spans == "" for r in got)
