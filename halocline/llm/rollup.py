@@ -102,7 +102,7 @@ class Rollup:
 
     def apply(self, name: str, changes: DataFrame) -> bool:
         """Commit a batch of changes (op, doc_id, version, source, lang, n_tokens, seq); False if it was committed before."""
-        if self._exists(f"{self.path}/commits/{name}"):
+        if name in self.committed():  # a folder without a record is what a failed attempt left
             return False
         rank = F.expr("CASE op WHEN 'revise' THEN 0 WHEN 'insert' THEN 1 ELSE 2 END")
         best = Window.partitionBy("doc_id", "version").orderBy(F.desc("seq"), rank, F.desc("n_tokens"), "source", "lang")

@@ -193,6 +193,14 @@ def test_rollup_survives_a_failed_attempt_and_odd_changes(spark, tmp_path):
     assert state.apply("y", change(spark, [])) and state.committed() == ["x", "y"]
 
 
+@pytest.mark.parametrize("left", ["", "_temporary/0"])
+def test_a_commit_folder_without_a_record_is_no_commit(spark, tmp_path, left):
+    state, rows = rollup.Rollup(spark, str(tmp_path / "r")), [("insert", 1, "v", "a", "en", 7, 0)]
+    (tmp_path / "r/commits/x" / left).mkdir(parents=True)
+    assert state.apply("x", change(spark, rows)) and not state.apply("x", change(spark, rows))
+    assert state.committed() == ["x"] and [tuple(r) for r in state.totals().collect()] == [("a", "en", "v", 1, 7)]
+
+
 def test_token_counts(awkward, empty):
     import tiktoken  # noqa: F401
     count = rollup.by_byte_pairs(f"{rollup.TOKENIZERS}/byte_bpe_50k.tiktoken")
