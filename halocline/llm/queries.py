@@ -46,6 +46,17 @@ def op3(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def poor(labels):
+    """doc_id of texts labelled to be of low quality but not toxic."""
+    return labels.filter("quality = 0 AND (toxic = 0 OR toxic IS NULL)").select("doc_id").distinct()
+
+
+def recounts(docs, ids, tokenizers):
+    """Counts of these documents without their symbols. They are counted before the join: a join of whole texts would move them all."""
+    texts = might_hold(docs, "doc_id", filter_words(ids, "doc_id"))
+    return rollup.counts(texts.withColumn("text", F.translate("text", "#*$%&|<>", "")), tokenizers).join(ids, "doc_id", "left_semi")
+
+
 @query("op4_token_rollup")
 def op4(spark, sf_dir):
     """All documents are inserted; then those labelled toxic are deleted, and those of low quality are counted again
@@ -60,10 +71,7 @@ def op4(spark, sf_dir):
     gone = labels.filter("toxic = 1").select("doc_id").distinct().select("doc_id", version, none.alias("source"), none.alias("lang"),
                                                                          F.lit(0).cast("long").alias("n_tokens"), F.lit("delete").alias("op"), seq)
     state.apply("delete-toxic", gone)
-    poor = labels.filter("quality = 0 AND (toxic = 0 OR toxic IS NULL)").select("doc_id").distinct()
-    texts = might_hold(docs, "doc_id", filter_words(poor, "doc_id")).join(poor, "doc_id", "left_semi")
-    again = rollup.counts(texts.withColumn("text", F.translate("text", "#*$%&|<>", "")), tokenizers)
-    state.apply("recount-symbols", kept(again, "recounts").select("*", F.lit("revise").alias("op"), seq))
+    state.apply("recount-symbols", kept(recounts(docs, poor(labels), tokenizers), "recounts").select("*", F.lit("revise").alias("op"), seq))
     state.apply("delete-toxic", gone)
     return state.totals()
 

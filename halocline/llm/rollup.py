@@ -24,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from halocline.llm import text as T
+from halocline.llm.frames import filter_words, kept, might_hold
 
 _LEDGER = "doc_id long, version string, source string, lang string, docs long, tokens long"
+_CHANGE = ["op", "doc_id", "version", "source", "lang", "n_tokens", "seq"]
 _TOTALS = "source string, lang string, version string, docs long, tokens long"
 GROUP = ["source", "lang", "version"]
 TOKENIZERS = "/opt/tokenizers"
@@ -106,12 +108,12 @@ class Rollup:
             return False
         rank = F.expr("CASE op WHEN 'revise' THEN 0 WHEN 'insert' THEN 1 ELSE 2 END")
         best = Window.partitionBy("doc_id", "version").orderBy(F.desc("seq"), rank, F.desc("n_tokens"), "source", "lang")
-        last = (changes.filter("doc_id IS NOT NULL AND version IS NOT NULL AND op IN ('insert', 'delete', 'revise')")
-                .withColumn("_n", F.row_number().over(best)).filter("_n = 1"))
-        known = self.ledger()
+        last = kept(changes.filter("doc_id IS NOT NULL AND version IS NOT NULL AND op IN ('insert', 'delete', 'revise')")
+                    .select(*_CHANGE).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n"), "changes")
+        # Only what the ledger holds of the batch's documents is moved and summed up.
+        known = might_hold(self.ledger(), "doc_id", filter_words(last, "doc_id")).join(last.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
         net = known.groupBy("doc_id", "version", "source", "lang").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs != 0")
-        minus = (net.join(last.select("doc_id", "version"), ["doc_id", "version"], "left_semi")
-                 .select("doc_id", "version", "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
+        minus = (net.select("doc_id", "version", "source", "lang", (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         plus = last.filter("op != 'delete'").select("doc_id", "version", "source", "lang", F.lit(1).cast("long").alias("docs"),
                                                     F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("tokens"))
         where = f"{self.path}/ledger/{name}"

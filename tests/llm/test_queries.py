@@ -60,6 +60,24 @@ def test_rollup_words_equal_sql(spark, sf):
     assert got == {(s, la): (n, int(t)) for s, la, n, t in rows}
 
 
+def test_rollup_moves_no_texts(spark, sf):
+    """However large the tables are: with broadcasts by size off, no exchange of the counts holds a text."""
+    import contextlib
+    import io
+    from halocline.llm import queries as Q
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = Q.recounts(read(spark, sf, "documents"), Q.poor(read(spark, sf, "labels")), {"words": Q.rollup.by_words})
+        with contextlib.redirect_stdout(io.StringIO()) as said:
+            again.explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    parts = said.getvalue().split("\n\n")
+    moved = [p for p in parts if ") Exchange" in p]
+    assert moved and not any("text" in p for p in moved)
+
+
 def test_native_queries_have_no_python(spark, sf):
     for name in ("op6_secrets", "op8_licenses"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
