@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halocline.llm import decontam, licenses, lm, near_dup, quality, rollup, secrets, sharding, subwords, toxicity
+from halocline.llm import decontam, licenses, lm, near_dup, negatives, packing, phrases, quality, rollup, secrets, sharding, subwords, toxicity
 from halocline.llm.frames import filter_words, kept, might_hold, read
 from halocline.session import scratch
 from halocline.llm.registry import ORACLES, QUERIES, query
@@ -112,3 +112,53 @@ def op9(spark, sf_dir):
     done = subwords.decode(subwords.encode(read(spark, sf_dir, "documents"), model, keep=["text"]), model)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"),
                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+@query("op11_packing")
+def op11(spark, sf_dir):
+    """All documents in sequences of 2048 tokens."""
+    return packing.pack(read(spark, sf_dir, "documents"), f"{rollup.TOKENIZERS}/word_bpe_49k.json", with_ids=False)
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+sized AS (SELECT lang, w, unnest([1, 2, 3, 4, 5]) AS size FROM w),
+placed AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM sized WHERE len(w) >= size),
+c AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase, count(*) AS f FROM placed GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT *, string_split(phrase, ' ') AS v FROM c WHERE size > 1),
+cuts AS (SELECT lang, phrase, f AS a, v, size, unnest(range(1, size)) AS k FROM cand),
+scored AS (SELECT cuts.lang, cuts.phrase, a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+           FROM cuts JOIN c l ON l.lang = cuts.lang AND l.phrase = array_to_string(v[1:k], ' ')
+           JOIN c r ON r.lang = cuts.lang AND r.phrase = array_to_string(v[k + 1:], ' ') JOIN total ON total.lang = cuts.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c longer WHERE longer.lang = b.lang AND longer.size > len(string_split(b.phrase, ' '))
+           AND contains(' ' || longer.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * longer.f >= 100 * b.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT pos.anchor_id, positive_id, (row_number() OVER (PARTITION BY pos.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s ON s.anchor_id = pos.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13(spark, sf_dir):
+    """Every seventh vector has its label changed first."""
+    rows = negatives.quantised(read(spark, sf_dir, "embeddings"))
+    return negatives.mine(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))

@@ -145,6 +145,34 @@ def pieces(batch: pa.RecordBatch, text: str, size: int = CHUNK) -> Iterator[pa.R
         low = high
 
 
+def parts(column: pa.Array, size: int, border: np.ndarray) -> Iterator[tuple[range, pa.Array, bool]]:
+    """(row numbers, their texts, last) of a column of texts, about ``size`` bytes at once.
+
+    A longer text comes alone, in parts that end after a byte of the class ``border`` (which must be ASCII); ``last`` is
+    False for all but its last part. Where such bytes are further apart, a part is longer.
+    """
+    batch = pa.RecordBatch.from_arrays([column], names=["text"])
+    row = 0
+    for some in pieces(batch, "text", size):
+        texts = some.column(0)
+        if some.num_rows > 1 or not texts[0].is_valid or len(data := texts[0].as_buffer()) <= size:
+            yield range(row, row + some.num_rows), texts, True
+        else:
+            buf = np.frombuffer(data, np.uint8)
+            low = 0
+            while low < len(buf):
+                high = min(low + size, len(buf))
+                while high < len(buf):
+                    step = border[buf[high - 1: high - 1 + size]]
+                    if step.any():
+                        high += int(np.argmax(step))
+                        break
+                    high = min(high + size, len(buf))
+                yield range(row, row + 1), pa.array([buf[low:high].tobytes().decode()], pa.large_string()), high >= len(buf)
+                low = high
+        row += some.num_rows
+
+
 def tuples(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the words that begin n words of one text, and a hash of those n words in order."""
     here = np.flatnonzero(words.row[: len(words) - n + 1] == words.row[n - 1:]) if len(words) >= n else np.empty(0, np.int64)
