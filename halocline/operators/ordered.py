@@ -10,16 +10,18 @@ per (group, chunk).
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from halocline.functions.arrays import doubles
 from halocline.functions.clock import micros
 from halocline.session import shuffle_width
 
 CHUNK = "_chunk"
 _BIG = float("inf")
+#: Missing keys come first; a finite number, so that very many of them are cut like any other value.
+_LEAST = -1.7976931348623157e308
 
 
 def same(a: str, b: str) -> Column:
@@ -50,32 +52,49 @@ def _bucketed(df: DataFrame, col: str, cuts: list[float], out: str) -> DataFrame
     return b.transform(df).withColumn(out, F.col(out).cast("int"))
 
 
+def _tie_edges(keyed: DataFrame, held: dict[float, int], n: int) -> DataFrame:
+    """(_v, _wide, _fine, _step): for each key value that spans several of `n` quantiles, cuts of its rows along the tie column.
+
+    A value that spans m quantiles gets m - 1 cuts, so the table holds fewer than `n` numbers whatever the keys are; that
+    is why it may be broadcast. `_fine` are all cuts, `_wide` every `_step`-th of them.
+    """
+    spark = keyed.sparkSession
+    heavy = spark.createDataFrame(list(held.items()), "_v double, _m int")
+    most = max(held.values())
+    inside = keyed.join(F.broadcast(heavy), F.col("_key") == F.col("_v"))
+    probs = [i / most for i in range(1, most)]
+    found = inside.groupBy("_v").agg(F.max("_m").alias("_m"), F.percentile_approx("_tie", probs, max(10000, 10 * most)).alias("_e")).collect()
+    table = []
+    for r in found:
+        at = sorted({r["_e"][round(j * most / r["_m"]) - 1] for j in range(1, r["_m"])}) if r["_e"] else []
+        step = max(1, math.isqrt(len(at)))
+        table.append((r["_v"], at[step - 1::step], at, step))
+    return spark.createDataFrame(table, "_v double, _wide array<double>, _fine array<double>, _step int")
+
+
 def cut(df: DataFrame, order: str, tie: str | None = None, chunks: int | None = None,
         like: DataFrame | None = None) -> DataFrame:
-    """Add an integer `_chunk` that never decreases along (order, tie).
+    """Add a `_chunk` number that never decreases along (order, tie); fewer than twice `chunks` of them hold rows.
 
     The edges come from one pass over the order column of `df`, or of `like`, a table with
-    the same column that is cheaper to read and spread alike.
+    the same column that is cheaper to read and spread alike. A key value met more than once
+    among the quantiles is cut again by the tie column; its cuts are looked up in a small table.
     """
     n = chunks or shuffle_width(df.sparkSession)
-    keyed = df.withColumn("_key", F.coalesce(order_key(df, order), F.lit(-_BIG)))
-    source = keyed if like is None else like.withColumn("_key", F.coalesce(order_key(like, order), F.lit(-_BIG)))
-    edges = _quantiles(source, F.col("_key"), n)
-    cuts = sorted({e for e in edges if math.isfinite(e)})
-    out = _bucketed(keyed, "_key", cuts, CHUNK)
-    heavy = sorted({e for e in edges if math.isfinite(e) and edges.count(e) > 1})
-    if not heavy or tie is None:
+    keyed = df.withColumn("_key", F.coalesce(order_key(df, order), F.lit(_LEAST)))
+    source = keyed if like is None else like.withColumn("_key", F.coalesce(order_key(like, order), F.lit(_LEAST)))
+    edges = [e for e in _quantiles(source, F.col("_key"), n) if math.isfinite(e)]
+    out = _bucketed(keyed, "_key", sorted(set(edges)), CHUNK)
+    held = {v: c for v, c in Counter(edges).items() if c > 1}
+    if not held or tie is None:
         return out.drop("_key")
-    # A key value met twice among the quantiles holds more than 1/n of the rows.
-    out = out.withColumn("_tie", order_key(df, tie))
-    tie_cuts = {r["_key"]: sorted(set(r["e"])) for r in (
-        out.filter(F.col("_key").isin(heavy)).groupBy("_key")
-        .agg(F.percentile_approx("_tie", [i / n for i in range(1, n)], max(10000, 10 * n)).alias("e")).collect())}
-    sub = F.lit(n + 1)
-    for value, at in tie_cuts.items():
-        inside = F.size(F.filter(doubles(at), lambda a: a <= F.col("_tie")))
-        sub = F.when(F.col("_key") == value, inside).otherwise(sub)
-    return out.withColumn(CHUNK, F.col(CHUNK) * (n + 2) + sub).drop("_key", "_tie")
+    table = _tie_edges(source.withColumn("_tie", order_key(source, tie)), held, n)
+    out = out.withColumn("_tie", order_key(df, tie)).join(F.broadcast(table), F.col("_key") == F.col("_v"), "left")
+    before = lambda at: F.size(F.filter(at, lambda a: a <= F.coalesce(F.col("_tie"), F.lit(-_BIG))))
+    skip = F.col("_step") * before("_wide")
+    # cuts at or below the tie: those skipped in whole steps, and those of the step that is left
+    sub = skip + before(F.slice("_fine", skip + 1, F.col("_step")))
+    return out.withColumn(CHUNK, F.col(CHUNK).cast("bigint") * (n + 2) + F.coalesce(sub, F.lit(n + 1))).drop("_key", "_tie", "_v", "_wide", "_fine", "_step")
 
 
 def scan(df: DataFrame, by: list[str], order: str, tie: str | None = None, sums: dict[str, Column] | None = None,

@@ -94,11 +94,28 @@ def gap_profile(df: DataFrame, time: str, tie: str | None = None, by: list[str]
     return s.withColumn("gap", seconds_between(f"prev_{time}", time) / 60.0).drop(f"prev_{time}")
 
 
+def exact_quantiles(df: DataFrame, col: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """For each group and {name: share}, the smallest value with at least that share of the values at or below it; NULL without values.
+
+    Equal values are counted first. Ranks are running sums of these counts over chunks of the
+    value, so no group is sorted in one task however many values it has.
+    """
+    by = list(by)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = scan(counts, by, col, sums={"_upto": F.col("_c")}, totals=True)
+    found = ranked.groupBy(*by).agg(*[F.min(F.when(F.col("_upto") >= share * F.col("_upto_total"), F.col(col))).alias(name) for name, share in shares.items()])
+    return _join_groups(df.select(*by).distinct(), found, by, "left") if by else found
+
+
 def gap_summary(gaps: DataFrame, by: list[str], long_minutes: float = 60.0) -> DataFrame:
-    return gaps.groupBy(*by).agg(
+    """Number, longest, mean, exact median (the lower middle value) and number of long gaps of each group."""
+    by = list(by)
+    out = gaps.groupBy(*by).agg(
         F.count("gap").alias("n"), F.max("gap").alias("longest"), F.avg("gap").alias("mean"),
-        F.percentile_approx("gap", 0.5, 100000).alias("median"),
         F.count(F.when(F.col("gap") > long_minutes, 1)).alias("n_long"))
+    median = exact_quantiles(gaps, "gap", {"median": 0.5}, by)
+    out = _join_groups(out, median, by) if by else out.withColumn("median", median.scalar())
+    return out.select(*by, "n", "longest", "mean", "median", "n_long")
 
 
 def rolling_mean(df: DataFrame, col: str, n: int, order: str, tie: str | None = None, by: list[str] = (),
@@ -117,13 +134,13 @@ def rolling_mean(df: DataFrame, col: str, n: int, order: str, tie: str | None =
     return rows.select(*df.columns, mean.alias(name), (F.col(col) - F.coalesce(mean, F.lit(0.0))).alias(f"{name}_anomaly"))
 
 
-def _join_groups(rows: DataFrame, per_group: DataFrame, by: list[str]) -> DataFrame:
+def _join_groups(rows: DataFrame, per_group: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
     """Rows with the columns of their group's row; NULL is a group like others."""
     renamed = per_group.withColumnsRenamed({b: f"_g_{b}" for b in by})
     on = F.lit(True)
     for b in by:
         on = on & F.col(b).eqNullSafe(F.col(f"_g_{b}"))
-    return rows.join(renamed, on).drop(*[f"_g_{b}" for b in by])
+    return rows.join(renamed, on, how).drop(*[f"_g_{b}" for b in by])
 
 
 def _lag_sums(df: DataFrame, col: str, max_lag: int, order: str, tie: str | None, by: list[str]) -> DataFrame:
