@@ -91,6 +91,18 @@ def w12(spark, sf):
     return N.red_noise(o, F.sqrt("pred_var"), 0.9, 3, 31, "time", "event_id", ["event_id"]).select("ensem", "event_id", "eps")
 
 
+GAP = "CASE WHEN event_id % 997 <> 500 THEN sqrt(pred_var) END"
+
+
+@query("w12_missing_std", using("obs", extra=_ar(0.9, 3, 31, f"coalesce({GAP}, 0)", 420) + f""", g AS (SELECT min(i) AS gone FROM
+     (SELECT row_number() OVER (ORDER BY time, event_id) - 1 AS i, {GAP} AS sd FROM obs) WHERE sd IS NULL)""") +
+       "SELECT ensem, event_id, CASE WHEN gone IS NULL OR i < gone THEN eps END AS eps FROM e JOIN ix USING (event_id) CROSS JOIN g", keys="ensem, event_id", digits=8)
+def w12_missing(spark, sf):
+    o = obs(spark, sf).select("event_id", "time", "pred_var")
+    std = F.when(F.col("event_id") % 997 != 500, F.sqrt("pred_var"))
+    return N.red_noise(o, std, 0.9, 3, 31, "time", "event_id", ["event_id"]).select("ensem", "event_id", "eps")
+
+
 @query("w13_heat_noise", using("obs", extra=_ar(1 - 3 / 10, 2, 41, "sqrt(pow(1e0+rh/1e2,2)+pow(2e0+lat/1e2,2))", 130)) +
        "SELECT ensem, event_id, eps AS eps_heat FROM e", keys="ensem, event_id", digits=7)
 def w13(spark, sf):

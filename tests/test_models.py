@@ -56,6 +56,24 @@ def test_red_noise_is_the_recursion(spark, alpha, block):
         assert mine == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("alpha", [0.95, 0.3, 1e-3, 1e-170, 0.99999])
+def test_red_noise_does_not_depend_on_the_blocks(spark, alpha, monkeypatch):
+    """A std is missing at row 700: the member has no value from there on, whatever the blocks are."""
+    df = spark.range(1000).withColumnRenamed("id", "t").withColumn("s", F.when(F.col("t") != 700, 1 + F.col("t") % 7))
+    found = []
+    for block in (8, 4096):
+        monkeypatch.setattr(E, "BLOCK", block)
+        found.append({(r.ensem, r.t): r.eps for r in E.red_noise(df, F.col("s"), alpha, 2, 5, "t").collect()})
+    a, b = found
+    assert len(a) == 2000 and all((v is None) == (t >= 700) for (_, t), v in a.items())
+    assert {k: v for k, v in a.items() if v is not None} == pytest.approx({k: v for k, v in b.items() if v is not None}, rel=1e-9, abs=1e-12)
+
+
+def test_red_noise_has_no_python_in_its_plan(spark):
+    plan = E.red_noise(spark.range(50).withColumnRenamed("id", "t"), F.lit(1.0), 0.9, 2, 5, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
 def test_red_noise_statistics(spark):
     df = spark.range(6000).withColumnRenamed("id", "t")
     x = np.array([r["eps"] for r in E.red_noise(df, F.lit(2.0), 0.8, 1, 9, "t").orderBy("t").collect()])
