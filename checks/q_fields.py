@@ -40,6 +40,34 @@ def l3(spark, sf):
     return add_waves(track(spark, sf), view(spark, sf, "grid"), ["phs0", "plp0"]).select("event_id", "phs0", "plp0")
 
 
+# The 30 days of the field are spread over three years; two of the cruises share a month.
+CRUISE_MONTHS = {71: ["200907", "200908", "201002"], 72: ["200908", "200909"], 87: ["201001", "201103", "201104"]}
+SPREAD = "TIMESTAMP '2009-07-01' + to_microseconds(36*date_diff('microsecond', TIMESTAMP '2024-01-01', {}))"
+
+
+def spread(col):
+    """The same times as SPREAD."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01").cast("timestamp_ntz"), F.col(col))
+    return F.timestamp_add("MICROSECOND", 36 * micros, F.lit("2009-07-01").cast("timestamp_ntz"))
+
+
+@query("l3_waves_by_cruise", using("obs", "grid", extra=f"""cm AS (SELECT * FROM (VALUES {', '.join(f"({c}, '{m}')" for c, ms in CRUISE_MONTHS.items() for m in ms)}) AS v(pcode, m)),
+  f AS (SELECT *, {SPREAD.format('ts')} AS t FROM grid), o AS (SELECT *, CASE WHEN lon > 0 THEN lon ELSE 360 + lon END AS x, {SPREAD.format('time')} AS t FROM obs),
+  ax AS (SELECT pcode, t, lead(t) OVER (PARTITION BY pcode ORDER BY t) AS t1 FROM (SELECT DISTINCT pcode, t FROM f JOIN cm ON m = strftime(t, '%Y%m'))),
+  pl AS (SELECT event_id, x, lat, o.t, ax.t AS ta, t1 AS tb, date_diff('microsecond', ax.t, o.t)/date_diff('microsecond', ax.t, t1)::DOUBLE AS wt FROM o JOIN ax ON o.pcode = ax.pcode
+     AND o.t >= ax.t AND (o.t < t1 OR (o.t = t1 AND NOT EXISTS (SELECT 1 FROM ax z WHERE z.pcode = ax.pcode AND z.t > t1)))),
+  ce AS (SELECT *, least(floor((lat+60)/5e0), 23) AS i, least(floor(x/1e1), 34) AS j FROM pl WHERE lat BETWEEN -60 AND 60 AND x BETWEEN 0 AND 350),
+  w AS (SELECT event_id, sum((CASE WHEN a=1 THEN (ce.lat+60)/5e0-i ELSE 1-(ce.lat+60)/5e0+i END)*(CASE WHEN b=1 THEN x/1e1-j ELSE 1-x/1e1+j END)
+     *(CASE WHEN c=1 THEN wt ELSE 1-wt END)*coalesce(phs0, 0)) AS v, count(*) AS n FROM ce CROSS JOIN (VALUES (0),(1)) q(a) CROSS JOIN (VALUES (0),(1)) r(b)
+     CROSS JOIN (VALUES (0),(1)) s(c) JOIN f ON f.lat = -60+5*(i+a) AND f.lon = 10*(j+b) AND f.t = CASE WHEN c=1 THEN tb ELSE ta END GROUP BY event_id)""") + """SELECT event_id, pcode,
+  coalesce(CASE WHEN n = 8 THEN v END, 0) AS phs0 FROM obs LEFT JOIN w USING (event_id)""", keys="event_id, pcode", digits=7)
+def l3_by_cruise(spark, sf):
+    o = Q.norm_lon(view(spark, sf, "obs").select("event_id", "pcode", spread("time").alias("time"), "lat", "lon"))
+    wave = view(spark, sf, "grid").withColumn("ts", spread("ts"))
+    cruises = spark.createDataFrame(list(CRUISE_MONTHS.items()), "pcode int, months array<string>")
+    return add_waves(o, wave, ["phs0"], cruise="pcode", cruises=cruises).select("event_id", "pcode", "phs0")
+
+
 MEAN = """m AS (SELECT lat, lon, avg(sst) AS sst, avg(phs0) AS phs0 FROM grid GROUP BY lat, lon),
   d AS (SELECT *, CASE WHEN lat BETWEEN -60 AND 60 THEN least(floor((lat+60)/5e0), 23) END AS i,
      CASE WHEN lon BETWEEN 0 AND 350 THEN least(floor(lon/1e1), 34) END AS j FROM points),

@@ -206,6 +206,19 @@ def test_interpolation_is_exact_on_a_trilinear_field(spark):
         I.interp_at(pts, grid.filter("lat = 0"), {"lat": "lat"}, ["v"])
 
 
+def test_interpolation_on_a_long_uneven_axis(spark):
+    """200 000 axis values, none of them in the plan, and a field read twice: for its axes and for its corners."""
+    n = 200_000
+    grid = spark.range(n).select((F.col("id") * 1.5 + F.pow(F.col("id") / n, 8) * 1e6).alias("x"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("y")).withColumn(
+        "v", 2 * F.col("x") + 5 * F.col("y"))
+    pts = spark.range(3000).select("id", (F.col("id") * 401.3 - 1000).alias("x"), ((F.col("id") % 10) / 10).alias("y"))
+    out = I.interp_at(pts, grid, {"x": "x", "y": "y"}, ["v"])
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    top = (n - 1) * 1.5 + ((n - 1) / n) ** 8 * 1e6
+    for r in out.collect():
+        assert (r["v"] is None) == (not 0 <= r["x"] <= top) and (r["v"] is None or r["v"] == pytest.approx(2 * r["x"] + 5 * r["y"], abs=1e-6))
+
+
 def test_bulk_signs_and_missing(spark):
     df = spark.createDataFrame([(1, 8.0, 20.0, 18.0, 75.0), (2, None, 20.0, 18.0, 75.0), (3, 8.0, 15.0, 20.0, 99.0), (4, 8.0, -3.0, -5.0, 80.0)],
                                "id int, U double, tsea double, tair double, rh double").withColumns(
