@@ -176,67 +176,83 @@ def station(spark, sf):
 STATE_RH = "1e2*((p/1e2)*q/(0.622e0+0.378e0*q))/(6.1121e0*exp(17.502e0*t/(240.97e0+t))*(1.0007e0+p/1e2*3.46e-6))"
 
 
-def weights_sql(sample, target, cols, key, target_key, steps, folds, seed=0, centres=100):
-    """Expectation-maximisation for the kernel shares, one chain of CTEs per step."""
+def weights_sql(sample, target, cols, key, target_key, folds=5, seed=0, centres=100, tol=1e-2):
+    """The fixed point for the kernel shares as a recursion over (width, fold), to the same tolerance; shares are lists of one number a centre.
+
+    The texts that use it begin with WITH RECURSIVE.
+    """
     d2 = " + ".join(f"pow(a.z{i}-c.z{i}, 2)" for i in range(len(cols)))
     z = ", ".join(f"({c}-m{i})/d{i} AS z{i}" for i, c in enumerate(cols))
     gammas = ", ".join(f"({i}, {g!r}::DOUBLE)" for i, g in enumerate(K.GAMMAS))
-    parts = ["sc AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(cols)) + f" FROM {sample})",
-             f"sa AS (SELECT {key}, {z} FROM {sample} CROSS JOIN sc)",
-             f"t0 AS (SELECT {z}, md5('{seed}:' || {target_key}) AS h FROM {target} CROSS JOIN sc)",
-             f"ta AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY h) AS j, ('0x' || substr(h, 30, 3))::BIGINT % {folds} AS fold FROM t0)",
-             f"ce AS (SELECT * FROM ta WHERE j <= {centres})", f"gm AS (SELECT * FROM (VALUES {gammas}) AS v(g, gamma))",
-             f"mn AS MATERIALIZED (SELECT g, c.j AS l, greatest(avg(exp(-gamma*({d2}))), 1e-300) AS m FROM sa a CROSS JOIN ce c CROSS JOIN gm GROUP BY g, c.j)",
-             f"ph AS MATERIALIZED (SELECT g, a.j, a.fold, c.j AS l, exp(-gamma*({d2}))/m AS p FROM ta a CROSS JOIN ce c CROSS JOIN gm JOIN mn USING (g) WHERE mn.l = c.j)",
-             f"s0 AS (SELECT g, k, l, 1e0/(SELECT count(*) FROM ce) AS s FROM (SELECT DISTINCT g, l FROM mn) CROSS JOIN range({folds + 1}) r(k))"]
-    for i in range(1, steps + 1):
-        parts += [f"x{i} AS MATERIALIZED (SELECT g, k, j, any_value(fold) AS fold, greatest(sum(s*p), 1e-300) AS mix FROM ph JOIN s{i - 1} USING (g, l) GROUP BY g, k, j)",
-                  f"r{i} AS (SELECT ph.g, x.k, ph.l, sum(s.s*p/mix) AS r FROM ph JOIN x{i} x ON x.g = ph.g AND x.j = ph.j JOIN s{i - 1} s ON s.g = ph.g AND s.k = x.k "
-                  f"AND s.l = ph.l WHERE x.k = {folds} OR ph.fold <> x.k GROUP BY ph.g, x.k, ph.l)",
-                  f"s{i} AS MATERIALIZED (SELECT g, k, l, r/greatest(sum(r) OVER (PARTITION BY g, k), 1e-300) AS s FROM r{i})"]
-    n = steps
-    parts += [f"hx AS (SELECT g, k, j, any_value(fold) AS fold, greatest(sum(s*p), 1e-300) AS mix FROM ph JOIN s{n} USING (g, l) GROUP BY g, k, j)",
-              "be AS (SELECT g FROM hx WHERE fold = k GROUP BY g ORDER BY sum(ln(mix))/count(*) DESC LIMIT 1)",
-              f"al AS (SELECT l, gamma, s/m AS a FROM s{n} JOIN mn USING (g, l) JOIN gm USING (g) JOIN be USING (g) WHERE k = {folds})",
-              f"wt AS (SELECT a.{key}, sum(al.a*exp(-gamma*({d2}))) AS w FROM sa a CROSS JOIN ce c JOIN al ON al.l = c.j GROUP BY a.{key})"]
-    return ", ".join(parts)
+    ratio = ", ".join(f"sum(p[{i}]/mix)/count(*)" for i in range(1, centres + 1))
+    scaled = "list_transform(list_zip(s1, q1), lambda x: x[1]*pow(x[2], w1))"
+
+    def fit(name, pairs):
+        return f"""{name} AS (SELECT g, k, list_transform(range({centres}), lambda x: 1e0/{centres}) AS s, list_transform(range({centres}), lambda x: 1e0/{centres}) AS s0,
+             list_transform(range({centres}), lambda x: 1e0) AS q0, -1e308::DOUBLE AS f0, 1e0::DOUBLE AS w, false AS done FROM {pairs}
+           UNION ALL
+           SELECT g, k, list_transform(y, lambda x: x/greatest(list_sum(y), 1e-300)), s1, q1, f1, w1, f >= f0 AND list_max(q1) - 1 < {tol!r}::DOUBLE FROM (
+             SELECT *, {scaled} AS y FROM (
+               SELECT g, k, f, f0, CASE WHEN f >= f0 THEN s ELSE s0 END AS s1, CASE WHEN f >= f0 THEN q ELSE q0 END AS q1, greatest(f, f0) AS f1,
+                 CASE WHEN f >= f0 THEN w*1.5e0 ELSE 1e0 END AS w1 FROM (
+                 SELECT g, k, any_value(s) AS s, any_value(s0) AS s0, any_value(q0) AS q0, any_value(f0) AS f0, any_value(w) AS w,
+                   sum(ln(mix))/count(*) AS f, [{ratio}] AS q FROM (
+                   SELECT {name}.*, p, greatest(list_dot_product(s, p), 1e-300) AS mix FROM {name} JOIN ph USING (g) WHERE NOT done AND fold <> k) GROUP BY g, k))))"""
+
+    return ", ".join([
+        "sc AS (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS d{i}" for i, c in enumerate(cols)) + f" FROM {sample})",
+        f"sa AS (SELECT {key}, {z} FROM {sample} CROSS JOIN sc)",
+        f"t0 AS (SELECT {z}, md5('{seed}:' || {target_key}) AS h FROM {target} CROSS JOIN sc)",
+        f"ta AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY h) AS j, ('0x' || substr(h, 30, 3))::BIGINT % {folds} AS fold FROM t0)",
+        f"ce AS (SELECT * FROM ta WHERE j <= {centres})", f"gm AS (SELECT * FROM (VALUES {gammas}) AS v(g, gamma))",
+        f"mn AS MATERIALIZED (SELECT g, c.j AS l, greatest(avg(exp(-gamma*({d2}))), 1e-300) AS m FROM sa a CROSS JOIN ce c CROSS JOIN gm GROUP BY g, c.j)",
+        f"ph AS MATERIALIZED (SELECT g, any_value(a.fold) AS fold, list(exp(-gamma*({d2}))/m ORDER BY c.j) AS p FROM ta a CROSS JOIN ce c CROSS JOIN gm JOIN mn USING (g) "
+        "WHERE mn.l = c.j GROUP BY g, a.j)",
+        fit("em", f"gm CROSS JOIN range({folds}) r(k)"),
+        "be AS (SELECT g FROM em JOIN ph USING (g) WHERE done AND fold = k GROUP BY g ORDER BY sum(ln(greatest(list_dot_product(s0, p), 1e-300)))/count(*) DESC LIMIT 1)",
+        fit("all_rows", f"(SELECT g, {folds} AS k FROM be)"), "fit AS (SELECT g, k, s0 AS s FROM all_rows WHERE done)",
+        f"al AS (SELECT l, gamma, s[l]/m AS a FROM fit JOIN mn USING (g) JOIN gm USING (g) JOIN be USING (g) WHERE k = {folds})",
+        f"wt AS (SELECT a.{key}, sum(al.a*exp(-gamma*({d2}))) AS w FROM sa a CROSS JOIN ce c JOIN al ON al.l = c.j GROUP BY a.{key})"])
+
+
+def recursive(text):
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 SAMPLE = f"""smp AS (SELECT event_id, U, tsea-tair AS tdiff, rh FROM obs WHERE U IS NOT NULL),
   tgt AS (SELECT time AS datetime, sqrt(ux*ux+uy*uy) AS U, sst-t AS tdiff, {STATE_RH} AS rh FROM station)"""
 
 
-@query("d4_importance_weights", using("obs", "station", extra=SAMPLE + ", " + weights_sql(
-    "smp", "tgt", ["U", "tdiff", "rh"], "event_id", "datetime", 4, 3)) + "SELECT * FROM wt", keys="event_id", digits=5)
+@query("d4_importance_weights", recursive(using("obs", "station", extra=SAMPLE + ", " + weights_sql(
+    "smp", "tgt", ["U", "tdiff", "rh"], "event_id", "datetime")) + "SELECT * FROM wt"), keys="event_id", digits=5)
 def d4(spark, sf):
     o = obs(spark, sf).withColumn("tdiff", F.col("tsea") - F.col("tair"))
-    return K.importance_weights(o, station_target(station(spark, sf)), ["U", "tdiff", "rh"], "event_id", "w", steps=4, folds=3,
-                                target_key="datetime").select("event_id", "w")
+    return K.importance_weights(o, station_target(station(spark, sf)), ["U", "tdiff", "rh"], "event_id", "w", target_key="datetime").select("event_id", "w")
 
 
 CELLS_60 = """smp AS (SELECT event_id, tsea AS sst, rh AS phs0 FROM obs WHERE U IS NOT NULL),
   tgt AS (SELECT sst, phs0, concat_ws('|', ts, lat, lon) AS cell FROM grid WHERE lat < 60 AND sst IS NOT NULL)"""
 
 
-@query("d5_global_weights", using("obs", "grid", extra=CELLS_60 + ", " + weights_sql("smp", "tgt", ["sst", "phs0"], "event_id", "cell", 1, 2, centres=10))
-       + "SELECT * FROM wt", keys="event_id", digits=5)
+@query("d5_global_weights", recursive(using("obs", "grid", extra=CELLS_60 + ", " + weights_sql("smp", "tgt", ["sst", "phs0"], "event_id", "cell"))
+       + "SELECT * FROM wt"), keys="event_id", digits=5)
 def d5(spark, sf):
     o = obs(spark, sf).select("event_id", F.col("tsea").alias("sst"), F.col("rh").alias("phs0"))
     g = view(spark, sf, "grid").withColumn("cell", F.concat_ws("|", F.col("ts").cast("string"), F.col("lat").cast("string"), F.col("lon").cast("string")))
-    return K.global_weights(o, g, ["sst", "phs0"], "event_id", name="w", steps=1, folds=2, centres=10, target_key="cell").select("event_id", "w")
+    return K.global_weights(o, g, ["sst", "phs0"], "event_id", name="w", target_key="cell").select("event_id", "w")
 
 
-@query("l1_build_training", using("obs", "station", extra=OK + ", " + SAMPLE + ", " + weights_sql(
-    "smp", "tgt", ["U", "tdiff", "rh"], "event_id", "datetime", 3, 3) + f", solved AS (WITH {solver_sql(humidity='qair')} SELECT event_id, U, o_tau AS taubx, "
+@query("l1_build_training", recursive(using("obs", "station", extra=OK + ", " + SAMPLE + ", " + weights_sql(
+    "smp", "tgt", ["U", "tdiff", "rh"], "event_id", "datetime") + f", solved AS (WITH {solver_sql(humidity='qair')} SELECT event_id, U, o_tau AS taubx, "
     "-o_hs AS hsb, -o_hl AS hlb FROM sol)") + """SELECT event_id, U, taubx, hsb, hlb, w AS weight, 'bulk36' AS bulkalg, CAST(1 AS INT) AS weighting
-  FROM solved JOIN wt USING (event_id)""", keys="event_id, bulkalg, weighting", digits=5)
+  FROM solved JOIN wt USING (event_id)"""), keys="event_id, bulkalg, weighting", digits=5)
 def l1(spark, sf):
     raw = view(spark, sf, "obs").select(
         "event_id", "time", "pcode", "U", F.col("tsea").alias("tsnk"), F.col("tair").alias("ta"), (F.col("qair") * 1e3).alias("qa"),
         (F.col("p") / 100).alias("dummy1"), F.col("rh").alias("dummy2"), F.col("wdir").alias("dir"), "zu", "zt", "zq", "lon", "lat",
         "taucx", "taucy", "hsc", "hlc")
     path = scratch(spark, "training")
-    build_training(raw, "event_id", "bulk36", station_target(station(spark, sf)), path, steps=3, folds=3, target_key="datetime")
+    build_training(raw, "event_id", "bulk36", station_target(station(spark, sf)), path, target_key="datetime")
     return spark.read.parquet(path).select("event_id", "U", "taubx", "hsb", "hlb", "weight", "bulkalg", "weighting")
 
 

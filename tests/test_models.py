@@ -187,3 +187,26 @@ def test_weights_carry_the_sample_to_the_target(spark):
     before = M.wasserstein(M.two_samples(done, "x", target, "x")).first()["wd"]
     after = M.wasserstein(M.two_samples(done, "x", target, "x", "w")).first()["wd"]
     assert after < 0.35 * before
+
+
+def test_weights_are_within_the_tolerance_of_the_best(spark):
+    """A long plain fixed point on the same kernels gains less than the tolerance; too few steps are an error."""
+    rng = np.random.default_rng(2)
+    x, z = rng.normal(0, 1, (400, 1)), rng.normal(0.7, 0.5, (300, 1))
+    sample = spark.createDataFrame([(i, float(a[0])) for i, a in enumerate(x)], "k long, x double")
+    target = spark.createDataFrame([(i, float(a[0])) for i, a in enumerate(z)], "t long, x double")
+    with pytest.raises(RuntimeError, match="converged"):
+        K.importance_weights(sample, target, ["x"], "k", gammas=[1.0], centres=20, max_steps=2, tol=1e-6, target_key="t")
+    got = np.array([r["w"] for r in K.importance_weights(sample.unionByName(target.select((F.col("t") + 400).alias("k"), "x")).filter("k < 400"), target, ["x"], "k", "w",
+                                                         gammas=[1.0], centres=300, folds=3, tol=1e-3, target_key="t").orderBy("k").collect()])
+    m, s = x.mean(), x.std()
+    phi_s, phi_t = (np.exp(-((((a - m) / s) - ((z - m) / s).T) ** 2)) for a in (x, z))
+    mean = phi_s.mean(axis=0)
+    share = np.full(300, 1 / 300)
+    for _ in range(20000):
+        q = (phi_t / mean / (phi_t / mean @ share)[:, None]).mean(axis=0)
+        share = share * q / (share * q).sum()
+    best = np.log(phi_t / mean @ share).mean()
+    # the mix at the target, read off the weights of the sample by the same kernels
+    alpha = np.linalg.lstsq(phi_s, got, rcond=None)[0]
+    assert got.mean() == pytest.approx(1, abs=1e-6) and best - 1e-3 - 1e-6 <= np.log(np.maximum(phi_t @ alpha, 1e-300)).mean() <= best + 1e-6
