@@ -65,7 +65,7 @@ def fit_parts(tag, data, ni, nh, start, p: FitParams, label, first=None, prefix=
         losses = []
         for b in range(p.batches):
             old, new, name = f"{tag}p{step}", f"{tag}p{step + 1}", f"{tag}t{step}"
-            parts += forward(name, old, f"WHERE NOT held AND floor({uni(p.seed * 100003 + epoch, 'k_')}*{p.batches}) = {b}")
+            parts += forward(name, old, f"WHERE NOT held AND floor({uni(p.seed * 100003, 'k_')}*{p.batches}) = {b}")
             sums = []
             for base, h, d in ((0, "a", dm), (size, "c", dv)):
                 sums += [f"sum({d}*{h}{j}*(1e0-{h}{j})*x{i}) AS g{base + j * ni + i}" for j in range(nh) for i in range(ni)]
@@ -106,6 +106,20 @@ def gaussian_sql(src, key, ikeys, okey, nh, p: FitParams, seed=0, w=None, label=
     return parts + more, log
 
 
+def predictions_sql(src, key, ikeys, okey, nh, p: FitParams, seed=0, w=None, tag="f"):
+    """CTEs of a fit, and the SELECT of what the fitted model predicts for every row in physical units."""
+    parts = rows_sql(tag, src, key, ikeys, okey, seed, w)
+    model = new_model(list(ikeys), [okey], [nh], seed)
+    more, _, last = fit_parts(tag, f"{tag}d", len(ikeys), nh, [*flat(model.mean), *flat(model.var)], p, "model")
+    n, size = len(ikeys), len(ikeys) * nh + 2 * nh + 1
+
+    def head(base):
+        unit = lambda j: f"p{base + n * nh + nh + j}/(1e0+exp(-({' + '.join(f'p{base + j * n + i}*x{i}' for i in range(n))} + p{base + n * nh + j})))"
+        return " + ".join(unit(j) for j in range(nh)) + f" + p{base + size - 1}"
+
+    return parts + more, (f"SELECT k_ AS {key}, ({head(0)})*s{n} + c{n} AS mean, exp({head(size)})*s{n}*s{n} AS var FROM {tag}d CROSS JOIN {last} CROSS JOIN {tag}s")
+
+
 def two_step_sql(src, key, ikeys, okey, nh, p: FitParams, seed=0, w=None):
     from dataclasses import replace
     model = new_model(list(ikeys), [okey], [nh], seed)

@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from checks import models as N
-from checks.fit_sql import gaussian_sql, two_step_sql, variance_sql
+from checks.fit_sql import gaussian_sql, predictions_sql, two_step_sql, variance_sql
 from checks.models import net_sql
 from checks.q_bulk import solver_sql
 from checks.q_fields import MEAN
@@ -129,6 +129,16 @@ def m3(spark, sf):
     return _log(spark, TR.fit_gaussian(obs(spark, sf), FEATURES, ["taucx"], "event_id", [8], "weight", params=FAST)[1])
 
 
+LONGER = TR.FitParams(epochs=8, batches=2, lr=0.02)
+
+
+@query("m3_fitted_predictions", _fit(*predictions_sql("obs_ok", "event_id", FEATURES, "taucx", 8, LONGER, w="weight")), digits=6, keys="event_id")
+def m3_predictions(spark, sf):
+    """What the fitted model predicts for every row."""
+    model = TR.fit_gaussian(obs(spark, sf), FEATURES, ["taucx"], "event_id", [8], "weight", params=LONGER)[0]
+    return W.predict(obs(spark, sf), {"m": model}).select("event_id", F.col("m_mean").alias("mean"), F.col("m_var").alias("var"))
+
+
 @query("m4_fit_two_step", _fit(*two_step_sql("obs_ok", "event_id", FEATURES, "taucx", 8, FAST, w="weight")), digits=6, keys=KEYS)
 def m4(spark, sf):
     return _log(spark, TR.fit_gaussian(obs(spark, sf), FEATURES, ["taucx"], "event_id", [8], "weight", params=FAST, two_step=True)[1])

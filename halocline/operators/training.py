@@ -41,6 +41,20 @@ class FitParams:
     seed: int = 0
 
 
+class KeyedDraws:
+    """Uniform draws that belong to rows: the same for a row's hash, step and place whatever rows stand around it."""
+
+    def __init__(self, hashes: np.ndarray, seed: int, tick: int):
+        self.hashes, self.salt, self.calls = hashes.astype(np.int64).view(np.uint64), (seed * 1_000_003 + tick) % 2**32, 0
+
+    def random(self, shape: tuple[int, int]) -> np.ndarray:
+        self.calls += 1
+        z = self.hashes[:, None] + np.uint64(0x9E3779B97F4A7C15) * (np.arange(1, shape[1] + 1, dtype=np.uint64) + np.uint64((self.salt * 4096 + self.calls) * 65536 % 2**64))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+
+
 def _activations(layers, x, dropout, rng):
     """Inputs of every layer, and the last linear output."""
     hs, masks = [x], []
@@ -80,26 +94,41 @@ def unflat(vector: np.ndarray, like) -> list:
     return out
 
 
+def _output(name: str, z: np.ndarray, norm: np.ndarray | None, degree: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Value of a head from its last linear output, and the derivative; a homogeneous head scales with the norm of its inputs."""
+    if degree is None:
+        fn, slope = OUTPUTS[name]
+        y = fn(z)
+        return y, slope(z, y)
+    scale = norm**degree
+    return scale * z, np.broadcast_to(scale, z.shape)
+
+
 def batch_gradient(model: FluxModel, s: np.ndarray, y: np.ndarray, w: np.ndarray, p: FitParams, rng) -> tuple[float, np.ndarray]:
-    """Loss sum and flat gradient sum (mean head, then variance head) over scaled rows."""
+    """Loss sum and flat gradient sum (mean head, then variance head) over scaled rows.
+
+    With a degree, what `apply` predicts is fitted: norm^degree times the network of the unit vector.
+    """
+    norm = None
+    if model.degree is not None:
+        norm = np.linalg.norm(s, axis=1, keepdims=True)
+        s = s / norm
     hm, km, zm = _activations(model.mean, s, 0.0 if p.fix_mean or p.loss == "var_mse" else p.dropout, rng)
-    m, dm = OUTPUTS[model.mean_activation]
-    mean = m(zm)
+    mean, dm = _output(model.mean_activation, zm, norm, model.degree)
     err = mean - y
     if p.loss == "mse":
-        g = _gradient(model.mean, hm, km, 2 * w * err * dm(zm, mean))
+        g = _gradient(model.mean, hm, km, 2 * w * err * dm)
         return float((w * err**2).sum()), np.concatenate([flat(g), np.zeros(flat(model.var).size)])
     hv, kv, zv = _activations(model.var, s, p.dropout, rng)
-    v, dv = OUTPUTS[model.var_activation]
-    raw = v(zv)
+    raw, dv = _output(model.var_activation, zv, norm, model.degree)
     if p.loss == "var_mse":
         off = raw - err**2
-        gv = _gradient(model.var, hv, kv, 2 * w * off * dv(zv, raw))
+        gv = _gradient(model.var, hv, kv, 2 * w * off * dv)
         return float((w * off**2).sum()), np.concatenate([np.zeros(flat(model.mean).size), flat(gv)])
     var = np.maximum(raw, VAR_FLOOR)
     loss = float((w * 0.5 * (np.log(var) + err**2 / var)).sum())
-    gv = _gradient(model.var, hv, kv, w * 0.5 * (1 / var - err**2 / var**2) * dv(zv, raw))
-    gm = np.zeros(flat(model.mean).size) if p.fix_mean else flat(_gradient(model.mean, hm, km, w * err / var * dm(zm, mean)))
+    gv = _gradient(model.var, hv, kv, w * 0.5 * (1 / var - err**2 / var**2) * dv)
+    gm = np.zeros(flat(model.mean).size) if p.fix_mean else flat(_gradient(model.mean, hm, km, w * err / var * dm))
     return loss, np.concatenate([gm, flat(gv)])
 
 
@@ -124,7 +153,7 @@ def pack(df: DataFrame, models: dict[str, FluxModel], key: str, w: str | None, h
     ys = list(dict.fromkeys(k for m in models.values() for k in m.okeys))
     cols = [F.col(c).cast("double").alias(f"x_{c}") for c in xs] + [F.col(c).cast("double").alias(f"y_{c}") for c in ys]
     flags = [(F.col(held[n]) != "train").cast("int").alias(f"h_{n}") for n in models]
-    return df.select(F.col(key).alias("_key"), *cols, (F.col(w).cast("double") if w else F.lit(1.0)).alias("_w"), *flags).dropna()
+    return df.select(F.col(key).alias("_key"), F.xxhash64(key).alias("_hash"), *cols, (F.col(w).cast("double") if w else F.lit(1.0)).alias("_w"), *flags).dropna()
 
 
 def _arrays(pdf: pd.DataFrame, model: FluxModel):
@@ -152,7 +181,7 @@ def _step(rows: DataFrame, models: dict[str, FluxModel], p: FitParams, tick: int
                 part = pdf[pdf[f"h_{n}"] == 0]
                 if len(part):
                     s, y, w = _arrays(part, m)
-                    rng = np.random.default_rng([p.seed, tick, len(part), int(part["_w"].sum() * 1e3) & 0xFFFFFFFF])
+                    rng = KeyedDraws(part["_hash"].to_numpy(), p.seed, tick)
                     loss, g = batch_gradient(m, s, y, w, p, rng)
                     a = acc.setdefault(n, [0.0, 0.0, 0.0])
                     a[0], a[1], a[2] = a[0] + loss, a[1] + y.size, a[2] + g
@@ -175,8 +204,8 @@ def _scores(rows: DataFrame, models: dict[str, FluxModel], n_parts: int) -> dict
                     if not len(part):
                         continue
                     s, y, w = _arrays(part, m)
-                    mean = forward(m.mean, s, m.mean_activation)
-                    var = np.maximum(forward(m.var, s, m.var_activation), VAR_FLOOR)
+                    mean = forward(m.mean, s, m.mean_activation, m.degree)
+                    var = np.maximum(forward(m.var, s, m.var_activation, m.degree), VAR_FLOOR)
                     e = mean - y
                     v = np.array([y.size, (w * e**2).sum(), (w * y**2).sum(), (w * 0.5 * (np.log(var) + e**2 / var)).sum(),
                                   (w * e / np.sqrt(var)).sum(), (w * e**2 / var).sum()])
@@ -194,14 +223,19 @@ def _scores(rows: DataFrame, models: dict[str, FluxModel], n_parts: int) -> dict
     return out
 
 
-def spread_and_cache(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Cache rows that are read many times; few input partitions are spread over the cores once."""
+def spread_and_cache(rows: DataFrame, along: str | None = None) -> tuple[DataFrame, int]:
+    """Cache rows that are read many times; few input partitions are spread over the cores once.
+
+    With `along`, each partition is sorted by that column: a filter on it then reads only the
+    cached batches that hold the value.
+    """
     width = rows.sparkSession.sparkContext.defaultParallelism
-    held = rows.cache()
+    held = (rows.sortWithinPartitions(along) if along else rows).cache()
     n = held.select(F.spark_partition_id().alias("p")).distinct().count()
     if n >= width:
         return held, n
-    wide = held.repartition(width).cache()
+    wide = held.repartition(width)
+    wide = (wide.sortWithinPartitions(along) if along else wide).cache()
     wide.count()
     held.unpersist()
     return wide, width
@@ -209,7 +243,9 @@ def spread_and_cache(rows: DataFrame) -> tuple[DataFrame, int]:
 
 def fit(rows: DataFrame, models: dict[str, FluxModel], p: FitParams) -> tuple[dict[str, FluxModel], list[tuple]]:
     """Fit all models on a table made by `pack`; returns the models and the log (model, epoch, role, metric, value)."""
-    rows, n_parts = spread_and_cache(rows)
+    # A row's batch is drawn once and stored: an epoch's steps together read the rows once.
+    rows = rows.withColumn("_batch", F.floor(hash_uniform(p.seed * 100003, F.col("_key")) * p.batches).cast("int"))
+    rows, n_parts = spread_and_cache(rows, "_batch" if p.batches > 1 else None)
     models = dict(models)
     state = {n: Adam(flat(m.mean).size + flat(m.var).size) for n, m in models.items()}
     lr = {n: p.lr for n in models}
@@ -220,9 +256,8 @@ def fit(rows: DataFrame, models: dict[str, FluxModel], p: FitParams) -> tuple[di
         if not live:
             break
         loss = {n: 0.0 for n in live}
-        bucket = F.floor(hash_uniform(p.seed * 100003 + epoch, F.col("_key")) * p.batches)
         for b in range(p.batches):
-            part = rows.filter(bucket == b) if p.batches > 1 else rows
+            part = rows.filter(F.col("_batch") == b) if p.batches > 1 else rows
             for n, (total, count, g) in _step(part, live, p, epoch * p.batches + b, n_parts).items():
                 m = live[n]
                 size = flat(m.mean).size

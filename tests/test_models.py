@@ -137,6 +137,52 @@ def test_gradient_against_differences(loss, fix, activation):
         assert g[i] == pytest.approx((at(theta + d) - at(theta - d)) / 2e-6, rel=1e-3, abs=1e-4)
 
 
+@pytest.mark.parametrize("loss", ["nll", "mse", "var_mse"])
+@pytest.mark.parametrize("degree", [1.0, 2.0, 0.5])
+def test_gradient_with_a_degree(loss, degree):
+    """The gradient is that of the loss of what `apply` predicts."""
+    from dataclasses import replace
+    m, rng = small("softplus", degree=degree), np.random.default_rng(1)
+    m = replace(m, var=[(w, b + 2) for w, b in m.var])  # variances above the floor
+    s, y, w = rng.normal(size=(9, 2)) * 2, rng.normal(size=(9, 1)), rng.uniform(0.5, 2, (9, 1))
+    p = T.FitParams(loss=loss)
+    value, g = T.batch_gradient(m, s, y, w, p, rng)
+    mean, var = N.forward(m.mean, s, "no", degree), np.maximum(N.forward(m.var, s, "softplus", degree), T.VAR_FLOOR)
+    e = mean - y
+    assert value == pytest.approx({"nll": (w * 0.5 * (np.log(var) + e**2 / var)).sum(), "mse": (w * e**2).sum(), "var_mse": (w * (var - e**2) ** 2).sum()}[loss])
+    theta, size = np.concatenate([T.flat(m.mean), T.flat(m.var)]), T.flat(m.mean).size
+    at = lambda v: T.batch_gradient(replace(m, mean=T.unflat(v[:size], m.mean), var=T.unflat(v[size:], m.var)), s, y, w, p, rng)[0]
+    for i in range(len(theta)):
+        if (loss == "var_mse" and i < size) or (loss == "mse" and i >= size):
+            continue
+        d = np.zeros_like(theta)
+        d[i] = 1e-6
+        assert g[i] == pytest.approx((at(theta + d) - at(theta - d)) / 2e-6, rel=1e-3, abs=1e-4)
+
+
+def test_a_homogeneous_fit_learns(spark):
+    """y = |x| times a function of the direction; the fitted model predicts what was fitted."""
+    df = spark.range(3000).selectExpr("id AS k", "sin(id * 0.7) * (1 + id % 5) AS a", "cos(id * 1.3) * (1 + id % 3) AS b").withColumn("y", F.sqrt(F.col("a") ** 2 + F.col("b") ** 2))
+    scales = {"xmean": [0.0, 0.0], "xscale": [1.0, 1.0], "ymean": [0.0], "yscale": [1.0]}
+    m0 = N.new_model(["a", "b"], ["y"], [6], 0, scales, degree=1.0)
+    packed = T.pack(D.split_random(df, "k", 0, 0.2, "_r"), {"model": m0}, "k", None, {"model": "_r"})
+    m, log = T.fit(packed, {"model": m0}, T.FitParams(epochs=60, batches=2, lr=0.05, loss="mse"))
+    r2 = [v for _, _, role, k, v in log if role == "valid" and k == "r2"]
+    out = N.predict(df, {"m": m["model"]}).agg(F.avg((F.col("m_mean") - F.col("y")) ** 2), F.var_pop("y")).first()
+    assert r2[-1] > 0.97 and 1 - out[0] / out[1] > 0.97
+
+
+def test_batches_partition_an_epoch_and_dropout_is_the_rows_own(spark):
+    s = D.synthetic_fluxes(spark.range(900).withColumnRenamed("id", "k"), "k", 4)
+    p = T.FitParams(epochs=3, batches=3, dropout=0.3)
+    logs = []
+    for parts in (1, 5):
+        m = N.new_model(["u", "dt"], ["heat"], [4, 3], 0, T.scales_of(s, ["u", "dt"], ["heat"], None))
+        rows = T.pack(D.split_random(s.repartition(parts), "k", 0, 0.2, "_r"), {"model": m}, "k", None, {"model": "_r"})
+        logs.append(T.fit(rows, {"model": m}, p)[1])
+    assert [r[:4] for r in logs[0]] == [r[:4] for r in logs[1]] and [r[4] for r in logs[0]] == pytest.approx([r[4] for r in logs[1]], rel=1e-9)
+
+
 def test_fit_recovers_mean_and_noise(spark):
     s = D.synthetic_fluxes(spark.range(4000).withColumnRenamed("id", "k"), "k", 3).cache()
     p = T.FitParams(epochs=120, batches=1, lr=0.05)
