@@ -71,6 +71,27 @@ def test_profile_blocks_over_many_splits(spark, tmp_path):
     assert got == want
 
 
+def test_profile_blocks_longer_than_splits_and_odd_lines(spark, tmp_path):
+    """Blocks over many splits, several files, blank lines, lines before any header, and Arrow batches of a few rows."""
+    want = []
+    for f in range(3):
+        lines = ["-1.0 99.0", ""] if f == 1 else []
+        for d in (1, 2, 3):
+            lines += [f"  2012/0{f + 1}/0{d} 00:00:00  {60 if d == 2 else 1}\t2 "] + [f"\t{-i}.5   {d}.25" for i in range(60 if d == 2 else 1)] + ["only three tokens", "x 1.0"]
+            want += [(f + 1, d, -i - 0.5 if i else 0.5, d + 0.25) for i in range(60 if d == 2 else 1)] + [(f + 1, d, None, 1.0)]
+        put(tmp_path / "in" / f"p{f}.dat", lines) if (tmp_path / "in").exists() or not (tmp_path / "in").mkdir() else None
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = [(r["ts"].month, r["ts"].day, r["z"], r["value"]) for r in R.read_profile_blocks(spark, str(tmp_path / "in")).collect()]
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    order = lambda r: (r[0], r[1], r[2] is not None, r[2] or 0, r[3])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_ragged_arrays(spark):
     df = spark.createDataFrame([("f1", [1.0] * 5, [2.0] * 5, [3.0] * 5, [9.0] * 3, [7.0], [0.0, 0.0, 1.0, 0.0, 0.0])],
                                "file string, a array<double>, b array<double>, c array<double>, d array<double>, e array<double>, qc array<double>")
