@@ -6,7 +6,6 @@ never by the amount of data; that is what makes an array per profile safe.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from halocline.functions.arrays import doubles
@@ -50,29 +49,31 @@ def mixed_layer_depth(df: DataFrame, by: list[str], criterion: str = "density",
     return prof.select(*by, *keep, _crossing(F.col("_pts"), F.col("_top") + delta, extrapolate).alias("mld"))
 
 
+def _below(depths: Column, level: Column) -> Column:
+    """How many of the sorted depths lie below a level, by halving steps."""
+    n = F.size(depths)
+    steps = F.transform(F.sequence(F.ceil(F.log2(n + 1)).cast("int") - 1, F.lit(0), F.lit(-1)), lambda b: F.call_function("shiftleft", F.lit(1), b))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.try_element_at(depths, at + step) < level), at + step).otherwise(at))
+
+
 def interp_levels(df: DataFrame, by: list[str], levels: list[float], cols: list[str], z: str = "z") -> DataFrame:
     """Profiles on common depths by linear interpolation; end segments are extended.
 
-    Profiles become arrays, one batch of profiles is interpolated at a time.
+    Values at a depth that a profile has more than once are averaged first. A profile with
+    fewer than two depths gives NULL, as does a segment with a missing end.
     """
-    grid = np.asarray(sorted(levels), dtype=float)
-
-    @F.pandas_udf("array<double>")
-    def onto(zs, vs):
-        import pandas as pd
-
-        def one(a, b):
-            a, b = np.asarray(a, dtype=float), np.asarray(b, dtype=float)
-            if len(a) < 2:
-                return np.full(len(grid), np.nan)
-            i = np.clip(np.searchsorted(a, grid), 1, len(a) - 1)
-            return b[i - 1] + (b[i] - b[i - 1]) / (a[i] - a[i - 1]) * (grid - a[i - 1])
-
-        return pd.Series([one(a, b) for a, b in zip(zs, vs)])
-
-    keep = df.filter(F.col(z).isNotNull())
-    prof = keep.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(z, *cols))).alias("_p"))
-    prof = prof.withColumns({f"_{c}": onto(F.col("_p")[z], F.col("_p")[c]) for c in cols})
-    rows = prof.select(*by, F.posexplode(doubles(grid)).alias("_k", z), *[f"_{c}" for c in cols])
-    value = [F.col(f"_{c}")[F.col("_k")] for c in cols]
-    return rows.select(*by, z, *[F.when(~F.isnan(v), v).alias(c) for v, c in zip(value, cols)])
+    by = list(by)
+    # one shuffle by profile serves both aggregates
+    keep = df.filter(F.col(z).isNotNull()).repartition(*by) if by else df.filter(F.col(z).isNotNull())
+    points = keep.groupBy(*by, z).agg(*[F.avg(c).alias(c) for c in cols])
+    prof = points.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(z).alias("z"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]))).alias("_p"))
+    grid = doubles(sorted(float(v) for v in levels))
+    p, depths = F.col("_p"), F.col("_p.z")
+
+    def at(level):
+        k = F.greatest(F.lit(1), F.least(F.size(p) - 1, _below(depths, level)))
+        lo, hi = F.try_element_at(p, k), F.try_element_at(p, k + 1)
+        value = [lo[f"v{i}"] + (hi[f"v{i}"] - lo[f"v{i}"]) / (hi["z"] - lo["z"]) * (level - lo["z"]) for i in range(len(cols))]
+        return F.struct(level.alias(z), *[F.when(F.size(p) >= 2, v).alias(c) for c, v in zip(cols, value)])
+
+    return prof.select(*by, F.inline(F.transform(grid, at)))

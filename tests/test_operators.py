@@ -187,6 +187,27 @@ def test_common_levels_extend_the_ends(spark):
     assert got == {(1, -25.0): -5.0, (1, -15.0): 5.0, (1, 0.0): 20.0, (2, -25.0): None, (2, -15.0): None, (2, 0.0): None}
 
 
+def test_levels_by_halving_and_repeated_depths(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows, want, levels = [], {}, [-60.0, -33.3, -20.0, -5.0, -0.1, 0.0, 4.0]
+    for pid in range(40):
+        z = np.round(rng.uniform(-50, 0, rng.integers(2, 30)), 1)
+        z[-1] = z[0]  # a depth met twice
+        v = rng.normal(size=len(z))
+        rows += [(pid, float(a), float(b)) for a, b in zip(z, v)]
+        d = np.unique(z)
+        m = np.array([v[z == a].mean() for a in d])
+        for level in levels:
+            k = np.clip(np.searchsorted(d, level), 1, len(d) - 1) if len(d) > 1 else None
+            want[pid, level] = None if k is None else m[k - 1] + (m[k] - m[k - 1]) / (d[k] - d[k - 1]) * (level - d[k - 1])
+    out = P.interp_levels(spark.createDataFrame(rows, "pid int, z double, v double"), ["pid"], levels, ["v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan and plan.count("Exchange") == 1
+    got = {(r["pid"], r["z"]): r["v"] for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(w) if w is not None else got[k] is None for k, w in want.items())
+
+
 def test_reference_case_must_be_bulk(spark):
     with pytest.raises(ValueError, match="bulk"):
         C.case_distance(spark.range(1), {"flux": "ANN"}, {"flux": "ANN"})
