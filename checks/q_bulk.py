@@ -27,7 +27,7 @@ def psiu(z, kind="26"):
     return _at(psiu_sql("0.7e0", "15e0", "10.15e0") if kind == "26" else psiu_sql("1e0", "18e0", "10e0"), z)
 
 
-def solver_sql(version="3.6", src="obs_ok", humidity="rh", cool=False):
+def solver_sql(version="3.6", src="obs_ok", humidity="rh", cool=False, light="141.75e0"):
     """The ten sweeps as ten chained steps, without waves and ice."""
     k = "0.4e0"
     if version == "3.6":
@@ -49,7 +49,7 @@ def solver_sql(version="3.6", src="obs_ok", humidity="rh", cool=False):
     steps = [prep + f"""
     c2 AS (SELECT *, tair+273.16e0 AS ta, (2.501e0-0.00237e0*tsea)*1e6 AS le, pat*1e2/(287.1e0*(tair+273.16e0)*(1e0+0.61e0*q)) AS rhoa,
       1.326e-5*(1e0+6.542e-3*tair+8.301e-6*tair*tair-4.84e-9*tair*tair*tair) AS visa, tsea-tair-lapse*zt AS dt0, qs-q AS dq,
-      {cool_sql}, 141.75e0 AS sw FROM c1),
+      {cool_sql}, {light} AS sw FROM c1),
     c3 AS (SELECT *, 0.622e0*le*qs/(287.1e0*pow(tsea+273.16e0,2)) AS wetc, 16e0*g*4000e0*pow(1022e0*1e-6,3)/(0.36e0*rhoa*rhoa) AS bigc,
       sqrt(U*U+0.25e0) AS ut, sqrt(U*U+0.25e0)*ln(10e0/1e-4)/ln(zu/1e-4) AS u10,
       0.97e0*(5.67e-8*pow(tsea-0.3e0*{jc}+273.16e0,4)-370e0) AS lwn FROM c2),

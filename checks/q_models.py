@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from checks import models as N
 from checks.fit_sql import gaussian_sql, predictions_sql, two_step_sql, variance_sql
 from checks.models import net_sql
-from checks.q_bulk import solver_sql
+from checks.q_bulk import SIX, solver_sql
 from checks.q_fields import MEAN
-from checks.q_functions import RH as _RH
+from checks.q_functions import ALBEDO, RH as _RH, SUN
 from checks.q_sampling import nrm
 from checks.registry import query
 from checks.views import using, view
-from halocline.operators import network as W, quality as Q, sampling as D, training as TR, weights as K
+from halocline.operators import bulk as B, network as W, quality as Q, sampling as D, training as TR, weights as K
 from halocline.plans.forcing import build_forcing, prepared_state
 from halocline.plans.global_map import global_map
 from halocline.plans.training_set import build_training, station_target
@@ -326,3 +326,15 @@ def l6(spark, sf):
     air = view(spark, sf, "points").select("point_id", "lat", "lon", (3 + F.col("air") / 2).alias("ux"), (4 - F.col("air") / 3).alias("uy"),
                                            (12 + F.col("air") / 2).alias("Ta"), F.lit(0.007).alias("q"), F.lit(101325.0).alias("p"))
     return global_map(ocean, air, {"SH": N.SH, "LH": N.LH, "M": N.M})
+
+
+LIT = f"""lit AS (WITH {SUN}, {ALBEDO}
+  SELECT obs_ok.*, (2e2 + U*20e0)*(1e0 - CASE WHEN up THEN albedo ELSE 0e0 END) AS light FROM obs_ok JOIN s4 USING (event_id) LEFT JOIN alb USING (ti, aj)), """
+
+
+@query("b2_albedo", using("obs", extra=OK + ", " + LIT + solver_sql(src="lit", cool=True, light="light")) + SIX, keys="event_id", digits=6)
+def b2_albedo(spark, sf):
+    """The cool skin under sunlight that is reflected by the table's albedo."""
+    jd = F.dayofyear("time") + (F.hour("time") * 3600.0 + F.minute("time") * 60.0) / 86400.0
+    o = obs(spark, sf).withColumns({"sw": 200 + F.col("U") * 20, "jd": jd})
+    return B.bulk36(o, cool_skin=True, albedo=True).select("event_id", "tau", "hs", "hl", "cd", "ch", "ce")

@@ -276,15 +276,29 @@ def _bulk(df, version, cool_skin, sw_net, humidity, zr, extended, prefix):
     return rows.select(*df.columns, *[_clean(c).alias(prefix + n) for n, c in out.items()])
 
 
+def with_net_solar(df: DataFrame, table: DataFrame | None = None, sw: str = "sw", yday: str = "jd", lon: str = "lon", lat: str = "lat",
+                   name: str = "sw_net") -> DataFrame:
+    """Add the sunlight that enters the sea: `sw` less what the 21 x 46 albedo table (ti, aj, albedo) reflects at that time and place."""
+    lit = T.with_albedo(df.withColumns({"_sw": F.col(sw)}), "_sw", yday, lon, lat, table)
+    return lit.select(*df.columns, (F.col("_sw") * (1 - F.col("albedo"))).alias(name))
+
+
 def bulk36(df: DataFrame, cool_skin: bool = False, sw_net: Column | None = None, humidity: str = "rh",
-           zr: tuple[float, float, float] = (10.0, 10.0, 10.0), extended: bool = False, prefix: str = "") -> DataFrame:
+           zr: tuple[float, float, float] = (10.0, 10.0, 10.0), extended: bool = False, prefix: str = "",
+           albedo: DataFrame | bool = False) -> DataFrame:
     """COARE 3.6: stress, sensible and latent heat (positive upward), Cd, Ch, Ce per row.
 
     Reads `U, tsea, tair, p (Pa), zu, zt, zq` and `rh` or `qair`; uses `lat, zi, ss, sw, lw,
     rain, cp, sigh` where present and typical values otherwise. `cp`/`sigh` switch to wave
     age and wave height. `extended` adds skin, profile, neutral, 10 m and rain outputs.
+
+    Net sunlight is `sw_net`, or `sw` less its reflected part where `albedo` is a 21 x 46 table
+    (True: the one by rule) and `jd`, `lon`, `lat` are there, or else 0.945 of `sw`.
     """
-    return _bulk(df, "3.6", cool_skin, sw_net, humidity, zr, extended, prefix)
+    if albedo is False:
+        return _bulk(df, "3.6", cool_skin, sw_net, humidity, zr, extended, prefix)
+    lit = with_net_solar(df, None if albedo is True else albedo, name="_net_sw")
+    return _bulk(lit, "3.6", cool_skin, F.col("_net_sw"), humidity, zr, extended, prefix).drop("_net_sw")
 
 
 def bulk35(df: DataFrame, cool_skin: bool = True, humidity: str = "rh",
