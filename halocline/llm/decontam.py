@@ -74,7 +74,7 @@ def _windows_of(size: int):
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """Every window of every item: item, start, n, words (one blank between) and tokens (its shingles in order)."""
     return (benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(_windows_of(size), _WINDOWS))
+            .mapInArrow(T.lean(_windows_of(size)), _WINDOWS))
 
 
 def _bitmap(tokens: DataFrame) -> np.ndarray:
@@ -145,14 +145,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # rarity of every benchmark shingle in all documents; then each window's rarest
     asked = tokens.select("token").distinct()
     bits = _bitmap(asked)
-    seen = docs.select("text").mapInArrow(_counts_of(bits, widths), "token long, n long").groupBy("token").agg(F.sum("n").alias("rarity"))
+    seen = docs.select("text").mapInArrow(T.lean(_counts_of(bits, widths)), "token long, n long").groupBy("token").agg(F.sum("n").alias("rarity"))
     rarity = asked.join(seen, "token", "left")
     prefix = (tokens.join(rarity, "token").groupBy("words", "n")
               .agg(F.min(F.struct(F.coalesce("rarity", F.lit(0)).alias("rarity"), "off", "token")).alias("p"))
               .filter("p.rarity > 0").select("words", "n", "p.off", F.col("p.token").alias("token")))
     prefix = kept(prefix, "prefix")
 
-    places = docs.mapInArrow(_places_of(_bitmap(prefix.select("token")), widths, size), _PLACES)
+    places = docs.mapInArrow(T.lean(_places_of(_bitmap(prefix.select("token")), widths, size)), _PLACES)
     fits = (F.col("off") <= F.col("left")) & (F.array_join(F.slice(F.split("context", " "), F.col("left") - F.col("off") + 1, F.col("n")), " ") == F.col("words"))
     found = (places.join(prefix, "token", "left").filter((F.col("at") < 0) | fits)
              .select("id", "key", "n_words", (F.col("at") - F.col("off")).alias("start"), F.when(F.col("at") >= 0, F.col("n")).alias("n"),

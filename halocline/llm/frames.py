@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from halocline.session import scratch, tune
+from halocline import session
+from halocline.session import scratch
 
 __all__ = ["filter_words", "kept", "lower_ascii", "might_hold", "read", "row_key", "same_key", "tune"]
 
@@ -14,6 +15,16 @@ FILTER_BITS = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of one Arrow batch between Spark and its Python workers: both sides hold some of them at a time.
+BATCH_BYTES = 4 << 20
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """The library's settings, and batches of texts that are cut by bytes, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return session.tune(spark)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -39,6 +39,8 @@ SMALL, BLOCK = 8, 256
 FIRST = 4
 #: Pivot rounds go on while more than this many pairs a class are undecided and the last round left at most half of them.
 UNDECIDED = 2
+#: Shingles whose permutations, and documents whose signatures, a task holds at a time; results do not depend on them.
+ELEMENTS, SIGNED = 32768, 2048
 
 
 def shingles(words: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,20 +58,23 @@ def shingles(words: T.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         row, h = np.concatenate([row, short]), np.concatenate([h, whole])
     order = np.argsort((row.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
     row, h = row[order], h[order]
+    close = (row[1:] == row[:-1]) & ((h[1:] ^ h[:-1]) < np.uint64(1 << 20)) & (h[1:] != h[:-1])
+    if close.any():  # different hashes with the same 44 bits: sort by all bits
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
     return row[new], h[new]
 
 
-def superminhash(row: np.ndarray, h: np.ndarray, n_rows: int, slots: int = SLOTS) -> np.ndarray:
-    """Signatures (n_rows x slots, unsigned): the step in the top byte, the random rest below. Rows without elements stay at the maximum."""
-    top = np.uint64(2**64 - 1)
-    sig = np.full(n_rows * slots, top)
-    base, owner = h, row
-    perm = None
+def _improve(sig: np.ndarray, owner: np.ndarray, base: np.ndarray) -> None:
+    """Let elements (hash ``base``) of the rows ``owner`` lower the signatures, all of them one step at a time."""
+    slots, perm = sig.shape[1], None
+    below = min(56, 64 - slots.bit_length())  # bits of the random rest: those above hold any step, and more for an open slot
+    flat = sig.reshape(-1)
     for j in range(slots):
         if not len(base):
-            break
+            return
         draw = T.mix(base, 100 + 2 * j)
         k = j + (T.mix(base, 101 + 2 * j) % np.uint64(slots - j)).astype(np.int64)
         every = np.arange(len(base))
@@ -78,15 +83,43 @@ def superminhash(row: np.ndarray, h: np.ndarray, n_rows: int, slots: int = SLOTS
         else:
             slot = perm[every, k].astype(np.int64)
             perm[every, k] = perm[:, j]
-        np.minimum.at(sig, owner * slots + slot, (np.uint64(j) << np.uint64(56)) | (draw >> np.uint64(8)))
-        open_ = (sig.reshape(n_rows, slots) == top).any(axis=1)[owner]
+        np.minimum.at(flat, owner * slots + slot, (np.uint64(j) << np.uint64(below)) | (draw >> np.uint64(64 - below)))
+        # later steps are above every slot's value once the slots were all filled up to this step
+        open_ = ((sig.max(axis=1) >> np.uint64(below)) > np.uint64(j))[owner]
         if perm is None:
             perm = np.tile(np.arange(slots, dtype=np.uint16), (int(open_.sum()), 1))
             perm[np.arange(len(perm)), k[open_]] = 0  # step 0 moved slot 0 to the place of the slot it took
-        else:
+        elif not open_.all():
             perm = perm[open_]
         base, owner = base[open_], owner[open_]
-    return sig.reshape(n_rows, slots)
+
+
+def superminhash(row: np.ndarray, h: np.ndarray, n_rows: int, slots: int = SLOTS) -> np.ndarray:
+    """Signatures (n_rows x slots, unsigned): the step in the top bits, the random rest below. Rows without elements stay at the maximum.
+
+    Slots keep minima, so elements may come in parts: at most ELEMENTS permutations are held at a time, however large a set is.
+    """
+    sig = np.full((n_rows, slots), np.uint64(2**64 - 1))
+    for low in range(0, len(h), ELEMENTS):
+        here, who = np.unique(row[low: low + ELEMENTS], return_inverse=True)
+        part = sig[here]
+        _improve(part, who, h[low: low + ELEMENTS])
+        sig[here] = part
+    return sig
+
+
+def _bands(row: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
+    """Band hashes (n_rows x BANDS) of sorted rows; signatures are held for at most SIGNED rows at a time."""
+    out = np.empty((n_rows, BANDS), np.uint64)
+    for low in range(0, n_rows, SIGNED):
+        high = min(low + SIGNED, n_rows)
+        a, b = np.searchsorted(row, [low, high])
+        sig = superminhash(row[a:b] - low, h[a:b], high - low).reshape(high - low, BANDS, ROWS)
+        band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], high - low, 0)
+        for i in range(ROWS):
+            band = T.mix(band ^ sig[:, :, i], 60 + i)
+        out[low:high] = band
+    return out
 
 
 def _signatures(size: int, kind):
@@ -95,19 +128,21 @@ def _signatures(size: int, kind):
             for part in T.pieces(batch, "text", T.CHUNK // 2):
                 words = T.Words(part.column(part.schema.get_field_index("text")), kind, lower=True)
                 row, h = shingles(words, size)
-                n = np.bincount(row, minlength=words.n_rows)
+                n_rows = words.n_rows
+                del words
+                n = np.bincount(row, minlength=n_rows)
                 edges = np.concatenate([[0], np.cumsum(n)])
                 sums = []
                 for salt in (50, 51):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(h, salt))])
                     sums.append(T.signed(T.mix(total[edges[1:]] - total[edges[:-1]], salt)))
-                sig = superminhash(row, h, words.n_rows).reshape(words.n_rows, BANDS, ROWS)
-                band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None], words.n_rows, 0)
-                for i in range(ROWS):
-                    band = T.mix(band ^ sig[:, :, i], 60 + i)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, words.n_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(T.signed(band.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), bands],
+                    del total
+                band = _bands(row, h, n_rows)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n_rows * BANDS + 1, BANDS, dtype=np.int32)), pa.array(T.signed(band.reshape(-1))))
+                out = pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), bands],
                                                  names=["id", "n", "a", "b", "bands"])
+                del row, h, edges, band, bands
+                yield out
     return run
 
 
@@ -246,12 +281,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept (doc_id is the component's) of each row."""
     tune(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = kept(slim.mapInArrow(_signatures(size, kind), "id long, n long, a long, b long, bands array<long>"), "signatures")
+    signed = kept(slim.mapInArrow(T.lean(_signatures(size, kind)), "id long, n long, a long, b long, bands array<long>"), "signatures")
     classes = kept(signed.filter("n > 0 AND id IS NOT NULL").groupBy("a", "b", "n").agg(F.min("id").alias("class"), F.max("id").alias("high"), F.first("bands").alias("bands")), "classes")
 
     def sets_of(ids: DataFrame) -> DataFrame:
         texts = might_hold(slim.filter("id IS NOT NULL"), "id", filter_words(ids, "id"))
-        return texts.mapInArrow(_sets(size, kind), "id long, items array<long>").filter("size(items) > 0").join(ids, "id", "left_semi")
+        return texts.mapInArrow(T.lean(_sets(size, kind)), "id long, items array<long>").filter("size(items) > 0").join(ids, "id", "left_semi")
 
     edges = links(classes.select(F.col("class").alias("id"), "n", "bands"), sets_of, percent)
     rows = signed.select("id", "n", "a", "b").join(classes.select("a", "b", "n", "class"), ["a", "b", "n"], "left").withColumn("class", F.when(F.col("id").isNotNull(), F.col("class")))

@@ -85,7 +85,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the counts of each whole text, in one pass without a shuffle."""
     return (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(_counts, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)))
+            .mapInArrow(T.lean(_counts), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)))
 
 
 def _vote(bad: Column, good: Column | None = None) -> Column:

@@ -70,7 +70,7 @@ def counts(docs: DataFrame, tokenizers: dict[str, Callable], id_col: str = "doc_
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, source string, lang string, version string, n_tokens long")
+    return slim.mapInArrow(T.lean(run), "doc_id long, source string, lang string, version string, n_tokens long")
 
 
 class Rollup:

@@ -360,11 +360,11 @@ def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str
     others = ["doc_id", *keep]
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c for c in keep if c != "text"), F.col(text_col).cast("string").alias("text"))
     schema = ", ".join(f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in others)
-    return slim.mapInArrow(_encode(model, others), f"{schema}, ids array<int>")
+    return slim.mapInArrow(T.lean(_encode(model, others)), f"{schema}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: Pieces) -> DataFrame:
     """All columns of a table with ``ids`` that are named below, and ``decoded``."""
     others = [c for c in encoded.columns if c != "decoded"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name in others)
-    return encoded.mapInArrow(_decode(model, others), f"{schema}, decoded string")
+    return encoded.mapInArrow(T.lean(_decode(model, others)), f"{schema}, decoded string")

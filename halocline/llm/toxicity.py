@@ -58,7 +58,7 @@ class Model:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, size: int) -> DataFrame:
@@ -84,7 +84,7 @@ def _word_counts(batches):
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """Learn features from the sample, then E's parameters from its clean texts."""
     texts = kept(sample(docs, labels, size), "toxic")
-    words = (texts.select("text", "toxic").mapInArrow(_word_counts, "word string, toxic int, n long").groupBy("word")
+    words = (texts.select("text", "toxic").mapInArrow(T.lean(_word_counts), "word string, toxic int, n long").groupBy("word")
              .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("c1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c0")))
     words = kept(words, "toxic-words")
     n1, n0 = (float(x or 0) for x in words.agg(F.sum("c1"), F.sum("c0")).first())
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
             hashes[which] = T.mix(w.span_hash(w.start, w.end)[which], int(k))
     order = np.argsort(hashes)
     model = Model(hashes[order], found["score"].to_numpy(float)[order], -1.0)
-    hit = (texts.select("id", "text", "toxic").mapInArrow(_hits(model), "toxic int, hits long, n long").groupBy("toxic")
+    hit = (texts.select("id", "text", "toxic").mapInArrow(T.lean(_hits(model)), "toxic int, hits long, n long").groupBy("toxic")
            .agg(F.sum("hits").alias("h"), F.sum("n").alias("n")).toPandas().set_index("toxic"))
     rest = [math.log((hit.n[k] - hit.h[k] + 1) / (hit.n[k] + 1)) if k in hit.index else 0.0 for k in (0, 1)]
     model = Model(model.hashes, model.scores, min(rest[1] - rest[0], -0.01))
@@ -153,9 +153,12 @@ def _hits(model: Model):
 def segments(place: np.ndarray, score: np.ndarray, rest: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of a text whose only positive scores stand at ``place``.
 
-    One pass over the positive words with a stack of candidates (sum of all scores before it, sum up to its end).
+    One pass over the positive words with a stack of candidates: first word, last word, sum of all scores before it, sum
+    up to its end, and the number of the nearest earlier candidate with a lower sum before it. Searches follow these
+    numbers and so skip what no later word can join; where there is none, all candidates so far are final.
     """
-    stack: list[tuple[int, int, float, float]] = []
+    out: list[tuple[int, int, float]] = []
+    stack: list[tuple[int, int, float, float, int]] = []
     total, done = 0.0, 0
     for p, s in zip(place.tolist(), score.tolist()):
         total += rest * (p - done)
@@ -165,13 +168,16 @@ def segments(place: np.ndarray, score: np.ndarray, rest: float) -> list[tuple[in
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= total:
                 break
             first, left = stack[j][0], stack[j][2]
             del stack[j:]
-        stack.append((first, p, left, total))
-    return [(a, b, r - l) for a, b, l, r in stack]
+        if j < 0:
+            out += [(a, b, r - l) for a, b, l, r, _ in stack]
+            stack.clear()
+        stack.append((first, p, left, total, j))
+    return out + [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
 def _scan(model: Model):
@@ -198,7 +204,7 @@ def _scan(model: Model):
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Of each text: id, n_words, best (its highest segment score), p (p-value of all segments) and segments."""
-    return docs.select("id", "text").mapInArrow(_scan(model), "id long, n_words long, best double, p double, segments array<struct<first:int,last:int,score:double>>")
+    return docs.select("id", "text").mapInArrow(T.lean(_scan(model)), "id long, n_words long, best double, p double, segments array<struct<first:int,last:int,score:double>>")
 
 
 def _expected(score: Column, n_words: Column, model: Model) -> Column:
@@ -252,7 +258,7 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = REJECT) -> Data
     """Documents that are not predicted toxic, with all their columns; each is judged by its own text, without a shuffle."""
     model = fit(_slim(docs, "doc_id", "text"), labels)
     passed = _passes(model, threshold)
-    return docs.mapInArrow(passed, docs.schema)
+    return docs.mapInArrow(T.lean(passed), docs.schema)
 
 
 def _passes(model: Model, threshold: float):

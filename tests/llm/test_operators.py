@@ -293,6 +293,25 @@ def test_superminhash_equals_the_plain_loop_and_estimates_similarity():
     assert np.mean(similar) == pytest.approx(100 / 120, abs=0.02)
 
 
+def test_superminhash_in_parts_is_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    n = [1, 2, 0, 700, 40, 3]
+    row, h = np.repeat(np.arange(6), n), rng.integers(0, 2**63, sum(n)).astype(np.uint64)
+    whole, bands = near_dup.superminhash(row, h, 6), near_dup._bands(row, h, 6)
+    steps = whole >> np.uint64(55)
+    assert steps[0].max() == near_dup.SLOTS - 1 and (steps[2] == 511).all()  # one element takes every step
+    monkeypatch.setattr(near_dup, "ELEMENTS", 13)
+    monkeypatch.setattr(near_dup, "SIGNED", 2)
+    assert (near_dup.superminhash(row, h, 6) == whole).all() and (near_dup._bands(row, h, 6) == bands).all()
+
+
+def test_shingles_with_equal_upper_bits_are_told_apart(monkeypatch):
+    words = T.Words(__import__("pyarrow").array(["a b a b a b"]), T.SOLID, True)
+    monkeypatch.setattr(T, "tuples", lambda w, n: (np.arange(5), np.array([7, 8, 7, 8, 7], np.uint64)))
+    row, h = near_dup.shingles(words, 2)
+    assert h.tolist() == [7, 8] and row.tolist() == [0, 0]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200, 260)] + [(7, i) for i in range(300, 360)] + [(400, 359), (9, 9)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -367,6 +386,18 @@ def test_segments_equal_the_definition():
         assert [s for *_, s in got] == pytest.approx([s for *_, s in want])
 
 
+def test_segments_take_linear_time():
+    """Sparse positive words in a falling sum, a rising one, and one that does both."""
+    import time
+    n = 100_000
+    place = np.arange(n) * 3
+    for score in (np.full(n, 1.0), np.full(n, 2.5), np.where(np.arange(n) % 1000 < 500, 1.0, 3.0), np.tile([5.0, 1.0, 1.0, 1.0], n // 4)):
+        t = time.process_time()
+        found = toxicity.segments(place, score, -1.0)
+        assert time.process_time() - t < 1 and found
+        assert all(b < c for (_, b, _), (c, _, _) in zip(found, found[1:]))
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).toPandas()
