@@ -121,6 +121,12 @@ def a8b(spark, sf):
     return M.evaluate_over_splits(obs(spark, sf), M.SPLITS_3, "pred_mean", "taucx", "taubx", "weight")
 
 
+@query("a8_scores_six_way", _split_scores(M.SPLITS_6), keys="split, n")
+def a8c(spark, sf):
+    """Trained and held-out rows of six splits whose training rows overlap."""
+    return M.evaluate_over_splits(obs(spark, sf), M.SPLITS_6, "pred_mean", "taucx", "taubx", "weight")
+
+
 @query("a9_bias_by_region", using("obs", extra=OK + ", " + _splits(M.SPLITS_4)) + """
   SELECT split, sum(weight*(pred_mean-taucx))/sum(weight) AS ann_bias,
     sum(weight*(taubx-taucx))/sum(weight) AS bulk_bias FROM r GROUP BY split""", keys="split")

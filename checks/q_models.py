@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks import models as N
 from checks.fit_sql import gaussian_sql, predictions_sql, two_step_sql, variance_sql
 from checks.models import net_sql
-from checks.q_bulk import SIX, solver_sql
+from checks.q_bulk import COEF, SIX, es, solver_sql
 from checks.q_fields import MEAN
 from checks.q_functions import ALBEDO, RH as _RH, SUN
 from checks.q_sampling import nrm
@@ -338,3 +338,18 @@ def b2_albedo(spark, sf):
     jd = F.dayofyear("time") + (F.hour("time") * 3600.0 + F.minute("time") * 60.0) / 86400.0
     o = obs(spark, sf).withColumns({"sw": 200 + F.col("U") * 20, "jd": jd})
     return B.bulk36(o, cool_skin=True, albedo=True).select("event_id", "tau", "hs", "hl", "cd", "ch", "ce")
+
+
+AIR = f"0.01e0*rh*{es('tair')}"
+TOLD = f"""obs_ok AS (SELECT event_id, U, tsea, tair, rh, p, 1e1 AS zt, 1e1 AS zq, 0.622e0*{AIR}/(p/1e2 - 0.378e0*{AIR}) AS qair FROM obs WHERE U IS NOT NULL), {COEF},
+  nn AS (SELECT *, {net_sql(N.SH, 'mean')} AS sh, {net_sql(N.LH, 'mean')} AS lh, {net_sql(N.M, 'mean')} AS m, {net_sql(N.M_CROSS, 'mean')} AS mc FROM co)"""
+
+
+@query("b8_flux_point_predictor", using("obs", extra=TOLD) + """SELECT event_id, m AS tau, -sh AS hs, -lh AS hl, sqrt(m*m + mc*mc)/(U*U*rho) AS cd,
+  CASE WHEN abs(ch) < 100 THEN ch END AS ch, CASE WHEN abs(ce) < 100 THEN ce END AS ce FROM (SELECT *,
+  sh/nullif(U*(tair+0.0098e0*zt-tsea)*1004.67e0*rho, 0) AS ch, lh/nullif(U*(qair-qsea)*le*rho, 0) AS ce FROM nn)""", keys="event_id", digits=6)
+def b8_predictor(spark, sf):
+    """Heat coefficients where the air is not all but as warm or as moist as the sea; beyond 100 they are rounding errors."""
+    o = obs(spark, sf).select("event_id", "U", "tsea", "tair", "rh", "p")
+    return B.flux_point(o, models={"SH": N.SH, "LH": N.LH, "M": N.M, "M_cross": N.M_CROSS}).select(
+        "event_id", "tau", "hs", "hl", "cd", *[F.when(F.abs(c) < 100, F.col(c)).alias(c) for c in ("ch", "ce")])

@@ -368,12 +368,26 @@ def exchange_coeffs(df: DataFrame, sources: dict[str, tuple[Column, Column, Colu
     return base.withColumns(out).drop("qsea", "le", "thetav")
 
 
-def flux_point(df: DataFrame, height: float = 10.0) -> DataFrame:
-    """Stress, heat fluxes (positive upward) and coefficients at one height from five state variables."""
+def flux_point(df: DataFrame, height: float = 10.0, models: dict | None = None) -> DataFrame:
+    """Stress, heat fluxes (positive upward) and coefficients at one height from five state variables.
+
+    With `models` (SH, LH, M and perhaps M_cross) the fluxes are predicted, and the coefficients
+    are those of the predicted fluxes; otherwise both come from the 3.6 solver.
+    """
     require_columns(df, ["U", "tsea", "tair", "rh", "p"])
     z = F.lit(float(height))
     at = df.withColumns({"zu": z, "zt": z, "zq": z, "lat": F.lit(45.0), "sw": F.lit(0.0), "lw": F.lit(400.0)})
-    return bulk36(at)
+    if models is None:
+        return bulk36(at)
+    from halocline.operators.network import predict
+    mb = F.col("p") / 100.0
+    e = T.qsat("tair", mb) * F.col("rh") / 100.0
+    told = predict(at, {f"_{n}": m for n, m in models.items()}).withColumn("qair", T.ratio(0.622 * e, mb - 0.378 * e))
+    mean = {n: F.col(f"_{n}_mean") for n in models}
+    along = F.hypot(mean["M"], mean["M_cross"]) if "M_cross" in models else F.abs(mean["M"])
+    out = exchange_coeffs(told, {"_": (along, mean["SH"], mean["LH"])})
+    return out.select(*df.columns, mean["M"].alias("tau"), (-mean["SH"]).alias("hs"), (-mean["LH"]).alias("hl"),
+                      F.col("_CD").alias("cd"), F.col("_CT").alias("ch"), F.col("_CE").alias("ce"))
 
 
 def flux_delta(df: DataFrame, ann: tuple[str, str] = ("qh_ann", "ql_ann"), bulk: tuple[str, str] = ("hsb", "hlb")) -> DataFrame:

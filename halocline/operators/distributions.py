@@ -52,10 +52,13 @@ def hex_density(df: DataFrame, x: str, y: str, n: int = 50, min_count: int = 1,
     """Counts on hexagons: two shifted square lattices, each point goes to the nearer centre.
 
     Without a `box` (xmin, xmax, ymin, ymax) the extent is taken from the data in one aggregate.
+    No complete row gives no cell; a constant column has one cell along its axis.
     """
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     if box is None:
         box = tuple(rows.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
+        if box[0] is None:  # no complete row: no cell
+            box = (0.0, 0.0, 0.0, 0.0)
     xmin, xmax, ymin, ymax = box
     m = int(n / math.sqrt(3))
     sx, sy = (xmax - xmin) / n or 1.0, (ymax - ymin) / m or 1.0
@@ -70,12 +73,17 @@ def hex_density(df: DataFrame, x: str, y: str, n: int = 50, min_count: int = 1,
                     F.log10(F.col("n") + 1.0).alias("log_n")))
 
 
-def kernel_width(df: DataFrame, cols: list[str], w: str | None = None) -> tuple[np.ndarray, float, float]:
-    """Covariance of a Gaussian kernel by Scott's rule, the weight total and the row count."""
+def kernel_width(df: DataFrame, cols: list[str], w: str | None = None) -> tuple[np.ndarray, float, float] | None:
+    """Covariance of a Gaussian kernel by Scott's rule, the weight total and the row count.
+
+    None where there is none: without rows or weight, with one point, or with points on a line.
+    """
     wt = weighted(w)
     aggs = [F.sum(wt).alias("s"), F.sum(wt * wt).alias("s2"), F.count(F.lit(1)).alias("n")]
     aggs += [F.try_divide(F.sum(wt * F.col(c)), F.sum(wt)).alias(f"m{i}") for i, c in enumerate(cols)]
     first = df.dropna("any", subset=cols).agg(*aggs).first()
+    if not first["s"] or first["s"] ** 2 <= first["s2"]:
+        return None
     mean = [first[f"m{i}"] for i in range(len(cols))]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
     second = df.dropna("any", subset=cols).agg(*[
@@ -85,6 +93,9 @@ def kernel_width(df: DataFrame, cols: list[str], w: str | None = None) -> tuple[
     cov = np.zeros((len(cols), len(cols)))
     for i, j in pairs:
         cov[i, j] = cov[j, i] = second[f"c{i}{j}"] / total / (1.0 - squares / total**2)
+    spread = np.sqrt(np.diag(cov))
+    if not (spread > 0).all() or np.linalg.det(cov / np.outer(spread, spread)) < 1e-12:
+        return None
     return cov * effective ** (-2.0 / (len(cols) + 4)), total, float(first["n"])
 
 
@@ -92,11 +103,16 @@ def kde_grid(df: DataFrame, cols: list[str], grid: list[list[float]], w: str | N
              counts: bool = False) -> DataFrame:
     """Gaussian kernel density of one or two columns on the product of the given axes.
 
-    Each task adds its samples up on the whole grid, so only one grid per task is shuffled.
-    `counts` scales the density by the number of samples.
+    The weights of equal points are summed first, so that a recorded value costs one kernel
+    however often it was met. Each task adds its points up on the whole grid, so only one grid
+    per task is shuffled. `counts` scales the density by the number of samples. Without a
+    kernel width (no rows, or all on one point or line) there are no rows.
     """
     rows = df.dropna("any", subset=cols + ([w] if w else []))
-    cov, total, n = kernel_width(rows, cols, w)
+    width = kernel_width(rows, cols, w)
+    if width is None:
+        return df.sparkSession.createDataFrame([], ", ".join([*(f"g{k} double" for k in range(len(cols))), "density double"]))
+    cov, total, n = width
     mesh = np.stack([m.ravel() for m in np.meshgrid(*grid, indexing="ij")], axis=1)
     whiten = np.linalg.cholesky(np.linalg.inv(cov))
     centres = mesh @ whiten
@@ -115,7 +131,8 @@ def kde_grid(df: DataFrame, cols: list[str], grid: list[list[float]], w: str | N
                 acc += v @ np.exp(-0.5 * d2)
         yield pd.DataFrame({"g": np.arange(len(acc)), "s": acc})
 
-    narrow = rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], weighted(w).alias("w"))
+    narrow = (rows.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], weighted(w).alias("w"))
+              .groupBy(*[f"x{i}" for i in range(len(cols))]).agg(F.sum("w").alias("w")))
     sums = narrow.mapInPandas(spread, "g long, s double").groupBy("g").agg(F.sum("s").alias("s"))
     at, left = [], F.col("g")
     for k in range(len(cols) - 1, -1, -1):
@@ -130,9 +147,12 @@ def regime_stats(df: DataFrame, bounds: dict[str, tuple[float, float]], col: str
 
 
 def binned_stats(df: DataFrame, x: str, y: str, n: int) -> DataFrame:
-    """Mean and std of `y` in `n` equal bins of `x` between its extremes."""
+    """Mean and std of `y` in `n` equal bins of `x` between its extremes; one bin where `x` is constant, none without rows."""
     rows = df.dropna("any", subset=[x, y])
     lo, hi = rows.agg(F.min(x), F.max(x)).first()
+    if lo is None or lo == hi:
+        out = rows.agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.count(y).alias("n")).filter("n > 0")
+        return out.select(F.lit(0).alias("bin"), "mean", "std", "n", F.lit(lo).cast("double").alias("left"))
     edges = edges_of(lo, hi, n)
     at = in_bins(rows, x, edges).groupBy("bin").agg(
         F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.count(y).alias("n"))

@@ -139,6 +139,18 @@ def bias(df: DataFrame, pred: str, truth: str, bulk: str, w: str | None = None,
 SPLITS_3 = {"metz": [77], "extratropics": [67, 72, 73, 78, 71], "tropics": [68, 83, 69, 87]}
 SPLITS_4 = {"Metz": [77], "N. Pac./Atl.": [67, 72, 78], "Southern Ocean": [73, 71], "Tropics": [68, 83, 69, 87]}
 
+# What each of the six overlapping splits holds out; it is trained on all other cruises of the list.
+HELD_OUT_6 = [[77], [69], [83], [87, 72, 71], [68], [78, 67, 73]]
+
+
+def roles_of(held_out: list[list[int]]) -> dict[str, list[int]]:
+    """`<i> train` and `<i> test` code lists of splits that each leave some codes out; train lists overlap."""
+    codes = [c for part in held_out for c in part]
+    return {f"{i} {role}": [c for c in codes if (c in part) == (role == "test")] for i, part in enumerate(held_out, 1) for role in ("train", "test")}
+
+
+SPLITS_6 = roles_of(HELD_OUT_6)
+
 
 def hold_out(df: DataFrame, splits: dict[str, list[int]], code: str = "pcode") -> DataFrame:
     """Rows of each split's hold-out groups; a code listed by several splits repeats its rows.

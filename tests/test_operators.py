@@ -208,6 +208,22 @@ def test_levels_by_halving_and_repeated_depths(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(w) if w is not None else got[k] is None for k, w in want.items())
 
 
+def test_distributions_of_nothing_and_of_one_value(spark):
+    import halocline.operators.distributions as X
+    schema = "x double, y double"
+    none, one = spark.createDataFrame([], schema), spark.createDataFrame([(2.0, 1.0), (2.0, 3.0), (None, 5.0)], schema)
+    some = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (2.0, 3.0)], schema)
+    assert X.hex_density(none, "x", "y").count() == 0 and X.binned_stats(none, "x", "y", 5).count() == 0
+    assert X.hex_density(one, "x", "y").agg(F.sum("n")).first()[0] == 2
+    assert [tuple(r) for r in X.binned_stats(one, "x", "y", 5).select("bin", "n", "mean", "std", "left").collect()] == [(0, 2, 2.0, 1.0, 2.0)]
+    assert X.binned_stats(some, "x", "y", 5).schema.names == X.binned_stats(one, "x", "y", 5).schema.names
+    grid = [[0.0, 1.0, 2.0]]
+    for empty in (none, one):
+        assert X.kde_grid(empty, ["x"], grid).count() == 0 and X.kde_grid(empty, ["x", "y"], grid * 2).count() == 0
+    assert X.kde_grid(some, ["x"], grid).count() == 3 and X.kde_grid(some, ["x", "y"], grid * 2).count() == 0  # all on a line
+    assert X.kde_grid(some, ["x"], grid).schema.names == X.kde_grid(none, ["x"], grid).schema.names
+
+
 def test_reference_case_must_be_bulk(spark):
     with pytest.raises(ValueError, match="bulk"):
         C.case_distance(spark.range(1), {"flux": "ANN"}, {"flux": "ANN"})
