@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from halocline.llm import text as T
@@ -38,7 +39,9 @@ SIZE = 2048
 #: Id that closes each document.
 CLOSE = 1
 #: Distinct words a task remembers the ids of (beyond that it starts anew), and words encoded in one call.
-REMEMBERED, GROUP = 1 << 18, 256
+REMEMBERED, GROUP = 1 << 20, 256
+#: Words whose letters stay letters when they are composed and lower-cased.
+LATIN = "^[a-zA-ZÀ-ÖØ-Þß-öø-ÿ]+$"
 _ENDS, _LETTER = np.isin(np.arange(256), list(b".,;:!?")), np.isin(np.arange(256) | 32, np.arange(97, 123)) & (np.arange(256) < 128)
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -48,8 +51,9 @@ class Encoder:
     """Ids of whole texts under a tokenizer file that splits at white space and drops it. Every distinct word is encoded once a task.
 
     Words that end in a letter and one of ``.,;:!?`` are two units where the file's pattern parts them anyway, and A-Z are
-    lower-cased first where the file does so; both leave fewer distinct words. The file is read where the encoder is made
-    and sent along with tasks (some MB).
+    lower-cased first where the file does so; both leave fewer distinct words. New words go to the library many at a time,
+    parted by blanks. Words of Latin letters alone end where an id ends a word; of others the place of each id tells. The
+    file is read where the encoder is made and sent along with tasks (some MB).
     """
 
     def __init__(self, path: str):
@@ -57,37 +61,71 @@ class Encoder:
             self._start(f.read())
 
     def _start(self, source: str) -> None:
-        self.source, self._model, self._known = source, None, {}
+        self.source, self._model = source, None
         parts = json.loads(source)
         self.lower = '"Lowercase"' in json.dumps(parts["normalizer"])
         pattern = json.dumps(parts["pre_tokenizer"], ensure_ascii=False)
         self.parted = all(x in pattern for x in (r"[\\p{L}]+", r"[^\\s\\p{L}\\p{N}]+"))
         self.added = [t["content"].encode() for t in parts["added_tokens"]]
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.ends = None
+        if self.parted and suffix:
+            vocabulary = parts["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self._words, self._ids, self._first = pa.array([], pa.large_string()), np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def __reduce__(self):
         return _encoder, (self.source,)
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, GROUP of them in one call; the place of each id tells its word."""
+    def _library(self, words: list[str], encode) -> list:
+        return encode([" ".join(words[i: i + GROUP]) for i in range(0, len(words), GROUP)], add_special_tokens=False)
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Encode new words and keep their ids; the numbers they have from now on."""
         if self._model is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
             self._model = Tokenizer.from_str(self.source)
-        groups = [words[i: i + GROUP] for i in range(0, len(words), GROUP)]
-        for group, e in zip(groups, self._model.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids, at = np.array(e.ids, np.int32), np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
-            begin = np.cumsum([0] + [len(w) + 1 for w in group])
-            edges = np.searchsorted(at, begin)
-            for i, w in enumerate(group):
-                self._known[w] = ids[edges[i]: edges[i + 1]]
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of these words one after the other, and how many each has."""
-        if len(self._known) > REMEMBERED:
-            self._known = {}
-        self._learn([w for w in words if w not in self._known])
-        found = [self._known[w] for w in words]
-        return (np.concatenate(found) if found else np.empty(0, np.int32)), np.fromiter(map(len, found), np.int64, len(found))
+        plain = pc.match_substring_regex(words, LATIN) if self.ends is not None else pa.array(np.zeros(len(words), bool))
+        some, before = words.filter(plain), len(self._words)
+        if len(some):
+            ids = np.concatenate([np.array(e.ids, np.int32) for e in self._library(some.to_pylist(), self._model.encode_batch_fast)])
+            self._keep(some, ids, np.flatnonzero(self.ends[ids]) + 1)
+        some = words.filter(pc.invert(plain))
+        if len(some):
+            listed = some.to_pylist()
+            ids, ends, seen = [], [], 0
+            for i, e in enumerate(self._library(listed, self._model.encode_batch)):
+                at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+                begin = np.cumsum([len(w) + 1 for w in listed[i * GROUP: (i + 1) * GROUP]])
+                ids.append(np.array(e.ids, np.int32))
+                ends.append(np.searchsorted(at, begin) + seen)
+                seen += len(at)
+            self._keep(some, np.concatenate(ids), np.concatenate(ends))
+        first = np.asarray(plain)
+        return before + np.where(first, np.cumsum(first) - 1, first.sum() + np.cumsum(~first) - 1)
+
+    def _keep(self, words: pa.Array, ids: np.ndarray, ends: np.ndarray) -> None:
+        self._words = pa.concat_arrays([self._words, words])
+        self._first = np.concatenate([self._first, ends + len(self._ids)])
+        self._ids = np.concatenate([self._ids, ids])
+        if len(self._words) != len(self._first) - 1:
+            raise ValueError("the tokenizer does not part words as its file says")
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Numbers of these distinct words among the known ones."""
+        if len(self._words) > REMEMBERED:
+            self._forget()
+        at = pc.index_in(words, value_set=self._words)
+        new = np.asarray(pc.is_null(at))
+        out = np.asarray(pc.fill_null(at, 0), np.int64).copy()
+        if new.any():
+            out[new] = self._learn(words.filter(pa.array(new)))
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts in order, and how many each text has."""
@@ -102,11 +140,10 @@ class Encoder:
             words.start, words.end = np.insert(start, np.flatnonzero(two) + 1, end[two] - 1), np.insert(end, np.flatnonzero(two), end[two] - 1)
         coded = words.strings(np.arange(len(words.start))).dictionary_encode()
         which = np.asarray(coded.indices, np.int64)
-        ids, n = self._words(coded.dictionary.to_pylist())
-        at = np.concatenate([[0], np.cumsum(n)])
-        size = n[which]
-        upto = np.concatenate([[0], np.cumsum(size)])[first]
-        return ids[T.spread(at[which], at[which] + size)], np.diff(upto)
+        which = self._places(coded.dictionary)[which]
+        low, high = self._first[which], self._first[which + 1]
+        upto = np.concatenate([[0], np.cumsum(high - low)])[first]
+        return self._ids[T.spread(low, high)], np.diff(upto)
 
 
 def _encoder(source: str) -> Encoder:
@@ -257,7 +294,7 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, close: int = CLOSE, id_co
             yield out()
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, _SCHEMA + (", ids array<int>" if with_ids else ""))
+    return slim.mapInArrow(T.lean(run), _SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def padding(pieces: DataFrame, size: int = SIZE) -> DataFrame:
