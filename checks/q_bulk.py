@@ -106,33 +106,34 @@ def b3(spark, sf):
 TEN = f"""x AS (SELECT *, U/ut AS calm, {psiu('zu/l')} AS pu, {psiu('1e1/l')} AS pu10, {psit('zt/l')} AS pt, {psit('1e1/l')} AS pt10 FROM sol),
   y AS (SELECT *, U + usr/0.4e0*calm*(ln(1e1/zu)-pu10+pu) AS w10, tair + tsr/0.4e0*(ln(1e1/zt)-pt10+pt) + g/1004.67e0*(zt-1e1) AS t10,
     1e3*(q + qsr/0.4e0*(ln(1e1/zq)-pt10+pt)) AS q10 FROM x)
-  SELECT event_id, o_tau AS tau, o_hs AS hs, o_hl AS hl, o_cd AS cd, o_ch AS ch, o_ce AS ce, usr, tsr, qsr, zo, zoq, l AS mol, zu/l AS zeta,
+  SELECT event_id, o_tau AS tau, o_hs AS hs, o_hl AS hl, o_cd AS cd, o_ch AS ch, o_ce AS ce, usr, tsr, qsr, zo, zoq, 1e3/l AS inverse_mol, zu/l AS zeta,
     sk AS dt_skin, 1e3*wetc*sk AS dq_skin, rhoa, le, 1e3*q AS q, 1e3*(qs-wetc*sk) AS qs, 36e2*o_hl/le AS evap, w10 AS u10, t10, q10,
     w10 + pu10*usr/0.4e0*calm AS u10n, t10 + pt10*tsr/0.4e0 AS t10n, q10 + pt10*1e3*qsr/0.4e0 AS q10n,
     1e2*((mb*q10/1e3)/(0.622e0+0.378e0*q10/1e3))/({es('t10', 'mb')}) AS rh10,
     U + pu*usr/0.4e0*calm AS un, 0.16e0/pow(ln(1e1/zo),2) AS cdn10, 0.16e0/(ln(1e1/zo)*ln(1e1/zoq)) AS chn10,
     -rhoa*1004.67e0*usr*(tsr+0.61e0*ta*qsr) AS hb, -rhoa*1004.67e0*usr*(tsr+0.51e0*ta*qsr) AS hb_sonic,
-    rhoa*(1.61e0*o_hl/le/(1e0+1.61e0*q)/rhoa + o_hs/rhoa/1004.67e0/ta)*q*le AS hl_webb, 0.095e0*rhoa*(w10 + pu10*usr/0.4e0*calm)*usr*usr AS dissipation
-  FROM y"""
-ALL35 = ["event_id", "tau", "hs", "hl", "cd", "ch", "ce", "usr", "tsr", "qsr", "zo", "zoq", "mol", "zeta", "dt_skin", "dq_skin", "rhoa", "le", "q", "qs",
-         "evap", "u10", "t10", "q10", "u10n", "t10n", "q10n", "rh10", "un", "cdn10", "chn10", "hb", "hb_sonic", "hl_webb", "dissipation"]
+    rhoa*(1.61e0*o_hl/le/(1e0+1.61e0*q)/rhoa + o_hs/rhoa/1004.67e0/ta)*q*le AS hl_webb, 0.095e0*rhoa*(w10 + pu10*usr/0.4e0*calm)*usr*usr AS dissipation,
+    dq, dt0 AS dt, ut, ut/U AS gf FROM y"""
+ALL35 = ["event_id", "tau", "hs", "hl", "cd", "ch", "ce", "usr", "tsr", "qsr", "zo", "zoq", "inverse_mol", "zeta", "dt_skin", "dq_skin", "rhoa", "le", "q", "qs",
+         "evap", "u10", "t10", "q10", "u10n", "t10n", "q10n", "rh10", "un", "cdn10", "chn10", "hb", "hb_sonic", "hl_webb", "dissipation", "dq", "dt", "ut", "gf"]
 
 
 @query("b3_bulk_35_all_outputs", using("obs", extra=OK + solver_sql("3.5", cool=True) + ", " + TEN.split("\n  SELECT event_id")[0])
-       + "SELECT event_id" + TEN.split("\n  SELECT event_id")[1], keys="event_id", digits=4)
+       + "SELECT event_id" + TEN.split("\n  SELECT event_id")[1], keys="event_id", digits=6)
 def b3b(spark, sf):
     o = obs(spark, sf).select("event_id", "U", "tsea", "tair", "rh", "p", "zu", "zt", "zq", "lat")
-    return B.bulk35(o, prefix="_o_").select(
-        "event_id", *[F.col(f"_o_{c}").alias(c) for c in ALL35[1:]])
+    solved = B.bulk35(o, prefix="_o_").withColumn("_o_inverse_mol", 1e3 / F.col("_o_mol"))  # the length itself has no bound
+    return solved.select("event_id", *[F.col(f"_o_{c}").alias(c) for c in ALL35[1:]])
 
 
-@query("b4_profile_at_height", using("obs", extra=OK + solver_sql()) + f""", pr AS (SELECT event_id, U, ut, usr, tsr, qsr, l, zu, zt, zq, tair, q, g,
-    CASE WHEN fr THEN zu/l ELSE 0 END AS z0 FROM sol)
-  SELECT event_id, U + usr/0.4e0/(ut/U)*(ln(2e0/zu) - {psiu('2e0/l')} + {psiu('zu/l')}) AS u_ref,
-    tair + tsr/0.4e0*(ln(2e0/zt) - {psit('2e0/l')} + {psit('zt/l')}) + g/1004.67e0*(zt-2e0) AS t_ref,
-    1e3*(q + qsr/0.4e0*(ln(2e0/zq) - {psit('2e0/l')} + {psit('zt/l')})) AS q_ref FROM pr""", keys="event_id", digits=6)
+@query("b4_profile_at_height", using("obs", extra=OK + solver_sql()) + f""", pr AS (SELECT *, U/ut AS calm, {psiu('2e0/l')} AS pu2, {psiu('zu/l')} AS pu,
+    {psit('2e0/l')} AS pt2, {psit('zt/l')} AS pt FROM sol),
+  rf AS (SELECT *, U + usr/0.4e0*calm*(ln(2e0/zu) - pu2 + pu) AS u2, tair + tsr/0.4e0*(ln(2e0/zt) - pt2 + pt) + g/1004.67e0*(zt-2e0) AS t2,
+    1e3*(q + qsr/0.4e0*(ln(2e0/zq) - pt2 + pt)) AS q2, p/1e2 - 0.125e0*2e0 AS p2 FROM pr)
+  SELECT event_id, u2 AS u_ref, t2 AS t_ref, q2 AS q_ref, 1e2*(p2*q2/1e3/(0.622e0+0.378e0*q2/1e3))/({es('t2', 'p2')}) AS rh_ref,
+    u2 + pu2*usr/0.4e0*calm AS un_ref, t2 + pt2*tsr/0.4e0 AS tn_ref, q2 + pt2*1e3*qsr/0.4e0 AS qn_ref FROM rf""", keys="event_id", digits=6)
 def b4(spark, sf):
-    return B.profile_at(obs(spark, sf), 2.0).select("event_id", "u_ref", "t_ref", "q_ref")
+    return B.profile_at(obs(spark, sf), 2.0).select("event_id", "u_ref", "t_ref", "q_ref", "rh_ref", "un_ref", "tn_ref", "qn_ref")
 
 
 @query("b1_apply_bulk", using("obs", extra=OK + solver_sql(humidity="qair")) + """SELECT event_id, -o_hl AS hlb, -o_hs AS hsb, o_tau AS taubx,

@@ -114,23 +114,22 @@ def s8b(spark, sf):
     return R.profile_scalars(R.read_profiles(spark, path, "2024-01-01"))
 
 
-# Case rows as single-level profiles of the year 1997, each month file running past its month.
-YEAR = """y AS (SELECT row_id, ts + to_seconds(row_id % 86400) AS ts, -1e0*row_id AS z, sst AS temp FROM cases WHERE year(ts) = 1997)"""
+# Case rows as single-level profiles, a folder a year, each month file running past its month.
+YEAR = """y AS (SELECT row_id, ts + to_seconds(row_id % 86400) AS ts, -1e0*row_id AS z, sst AS temp FROM cases)"""
 
 
 @query("s9_read_monthly", using("cases", extra=YEAR) + "SELECT ts, z, temp FROM y", keys="ts", digits=6)
 def s9(spark, sf):
     path = scratch(spark, "months")
-    c = view(spark, sf, "cases").filter("year(ts) = 1997")
-    c = c.withColumn("ts", F.timestamp_add("SECOND", (F.col("row_id") % 86400).cast("int"), F.col("ts")))
+    c = view(spark, sf, "cases").withColumn("ts", F.timestamp_add("SECOND", (F.col("row_id") % 86400).cast("int"), F.col("ts")))
     c = c.select("ts", (-F.col("row_id").cast("double")).alias("z"), F.col("sst").alias("temp"), F.lit(35.0).alias("salt"), "q")
     month, day = F.month("ts"), F.dayofmonth("ts")
     spill = F.when((day <= 3) & (month > 1), F.array(month, month - 1)).otherwise(F.array(month))
-    c = c.withColumn("m", F.explode(spill))
-    start = F.make_date(F.lit(1997), F.col("m"), F.lit(1)).cast("timestamp_ntz")
-    lines = c.select(F.concat(F.lit("out_"), F.col("m").cast("string")).alias("name"), profile_lines(start).alias("value"))
-    lines.write.partitionBy("name").text(path)
-    return R.read_monthly(spark, f"{path}/name=out_*", 1997).select("ts", "z", "temp")
+    c = c.withColumn("y", F.year("ts")).withColumn("m", F.explode(spill))
+    start = F.make_date(F.col("y"), F.col("m"), F.lit(1)).cast("timestamp_ntz")
+    lines = c.select("y", F.concat(F.lit("out_"), F.col("m").cast("string")).alias("name"), profile_lines(start).alias("value"))
+    lines.write.partitionBy("y", "name").text(path)
+    return R.read_monthly(spark, f"{path}/y=*/name=out_*", year_pattern=r"y=(\d{4})").select("ts", "z", "temp")
 
 
 @query("s10_read_ensemble", using("prof") + "SELECT ensem + 1 AS ensem, date_trunc('second', ts) AS ts, z, temp FROM prof", keys="ensem, ts", digits=6)
@@ -162,11 +161,12 @@ def s12(spark, sf):
     return R.read_profile_blocks(spark, path)
 
 
-@query("s13_explode_aligned", using("obs") + """, f AS (SELECT pcode, row_number() OVER (PARTITION BY pcode, day(time) ORDER BY event_id) - 1 AS element,
-     day(time) AS d, tsea AS a, rh AS b FROM obs)
-  SELECT pcode, CAST(d AS INT) AS d, CAST(element AS INT) AS element, a, b, NULL::DOUBLE AS c FROM f""", keys="pcode, d, element", digits=7)
+@query("s13_explode_aligned", using("obs") + """, f AS (SELECT pcode, row_number() OVER (PARTITION BY pcode, event_id // 4096 ORDER BY event_id) - 1 AS element,
+     event_id // 4096 AS d, tsea AS a, rh AS b FROM obs)
+  SELECT pcode, d, CAST(element AS INT) AS element, a, b, NULL::DOUBLE AS c FROM f""", keys="pcode, d, element", digits=7)
 def s13(spark, sf):
-    o = view(spark, sf, "obs").withColumn("d", F.dayofmonth("time"))
+    """One file for each cruise and 4096 event numbers, so that no array grows with the table."""
+    o = view(spark, sf, "obs").withColumn("d", F.expr("event_id div 4096"))
     files = o.groupBy("pcode", "d").agg(F.sort_array(F.collect_list(F.struct("event_id", "tsea", "rh"))).alias("l"))
     files = files.select("pcode", "d", F.col("l.tsea").alias("a"), F.col("l.rh").alias("b"),
                          F.concat("l.tsea", F.array(F.lit(0.0))).alias("c"))

@@ -236,6 +236,7 @@ def _outputs(rows: DataFrame, version: str, zr: tuple[float, float, float], exte
         "hb": -moist * tv, "hb_sonic": -moist * tsonic, "hl_webb": i["rhoa"] * wbar * i["q"] * i["le"],
         "evap": T.ratio(3600.0 * out["hl"], i["le"]), "lw_net": -s["lw_net"], "sw_net": i["sw"], "le": i["le"], "rhoa": i["rhoa"],
         "qs": 1000.0 * (i["qs"] - dq_skin), "q": 1000.0 * i["q"],
+        "dq": i["dq"], "dt": i["dt"], "ut": s["ut"], "gf": T.ratio(s["ut"], i["du"]),
         "u_ref": pr["ur"], "t_ref": pr["tr"], "q_ref": pr["qr"], "rh_ref": rh(F.lit(float(zr[1])), pr["tr"], pr["qr"]),
         "un": i["du"] + st["u"] * s["usr"] / k * calm, "tn": t_c + st["t"] * s["tsr"] / k,
         "un_ref": pr["ur"] + st["ur"] * s["usr"] / k * calm, "tn_ref": pr["tr"] + st["tr"] * s["tsr"] / k,

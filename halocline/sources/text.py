@@ -88,17 +88,21 @@ def profile_scalars(profiles: DataFrame, by: list[str] = ("ts",)) -> DataFrame:
     return profiles.groupBy(*by).agg(*[F.min_by(c, "z").alias(c) for c in ("taux", "tauy", "Q")])
 
 
-def read_monthly(spark: SparkSession, path: str | list[str], year: int, month_pattern: str = r"out_(\d+)",
-                 member_pattern: str | None = None) -> DataFrame:
+def read_monthly(spark: SparkSession, path: str | list[str], year: int | None = None, month_pattern: str = r"out_(\d+)",
+                 member_pattern: str | None = None, year_pattern: str | None = None) -> DataFrame:
     """Monthly restarts, each running past its month: keep the rows of the file's own month.
 
-    Month (and member) come from the file name, all files are read as one table.
+    Month (and member, and the year unless it is given) come from the file's path, all files
+    of all years are read as one table.
     """
+    if (year is None) == (year_pattern is None):
+        raise ValueError("give the year or the pattern that finds it in the path")
     rows = _dump(spark, path)
     month = F.regexp_extract("_file", month_pattern, 1).try_cast("int")
-    rows = rows.withColumn("_month", month).filter(F.col("_month").isNotNull())
-    rows = _stamped(rows, F.make_date(F.lit(year), F.col("_month"), F.lit(1)).cast("timestamp_ntz"))
-    rows = rows.filter((F.month("ts") == F.col("_month")) & (F.year("ts") == year))
+    of = F.lit(year) if year_pattern is None else F.regexp_extract("_file", year_pattern, 1).try_cast("int")
+    rows = rows.withColumns({"_month": month, "_year": of}).filter(F.col("_month").isNotNull() & F.col("_year").isNotNull())
+    rows = _stamped(rows, F.make_date(F.col("_year"), F.col("_month"), F.lit(1)).cast("timestamp_ntz"))
+    rows = rows.filter((F.month("ts") == F.col("_month")) & (F.year("ts") == F.col("_year")))
     member = []
     if member_pattern:
         member = [F.regexp_extract("_file", member_pattern, 1).cast("int").alias("ensem")]
