@@ -341,9 +341,14 @@ def bulk_grid(df: DataFrame, mask: str | None = None, algo: str = "bulk36", ux:
 
 
 def compare_algos(df: DataFrame, algos: list[str]) -> DataFrame:
-    """The same rows by several algorithms, in long form."""
-    parts = [apply_bulk(df, a).withColumn("algo", F.lit(a)) for a in algos]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """The same rows by several algorithms, in long form; the rows are read once."""
+    base = df.drop("hlb", "hsb", "taubx", "tauby")
+    wide, told = base, []
+    for n, a in enumerate(algos):
+        names = {c: f"_a{n}_{c}" for c in ("hlb", "hsb", "taubx", "tauby")}
+        wide = apply_bulk(wide, a).withColumnsRenamed(names)
+        told.append(F.struct(*[F.col(new).alias(c) for c, new in names.items()], F.lit(a).alias("algo")))
+    return wide.select(*base.columns, F.inline(F.array(*told)))
 
 
 def exchange_coeffs(df: DataFrame, sources: dict[str, tuple[Column, Column, Column]] | None = None) -> DataFrame:
