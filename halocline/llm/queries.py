@@ -107,10 +107,10 @@ def op10(spark, sf_dir):
 
 @query("op9_subword_pieces")
 def op9(spark, sf_dir):
-    """Every document's pieces, and whether they decode to its text again."""
+    """Every document's pieces, a checksum of them, and whether they decode to its text again."""
     model = subwords.Pieces.read(f"{rollup.TOKENIZERS}/piece_bpe_32k.model")
     done = subwords.decode(subwords.encode(read(spark, sf_dir, "documents"), model, keep=["text"]), model)
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"),
+    return done.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")).alias("ids_crc32"),
                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
 
 
