@@ -41,7 +41,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str = "run") -> str:
     """A new folder name under the shared folder, for tables written between stages."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark._halocline_tables = [*written(spark), path]
+    return path
+
+
+def written(spark: SparkSession) -> list[str]:
+    """Folders named by `scratch` in this session that were not released, oldest first."""
+    return getattr(spark, "_halocline_tables", [])
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables written between stages, once nothing that is still to be computed reads them."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark._halocline_tables = [p for p in written(spark) if p not in set(paths)]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
