@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from halocline.llm import decontam, near_dup, rollup, secrets, subwords, toxicity
-from halocline.llm.frames import kept, read
+from halocline.llm.frames import read
+from halocline.session import release, scratch, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's table. When a stage is written, the tables it and the stage before have left are deleted."""
     docs = read(spark, sf_dir, "documents")
+    mine: list[str] = []
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        before = set(written(spark)) - set(mine)
+        done = stage(spark, docs, sf_dir)
+        path = scratch(spark, name)
+        done.write.parquet(path)
+        docs = spark.read.schema(done.schema).parquet(path)
+        release(spark, [p for p in written(spark) if p not in before and p != path])
+        mine = [path]
     return docs
