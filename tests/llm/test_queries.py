@@ -116,4 +116,15 @@ def test_pipeline_stage_by_stage(spark, sf):
             assert {i: len(x) for i, x in rows.items()} == dict(zip(before, n.tolist()))
             assert zlib.crc32(ids.tobytes()) == zlib.crc32(b"".join(__import__("numpy").array(rows[i], "int32").tobytes() for i in before))
         docs = out
+    from halocline.session import written
+    before = written(spark)
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+    assert len(written(spark)) == len(before) + 1  # only the last stage's table is left
+
+
+def test_pipeline_of_no_documents(spark, sf, empty, tmp_path):
+    """Every stage on an empty table, with the labels and items as they are."""
+    docs = empty
+    for name, stage in corpus_pipeline.STAGES:
+        docs = kept(stage(spark, docs, sf), name)
+        assert docs.count() == 0 and (name == "pieces" or docs.columns == empty.columns)
