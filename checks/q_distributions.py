@@ -67,16 +67,27 @@ def axis(name, values):
     return f"(SELECT unnest([{', '.join(repr(v) for v in values)}]) AS {name})"
 
 
-@query("a23_kernel_density", using("obs", extra=OK) + f"""
+KDE = f"""
   , s AS (SELECT sum(weight) AS s, sum(weight*weight) AS s2, sum(weight*U)/sum(weight) AS m FROM obs_ok),
   k AS (SELECT any_value(s) AS s, sum(weight*pow(U-m,2))/any_value(s)/(1e0-any_value(s2)/pow(any_value(s),2))
       *pow(pow(any_value(s),2)/any_value(s2), -0.4e0) AS h2 FROM obs_ok CROSS JOIN s)
   SELECT g0, sum(weight*exp(-0.5e0*pow(U-g0,2)/h2))/any_value(s)/sqrt(2e0*pi()*any_value(h2)) AS density
-  FROM obs_ok CROSS JOIN k CROSS JOIN {axis('g0', G1)} GROUP BY g0""")
+  FROM obs_ok CROSS JOIN k CROSS JOIN {axis('g0', G1)} GROUP BY g0"""
+
+
+@query("a23_kernel_density", using("obs", extra=OK) + KDE)
 def a23(spark, sf):
     return D.kde_grid(obs(spark, sf), ["U"], [G1], "weight")
 
 
+@query("a24_density_total", using("obs", extra=OK) + KDE.replace("\n  SELECT g0", ", d AS (SELECT g0") + f""")
+  SELECT sum(density)*{G1[1] - G1[0]!r}::DOUBLE AS total, max(density) AS highest FROM d""")
+def a24(spark, sf):
+    """The density over its grid: near one where the grid covers the data."""
+    d = D.kde_grid(obs(spark, sf), ["U"], [G1], "weight")
+    return d.agg((F.sum("density") * (G1[1] - G1[0])).alias("total"), F.max("density").alias("highest"))
+
+
 @query("a23_kernel_density_plane", using("obs", extra=OK) + f"""
   , o AS (SELECT U AS x, tair-tsea AS y FROM obs_ok),
   k0 AS (SELECT var_samp(x)*pow(count(*), -1e0/3e0) AS a, var_samp(y)*pow(count(*), -1e0/3e0) AS b,

@@ -353,3 +353,12 @@ def b8_predictor(spark, sf):
     o = obs(spark, sf).select("event_id", "U", "tsea", "tair", "rh", "p")
     return B.flux_point(o, models={"SH": N.SH, "LH": N.LH, "M": N.M, "M_cross": N.M_CROSS}).select(
         "event_id", "tau", "hs", "hl", "cd", *[F.when(F.abs(c) < 100, F.col(c)).alias(c) for c in ("ch", "ce")])
+
+
+@query("j6_scores_from_a_table", using("obs", extra=OK) + f"SELECT event_id, {net_sql(N.SH, 'mean')} AS sh_mean, {net_sql(N.SH, 'var')} AS sh_var FROM obs_ok",
+       keys="event_id", digits=6)
+def j6(spark, sf):
+    """A model that lies in a table, one row a weight, sent to the rows it scores."""
+    table = spark.createDataFrame(N.SH.rows(), "head string, layer int, i int, j int, w double")
+    model = W.FluxModel.restore(N.SH.config(), [tuple(r) for r in table.collect()])  # a few hundred numbers
+    return W.predict(obs(spark, sf), {"sh": model}).select("event_id", "sh_mean", "sh_var")
