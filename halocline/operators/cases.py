@@ -23,25 +23,27 @@ def case_delta(a: DataFrame, b: DataFrame, keys: list[str], cols: list[str]) ->
 
 # Cruises with their codes and the months with wave data.
 CRUISES = [
-    ("metz", 77, "199301 199302 199303 199304 199305 199306 199307 199308 199309 199612 199801 199905 199906 "
-                 "199907 199908 199909 199910 199911 199912"),
-    ("calwater", 67, "201501 201502"),
-    ("hiwings", 72, "201309 201310 201311"),
-    ("capricorn", 73, "201603 201604"),
-    ("dynamo", 68, "201109 201110 201111 201112"),
-    ("stratus", 83, "200110 200412 200510 200610 200710 200711 200810 200811 200812 201001"),
-    ("epic", 69, "199911 199912 200004 200005 200006 200007 200008 200009 200010 200011 200103 200104 200105 200106 "
-                 "200107 200108 200109 200110 200111 200112 200203 200204 200205 200206 200207 200208 200209 200210 "
-                 "200211 200311 200410 200411"),
-    ("whots", 87, "200907 201107 201206 201307 201407 201507"),
-    ("neaqs", 78, "200407 200408"),
-    ("gasex", 71, "200803 200804"),
+    ("metz", 77, [
+        "199301", "199302", "199303", "199304", "199305", "199306", "199307", "199308", "199309", "199612", "199801", "199905",
+        "199906", "199907", "199908", "199909", "199910", "199911", "199912"]),
+    ("calwater", 67, ["201501", "201502"]),
+    ("hiwings", 72, ["201309", "201310", "201311"]),
+    ("capricorn", 73, ["201603", "201604"]),
+    ("dynamo", 68, ["201109", "201110", "201111", "201112"]),
+    ("stratus", 83, ["200110", "200412", "200510", "200610", "200710", "200711", "200810", "200811", "200812", "201001"]),
+    ("epic", 69, [
+        "199911", "199912", "200004", "200005", "200006", "200007", "200008", "200009", "200010", "200011", "200103", "200104",
+        "200105", "200106", "200107", "200108", "200109", "200110", "200111", "200112", "200203", "200204", "200205", "200206",
+        "200207", "200208", "200209", "200210", "200211", "200311", "200410", "200411"]),
+    ("whots", 87, ["200907", "201107", "201206", "201307", "201407", "201507"]),
+    ("neaqs", 78, ["200407", "200408"]),
+    ("gasex", 71, ["200803", "200804"]),
 ]
 
 
 def cruise_table(spark) -> DataFrame:
     region = {code: name for name, codes in SPLITS_4.items() for code in codes}
-    rows = [(code, name, region[code], months.split()) for name, code, months in CRUISES]
+    rows = [(code, name, region[code], months) for name, code, months in CRUISES]
     return spark.createDataFrame(rows, "pcode int, name string, region string, months array<string>")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from halocline.functions.arrays import doubles
 from halocline.functions.hashing import hash_hex, hash_normal, hash_rayleigh, hash_uniform
@@ -76,8 +76,12 @@ def resample_rows(df: DataFrame, key: str, n: int, seed: int = 0, w: str | None
     Every row owns an interval of cumulative weight, in key order. Draws and interval ends
     are merged into one ordered scan; the number of draws below an end minus the number
     below the row before is the row's number of copies. Nothing is joined, and a row of
-    great weight is one row until `expand` repeats it.
+    great weight is one row until `expand` repeats it. Keys that are text are taken in the
+    order of their hashes.
     """
+    if isinstance(df.schema[key].dataType, T.StringType):
+        hashed = df.withColumn("_order", F.xxhash64(key))
+        return resample_rows(hashed, "_order", n, seed, w, expand).drop("_order")
     weight = (F.col(w) if w else F.lit(1.0)).cast("double")
     rows = scan(df, [], key, None, {"_cum": weight}, totals=True)
     ends = rows.select(F.struct(*df.columns).alias("_src"), F.try_divide(F.col("_cum"), F.col("_cum_total")).alias("_at"),

@@ -30,6 +30,14 @@ def test_resample_total_and_shares(spark):
     assert D.resample_rows(df, "k", 500, 1, "w").count() == 500
 
 
+def test_resample_of_text_keys(spark):
+    df = spark.range(50).selectExpr("concat('r', id) AS k", "CASE WHEN id < 25 THEN 3D ELSE 1D END AS w")
+    got = D.resample_rows(df, "k", 4000, 1, "w", expand=False)
+    assert got.columns == ["k", "w", "copies"] and got.agg(F.sum("copies")).first()[0] == 4000
+    assert got.filter("w = 3").agg(F.sum("copies")).first()[0] == pytest.approx(3000, abs=150)
+    assert D.resample_rows(df, "k", 70, 1).count() == 70
+
+
 def test_synthetic_moments(spark):
     s = D.synthetic_fluxes(spark.range(20000).withColumnRenamed("id", "k"), "k", 3)
     r = s.select(((F.col("tau") - F.col("tau_mean")) / F.col("tau_std")).alias("a"), ((F.col("heat") - F.col("heat_mean")) / F.col("heat_std")).alias("b"),
