@@ -43,6 +43,8 @@ OVERLAP = MOST - 1
 PERIOD = 32
 #: Phrases as frequent as this are candidates, and so many are returned for each language.
 LEAST, TOP = 100, 2000
+#: Totals of up to this many languages go to the tasks as they are: a few large languages would each be one task's work in a join by language.
+LANGS = 1 << 16
 
 _BYTES = np.arange(256)
 #: Fixed value: bytes that end a piece.
@@ -85,7 +87,7 @@ def parse(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Da
                 yield from chunks(texts, langs.slice(rows.start, len(rows))).cast(pa.schema([("lang", pa.string()), ("chunk", pa.string()), ("f", pa.int64())])).to_batches()
 
     slim = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "lang string, chunk string, f long").groupBy("lang", "chunk").agg(F.sum("f").alias("f"))
+    return slim.mapInArrow(T.lean(run), "lang string, chunk string, f long").groupBy("lang", "chunk").agg(F.sum("f").alias("f"))
 
 
 class _Chunks:
@@ -130,7 +132,7 @@ def _filter(keys: DataFrame) -> np.ndarray:
             at = T.mix(np.asarray(batch.column(0), np.int64).view(np.uint64), 92) >> np.uint64(64 - FILTER_BITS)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(T.signed(np.uint64(1) << (at & np.uint64(63))))], names=["w", "b"])
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in keys.select("key").mapInArrow(run, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+    for r in keys.select("key").mapInArrow(T.lean(run), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
         bits[r["w"]] = r["b"]
     return bits.view(np.uint8)
 
@@ -146,7 +148,7 @@ def _level(dictionary: DataFrame, n: int, filters: dict[int, np.ndarray], least:
                 key, which = np.unique(h, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(np.bincount(which, f, len(key)).astype(np.int64))], names=["key", "c"])
 
-    return dictionary.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    return dictionary.mapInArrow(T.lean(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
 
 
 def _counts(dictionary: DataFrame, filters: dict[int, np.ndarray], least: int) -> DataFrame:
@@ -168,7 +170,7 @@ def _counts(dictionary: DataFrame, filters: dict[int, np.ndarray], least: int) -
                 for lang, n, phrase, c in out:
                     yield pa.RecordBatch.from_arrays([lang, pa.array(n), phrase, pa.array(c)], names=["lang", "n", "phrase", "c"])
 
-    return dictionary.mapInArrow(run, "lang string, n int, phrase string, c long").groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c")).filter((F.col("n") == 0) | (F.col("c") >= least))
+    return dictionary.mapInArrow(T.lean(run), "lang string, n int, phrase string, c long").groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c")).filter((F.col("n") == 0) | (F.col("c") >= least))
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -198,7 +200,8 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
                      F.array_join(F.slice("w", F.col("k") + 1, F.col("size") - F.col("k")), " ").alias("rest"))
     cut = cut.join(known.select("lang", F.col("phrase").alias("first"), F.col("c").alias("l")), ["lang", "first"])
     cut = cut.join(known.select("lang", F.col("phrase").alias("rest"), F.col("c").alias("r")), ["lang", "rest"])
-    cut = cut.join(counts.filter("n = 0").select("lang", F.col("c").alias("n")), "lang")
+    totals = counts.filter("n = 0").select("lang", F.col("c").alias("n"))
+    cut = cut.join(F.broadcast(totals) if totals.count() <= LANGS else totals, "lang")
     best = cut.withColumn("s", score("a", "n", "l", "r")).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("s", "k", "l", "r")).alias("b"))
     shorter = lambda from_: F.array_join(F.slice("w", F.lit(from_), F.col("size") - 1), " ")
     inside = found.filter("size > 2").select("lang", F.explode(F.array(shorter(1), shorter(2))).alias("phrase"), "a").distinct()
