@@ -264,3 +264,25 @@ def test_weights_are_within_the_tolerance_of_the_best(spark):
     # the mix at the target, read off the weights of the sample by the same kernels
     alpha = np.linalg.lstsq(phi_s, got, rcond=None)[0]
     assert got.mean() == pytest.approx(1, abs=1e-6) and best - 1e-3 - 1e-6 <= np.log(np.maximum(phi_t @ alpha, 1e-300)).mean() <= best + 1e-6
+
+
+def test_batches_are_drawn_anew_for_every_epoch(spark, monkeypatch):
+    """Each epoch's batches hold every row once, and other rows together than the epoch before."""
+    s = D.synthetic_fluxes(spark.range(300).withColumnRenamed("id", "k"), "k", 4)
+    step, seen = T._step, []
+
+    def spy(part, *more):
+        seen.append(frozenset(r["_key"] for r in part.select("_key").collect()))
+        return step(part, *more)
+
+    monkeypatch.setattr(T, "_step", spy)
+    T.fit_gaussian(s, ["u", "dt"], ["heat"], "k", [3], params=T.FitParams(epochs=3, batches=2))
+    epochs = [seen[i:i + 2] for i in (0, 2, 4)]
+    assert all(not a & b and len(a | b) == 300 for a, b in epochs) and len({a for a, _ in epochs}) == 3
+
+
+@pytest.mark.parametrize("name", ["m3_fit_gaussian", "m4_fit_two_step", "m5_fit_sweep", "m6_training_log", "m15_fit_variance"])
+def test_the_fits_sql_draws_batches_for_every_epoch(name):
+    import checks.q_models  # noqa: F401
+    from checks.registry import ORACLES
+    assert all(f"concat_ws(':', '{epoch}', k_)" in ORACLES[name] for epoch in range(3))
