@@ -27,12 +27,16 @@ GAMMAS = [10.0 ** (i - 3) for i in range(7)]
 MAX_CENTRES = 100
 TINY = 1e-300
 GROW = 1.5
+SLICE = 500                     # rows whose kernels are computed together; they stay in the processor's cache
 
 
 def _kernels(x: np.ndarray, centres: np.ndarray, gammas: list[float]) -> np.ndarray:
     """Kernel values, (gammas, rows, centres)."""
-    d2 = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    return np.stack([np.exp(-g * d2) for g in gammas])
+    d2 = sum((x[:, i, None] - centres[None, :, i]) ** 2 for i in range(x.shape[1]))
+    out = np.empty((len(gammas), *d2.shape))
+    for g, part in zip(gammas, out):
+        np.exp(np.multiply(d2, -g, out=part), out=part)
+    return out
 
 
 def _summed(df: DataFrame, cols: list[str], fn, shape: tuple, n_parts: int) -> np.ndarray:
@@ -43,8 +47,8 @@ def _summed(df: DataFrame, cols: list[str], fn, shape: tuple, n_parts: int) -> n
         acc = np.zeros(size)
         for pdf in batches:
             x, fold = pdf[cols].to_numpy(dtype=float), pdf["_fold"].to_numpy()
-            for a in range(0, len(x), 2000):
-                acc += fn(x[a:a + 2000], fold[a:a + 2000]).ravel()
+            for a in range(0, len(x), SLICE):
+                acc += fn(x[a:a + SLICE], fold[a:a + SLICE]).ravel()
         yield pd.DataFrame({"v": [acc]})
 
     sums = df.select(*cols, "_fold").mapInPandas(part, "v array<double>")
@@ -138,7 +142,7 @@ def importance_weights(sample: DataFrame, target: DataFrame, cols: list[str], ke
     @F.pandas_udf("double")
     def ratio(v: pd.DataFrame) -> pd.Series:
         x = v.to_numpy(dtype=float)
-        return pd.Series(np.concatenate([_kernels(x[a:a + 4000], at, [gamma])[0] @ alpha for a in range(0, len(x), 4000)])
+        return pd.Series(np.concatenate([_kernels(x[a:a + SLICE], at, [gamma])[0] @ alpha for a in range(0, len(x), SLICE)])
                          if len(x) else np.zeros(0))
 
     complete = F.lit(True)

@@ -286,3 +286,16 @@ def test_the_fits_sql_draws_batches_for_every_epoch(name):
     import checks.q_models  # noqa: F401
     from checks.registry import ORACLES
     assert all(f"concat_ws(':', '{epoch}', k_)" in ORACLES[name] for epoch in range(3))
+
+
+def test_long_expressions_are_compiled_and_kernels_are_computed_in_place(spark):
+    """Generated methods stay below what HotSpot compiles, and a batch's kernels need little beside their result."""
+    import tracemalloc
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    x, at = np.random.default_rng(0).normal(size=(2, 400, 3))
+    tracemalloc.start()
+    got = K._kernels(x, at, K.GAMMAS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d2 = ((x[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
+    assert all((part == np.exp(-g * d2)).all() for g, part in zip(K.GAMMAS, got)) and peak < 1.7 * got.nbytes
