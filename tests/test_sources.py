@@ -121,3 +121,18 @@ def test_loaders_flip_only_what_must_be_flipped(spark):
     r = L.load_cruise(cruise).first()
     assert (r["hsc"], r["hlc"], r["p"]) == (-12.0, -90.0, 101000.0) and r["qair"] == pytest.approx(0.009) and r["hlb"] < 0 < r["taubx"]
     assert L.load_cruise(cruise.withColumn("ta", F.lit(float("nan")))).count() == 0
+
+
+def test_dumps_are_packed_and_members_need_no_sort(spark, tmp_path):
+    """Text on disk is a fraction of its lines; folders by member are written as lines come."""
+    from checks import q_sources as S
+    from checks.registry import QUERIES
+    from halocline.session import written
+    ev = spark.range(400).selectExpr("id AS event_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts", "id % 7 AS user_id", "id / 3.0D AS value")
+    ev.write.parquet(str(tmp_path / "events.parquet"))
+    for name, rows in (("s10_read_ensemble", 400 * 20), ("s8_profile_scalars", 400)):
+        assert QUERIES[name](spark, str(tmp_path)).count() == rows
+        where = written(spark)[-1]
+        files = spark.read.text(where).inputFiles()
+        assert files and all(f.endswith(".gz") for f in files)
+    assert spark.conf.get(S.WRITERS) == "0"
