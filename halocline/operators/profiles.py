@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from halocline.functions.arrays import doubles
 from halocline.functions.thermo import rho0
+from halocline.session import shuffle_width
+
+TASK_ROWS = 1_000_000           # rows of profiles that one task groups and sorts
 
 
 def surface(df: DataFrame, by: list[str], cols: list[str], z: str = "z") -> DataFrame:
@@ -63,8 +66,10 @@ def interp_levels(df: DataFrame, by: list[str], levels: list[float], cols: list[
     fewer than two depths gives NULL, as does a segment with a missing end.
     """
     by = list(by)
-    # one shuffle by profile serves both aggregates
-    keep = df.filter(F.col(z).isNotNull()).repartition(*by) if by else df.filter(F.col(z).isNotNull())
+    keep = df.filter(F.col(z).isNotNull())
+    if by:
+        # one shuffle by profile serves both aggregates; its width follows the rows, so that a task's memory does not
+        keep = keep.repartition(max(shuffle_width(df.sparkSession), -(-df.count() // TASK_ROWS)), *by)
     points = keep.groupBy(*by, z).agg(*[F.avg(c).alias(c) for c in cols])
     prof = points.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(z).alias("z"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)]))).alias("_p"))
     grid = doubles(sorted(float(v) for v in levels))

@@ -298,3 +298,12 @@ def test_a_null_group_is_a_group(spark):
     got = [(r.g, r.t.hour, r.v) for r in S.resample_mean(df, "t", "1 hour", ["v"], ["g"], fill=True).orderBy("g", "t").collect()]
     assert got == [(None, 0, 1.0), (None, 1, None), (None, 2, 3.0), ("a", 0, 5.0), ("a", 1, 6.0)]
     assert {r.g for r in S.autocorr(df, "v", 1, "t", by=["g"]).collect()} == {None, "a"}
+
+
+def test_the_width_of_common_levels_follows_the_rows(spark, monkeypatch):
+    """A task holds a bounded number of profile rows however many there are."""
+    monkeypatch.setattr(P, "TASK_ROWS", 100, raising=False)
+    df = spark.range(6000).selectExpr("id % 300 AS pid", "CAST(id DIV 300 AS DOUBLE) AS z", "CAST(id AS DOUBLE) AS t")
+    got = P.interp_levels(df, ["pid"], [0.5], ["t"])
+    parts = got.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert got.count() == 300 and len(parts) > 30 and max(r["count"] for r in parts) < 30
