@@ -299,3 +299,14 @@ def test_long_expressions_are_compiled_and_kernels_are_computed_in_place(spark):
     tracemalloc.stop()
     d2 = ((x[:, None, :] - at[None, :, :]) ** 2).sum(axis=2)
     assert all((part == np.exp(-g * d2)).all() for g, part in zip(K.GAMMAS, got)) and peak < 1.7 * got.nbytes
+
+
+def test_the_sweep_fits_networks_as_wide_as_the_single_fits(spark, sf, monkeypatch):
+    """Eight hidden units for each of the four models, in the query and in its SQL (49 parameters a head)."""
+    import checks.q_models as Q
+    from checks.registry import ORACLES
+    fit, seen = T.fit, {}
+    monkeypatch.setattr(T, "fit", lambda rows, models, p: seen.update(models) or fit(rows, models, p))
+    Q.m5(spark, sf)
+    assert {n: [layers[0][0].shape for layers in (m.mean, m.var)] for n, m in seen.items()} == {f"{o}_{s}": [(8, 4)] * 2 for o in ("taucx", "hsc") for s in (0, 1)}
+    assert " AS p97," in ORACLES["m5_fit_sweep"] and " AS p98," not in ORACLES["m5_fit_sweep"]
