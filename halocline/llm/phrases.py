@@ -10,9 +10,11 @@ words: its last OVERLAP ones are a trigger, and do not begin it. Nothing depends
 
 Phrases of n words are searched level by level, as every part of a frequent phrase is as frequent: an n-gram is counted
 only if both its (n - 1)-grams may be frequent, which a bit filter of fixed size tells (false hits cost rows, never
-results). Levels count 64-bit hashes; the last pass over the dictionary counts the phrases themselves, as text, so two
-phrases are one only if their hashes collide inside one batch. Rows are summed up in every batch and again before each
-shuffle; a frequent word or passage is one row a task.
+results). Words and pairs are searched by 64-bit hashes, then all phrases are counted as text, so two phrases are one only
+if their hashes collide inside one task. The pass that counts words and pairs also returns the runs of three words or more whose
+pairs all may be frequent, each distinct run once with its frequency; they hold every longer frequent phrase and stand in
+for the chunks from there on. Rows are summed up in every task and again after each shuffle; a frequent word or passage is
+a few rows a task.
 
 A candidate of n words is cut after its first k words; with a, l and r the counts of the whole, the first part and the
 rest, and n all words of its language, its score is floor(1000 a n / (l r)) in decimal arithmetic of 38 digits; the
@@ -43,6 +45,8 @@ OVERLAP = MOST - 1
 PERIOD = 32
 #: Phrases as frequent as this are candidates, and so many are returned for each language.
 LEAST, TOP = 100, 2000
+#: Distinct hashes a task holds to add up their counts before it passes them on.
+HELD = 1 << 20
 #: Totals of up to this many languages go to the tasks as they are: a few large languages would each be one task's work in a join by language.
 LANGS = 1 << 16
 
@@ -91,34 +95,83 @@ def parse(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Da
 
 
 class _Chunks:
-    """Words of a batch of the dictionary, with the frequency of each word's chunk and whether the chunk owns n-grams that begin there."""
+    """Words of a batch of the dictionary or of runs, with the frequency of each word's row and whether the row owns n-grams that begin there."""
 
     def __init__(self, batch: pa.RecordBatch):
-        column = {n: batch.column(batch.schema.get_field_index(n)) for n in ("lang", "chunk", "f")}
+        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
         self.words = w = T.Words(column["chunk"], ~BLANK, lower=False)
-        last = w.first[1:] - OVERLAP
-        ends = np.zeros(w.n_rows, bool)
-        there = last > w.first[:-1]
-        ends[there] = _triggers(w)[last[there]]
-        self.own = np.arange(len(w)) < (w.first[1:] - OVERLAP * ends)[w.row]
+        if "over" in column:
+            over = np.asarray(column["over"], np.int64)
+        else:
+            last = w.first[1:] - OVERLAP
+            over = np.zeros(w.n_rows, np.int64)
+            there = np.flatnonzero(last > w.first[:-1])
+            over[there] = OVERLAP * (T.tuple_hash(w, last[there], OVERLAP) % np.uint64(PERIOD) == 0)
+        self.until = w.first[1:] - over
+        self.own = np.arange(len(w)) < self.until[w.row]
         self.f = np.asarray(column["f"], np.int64)[w.row]
         self.lang = column["lang"].dictionary_encode()
         salt = np.array([zlib.crc32(x.encode()) + (len(x) << 32) for x in self.lang.dictionary.to_pylist()], np.uint64)
         w.hash = T.mix(w.hash ^ T.mix(salt[np.asarray(self.lang.indices)], 90)[w.row], 91)
+        self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def held(self, n: int, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """n-grams that may be frequent, owned or not: first word and hash."""
+        if n not in self._held:
+            w = self.words
+            here = np.flatnonzero(w.row[: len(w) - n + 1] == w.row[n - 1:]) if len(w) >= n else np.empty(0, np.int64)
+            if n - 1 in filters:
+                known = np.zeros(len(w) + 1, bool)
+                known[self.held(n - 1, filters)[0]] = True
+                here = here[known[here] & known[here + 1]]
+            h = T.tuple_hash(w, here, n)
+            if n in filters:
+                keep = _holds(filters[n], h)
+                here, h = here[keep], h[keep]
+            self._held[n] = here, h
+        return self._held[n]
 
     def grams(self, n: int, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Owned n-grams that may be frequent: first word, hash and frequency."""
-        here, h = T.tuples(self.words, n)
+        here, h = self.held(n, filters)
         keep = self.own[here]
-        if n in filters:
-            keep &= _holds(filters[n], h)
-        elif n - 1 in filters:
-            at, shorter = T.tuples(self.words, n - 1)
-            known = np.zeros(len(self.words) + 1, bool)
-            known[at] = _holds(filters[n - 1], shorter)
-            keep &= known[here] & known[here + 1]
         return here[keep], h[keep], self.f[here[keep]]
 
+    def langs(self, at: np.ndarray) -> pa.Array:
+        return self.lang.dictionary.take(pa.array(np.asarray(self.lang.indices)[self.words.row[at]]))
+
+    def totals(self) -> pa.RecordBatch:
+        """All owned words of each lang, as n = 0."""
+        owned = np.bincount(np.asarray(self.lang.indices)[self.words.row], self.f * self.own, len(self.lang.dictionary))
+        return _rows(self.lang.dictionary, np.zeros(len(owned)), pa.array([""] * len(owned), pa.string()), owned)
+
+    def phrases(self, n: int, filters: dict[int, np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray]:
+        """Owned n-grams that may be frequent, as text, and their hashes."""
+        here, h, f = self.grams(n, filters)
+        key, first, which = np.unique(h, return_index=True, return_inverse=True)
+        at = here[first]
+        return _rows(self.langs(at), np.full(len(at), n), self.words.joined(at, at + n), np.bincount(which, f, len(at))), key
+
+    def runs(self, filters: dict[int, np.ndarray]) -> pa.RecordBatch:
+        """Longest runs of three words or more whose pairs all may be frequent, as n = -1 less the words at the end that are not owned."""
+        here, _ = self.held(2, filters)
+        new = np.ones(len(here) + 1, bool)
+        new[1:-1] = here[1:] != here[:-1] + 1
+        low, high = here[new[:-1]], here[new[1:]] + 2
+        until = self.until[self.words.row[low]]
+        keep = (high > low + 2) & (low < until)
+        low, high, until = low[keep], high[keep], until[keep]
+        return _rows(self.langs(low), np.minimum(until - high, 0) - 1, self.words.joined(low, high), self.f[low])
+
+
+def _rows(lang: pa.Array, n: np.ndarray, phrase: pa.Array, c: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([lang, pa.array(n.astype(np.int32)), phrase.cast(pa.string()), pa.array(c.astype(np.int64))], names=["lang", "n", "phrase", "c"])
+
+
+def _added(h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key, which = np.unique(h, return_inverse=True)
+    return key, np.bincount(which, f, len(key)).astype(np.int64)
+
 
 def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = T.mix(h, 92) >> np.uint64(64 - FILTER_BITS)
@@ -142,35 +195,66 @@ def _level(dictionary: DataFrame, n: int, filters: dict[int, np.ndarray], least:
     below = {k: v for k, v in filters.items() if k == n - 1}
 
     def run(batches):
+        some, size = [], 0
         for batch in batches:
             for part in T.pieces(batch, "chunk"):
-                _, h, f = _Chunks(part).grams(n, below)
-                key, which = np.unique(h, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(T.signed(key)), pa.array(np.bincount(which, f, len(key)).astype(np.int64))], names=["key", "c"])
+                some.append(_added(*_Chunks(part).grams(n, below)[1:]))
+                size += len(some[-1][0])
+                if size >= HELD:
+                    yield from passed(some)
+                    some, size = [], 0
+        if some:
+            yield from passed(some)
+
+    def passed(some):
+        key, c = _added(*(np.concatenate(x) for x in zip(*some)))
+        for low in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[low: low + (1 << 16)]) for x in (T.signed(key), c)], names=["key", "c"])
 
     return dictionary.mapInArrow(T.lean(run), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
 
 
-def _counts(dictionary: DataFrame, filters: dict[int, np.ndarray], least: int) -> DataFrame:
-    """Phrases (lang, n, phrase, c) of one to MOST words that stand at least so often, and all words of each lang as n = 0."""
-
+def _short(dictionary: DataFrame, filters: dict[int, np.ndarray], least: int) -> DataFrame:
+    """Words and pairs (lang, n, phrase, c) that stand at least so often, all words of each lang (n = 0) and the runs (n < 0)."""
     def run(batches):
         for batch in batches:
             for part in T.pieces(batch, "chunk"):
                 some = _Chunks(part)
-                owned = np.bincount(np.asarray(some.lang.indices)[some.words.row], some.f * some.own, len(some.lang.dictionary)).astype(np.int64)
-                out = [(some.lang.dictionary, np.zeros(len(owned), np.int32), pa.array([""] * len(owned), pa.string()), owned)]
+                yield some.totals()
+                if 2 in filters:
+                    yield some.runs(filters)
                 for n in filters:
-                    here, h, f = some.grams(n, filters)
-                    _, first, which = np.unique(h, return_index=True, return_inverse=True)
-                    at = here[first]
-                    rows = np.asarray(some.lang.indices)[some.words.row[at]]
-                    out.append((some.lang.dictionary.take(pa.array(rows)), np.full(len(at), n, np.int32), some.words.joined(at, at + n).cast(pa.string()),
-                                np.bincount(which, f, len(at)).astype(np.int64)))
-                for lang, n, phrase, c in out:
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(n), phrase, pa.array(c)], names=["lang", "n", "phrase", "c"])
+                    yield some.phrases(n, filters)[0]
 
-    return dictionary.mapInArrow(T.lean(run), "lang string, n int, phrase string, c long").groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c")).filter((F.col("n") == 0) | (F.col("c") >= least))
+    return dictionary.mapInArrow(T.lean(run), "lang string, n int, phrase string, c long").groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c")).filter((F.col("n") <= 0) | (F.col("c") >= least))
+
+
+def _longer(runs: DataFrame, n: int, filters: dict[int, np.ndarray], least: int) -> DataFrame:
+    """Phrases (lang, n, phrase, c) of n words that stand at least so often, with their hashes (key)."""
+    below = {k: v for k, v in filters.items() if k == n - 1}
+
+    def run(batches):
+        some, size = [], 0
+        for batch in batches:
+            for part in T.pieces(batch, "chunk"):
+                rows, key = _Chunks(part).phrases(n, below)
+                some.append((rows, key))
+                size += len(key)
+                if size >= HELD:
+                    yield from passed(some)
+                    some, size = [], 0
+        if some:
+            yield from passed(some)
+
+    def passed(some):
+        rows, key = pa.Table.from_batches([r for r, _ in some]), np.concatenate([k for _, k in some])
+        key, first, which = np.unique(key, return_index=True, return_inverse=True)
+        c = np.bincount(which, np.asarray(rows.column("c")), len(key)).astype(np.int64)
+        rows = rows.take(pa.array(first)).set_column(3, "c", pa.array(c)).append_column("key", pa.array(T.signed(key)))
+        yield from rows.to_batches(max_chunksize=1 << 16)
+
+    made = runs.mapInArrow(T.lean(run), "lang string, n int, phrase string, c long, key long")
+    return made.groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c"), F.first("key").alias("key")).filter(F.col("c") >= least)
 
 
 def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -178,11 +262,20 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     tune(docs.sparkSession)
     dictionary = kept(parse(docs), "chunks")
     filters: dict[int, np.ndarray] = {}
-    for n in range(1, MOST + 1):
+    for n in (1, 2):
         filters[n] = _filter(kept(_level(dictionary, n, filters, least), f"grams{n}"))
         if not filters[n].any():
             break
-    return kept(_counts(dictionary, filters, least), "phrases")
+    made = kept(_short(dictionary, filters, least), "phrases")
+    counts = made.filter("n >= 0")
+    runs = made.filter("n < 0").select("lang", F.col("phrase").alias("chunk"), F.col("c").alias("f"), (-1 - F.col("n")).alias("over"))
+    for n in range(3, MOST + 1):
+        if n - 1 not in filters or not filters[n - 1].any():
+            break
+        longer = kept(_longer(runs, n, filters, least), f"phrases{n}")
+        filters[n] = _filter(longer)
+        counts = counts.union(longer.drop("key"))
+    return counts
 
 
 def score(a: str, n: str, l: str, r: str):

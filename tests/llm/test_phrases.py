@@ -89,3 +89,31 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_nothing(spark, empty, awkward):
     assert phrases.collocations(empty).count() == 0
     assert sorted(tuple(r) for r in phrases.collocations(awkward, 3).collect()) == slow([(r.lang, r.text) for r in awkward.collect()], 3, 2000)
+
+
+def test_levels_after_pairs_read_runs_only(spark, monkeypatch):
+    """Longer phrases are counted in the distinct runs of frequent pairs, not in the whole dictionary again."""
+    read, longer = [], phrases._longer
+
+    def spy(runs, n, *more):
+        read.append((n, sorted((r.chunk, r.f, r.over) for r in runs.collect())))
+        return longer(runs, n, *more)
+
+    monkeypatch.setattr(phrases, "_longer", spy)
+    docs = spark.createDataFrame([("en", f"a b c d u{i}. v{i} x{i} y{i}, w{i} a b c") for i in range(6)], "lang string, text string")
+    got = {(r.n, r.phrase): r.c for r in phrases.frequent(docs, 6).collect()}
+    assert read == [(n, [("a b c", 6, 0), ("a b c d", 6, 0)]) for n in (3, 4, 5)]
+    assert got == {(0, ""): 72, (1, "a"): 12, (1, "b"): 12, (1, "c"): 12, (1, "d"): 6, (2, "a b"): 12, (2, "b c"): 12, (2, "c d"): 6, (3, "a b c"): 12, (3, "b c d"): 6, (4, "a b c d"): 6}
+
+
+def test_runs_end_where_their_chunk_owns_no_more(monkeypatch):
+    """A run says how many of its last words own nothing; together the runs own each long n-gram once."""
+    monkeypatch.setattr(phrases, "PERIOD", 2)
+    words = [f"w{i}" for i in range(60)]
+    table = phrases.chunks(pa.array([" ".join(words)]), pa.array(["en"])).combine_chunks()
+    assert table.num_rows > 3
+    every = phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, phrases.np.uint8)
+    runs = phrases._Chunks(table.to_batches()[0]).runs({2: every})
+    batch = pa.RecordBatch.from_arrays([runs["lang"], runs["phrase"], runs["c"], pa.array([-1 - n for n in runs["n"].to_pylist()])], names=["lang", "chunk", "f", "over"])
+    for n in (3, 4, 5):
+        assert sorted(phrases._Chunks(batch).phrases(n, {})[0]["phrase"].to_pylist()) == sorted(" ".join(words[i: i + n]) for i in range(61 - n))
