@@ -13,7 +13,9 @@ only if both its (n - 1)-grams may be frequent, which a bit filter of fixed size
 results). Words and pairs are searched by 64-bit hashes, then all phrases are counted as text, so two phrases are one only
 if their hashes collide inside one task. The pass that counts words and pairs also returns the runs of three words or more whose
 pairs all may be frequent, each distinct run once with its frequency; they hold every longer frequent phrase and stand in
-for the chunks from there on. Rows are summed up in every task and again after each shuffle; a frequent word or passage is
+for the chunks from there on. Each row of a pair also says how often a pair that may be frequent follows it and goes
+before it, in SIDES sums by the hash of the word this adds. A phrase of three words is as frequent as the sum it is part
+of at most, on either side, so it is counted only if both reach the threshold. Rows are summed up in every task and again after each shuffle; a frequent word or passage is
 a few rows a task.
 
 A candidate of n words is cut after its first k words; with a, l and r the counts of the whole, the first part and the
@@ -45,6 +47,11 @@ OVERLAP = MOST - 1
 PERIOD = 32
 #: Phrases as frequent as this are candidates, and so many are returned for each language.
 LEAST, TOP = 100, 2000
+#: Sums a pair has for the words after it, and as many for the words before it; two sums are 32 bits each of one column.
+SIDES = 16
+SUMS = [f"{side}{i}" for side in ("after", "before") for i in range(SIDES // 2)]
+#: A sum counts up to this from each batch, and reaches the threshold if it reaches this: no sum leaves its bits.
+ENOUGH = 1 << 12
 #: Distinct hashes a task holds to add up their counts before it passes them on.
 HELD = 1 << 20
 #: Totals of up to this many languages go to the tasks as they are: a few large languages would each be one task's work in a join by language.
@@ -115,7 +122,11 @@ class _Chunks:
         w.hash = T.mix(w.hash ^ T.mix(salt[np.asarray(self.lang.indices)], 90)[w.row], 91)
         self._held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def held(self, n: int, filters: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def side(self, at: np.ndarray) -> np.ndarray:
+        """Which of the SIDES sums of a pair beside them these words are part of."""
+        return (self.words.hash[at] % np.uint64(SIDES)).astype(np.int64)
+
+    def held(self, n: int, filters: dict[int | str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """n-grams that may be frequent, owned or not: first word and hash."""
         if n not in self._held:
             w = self.words
@@ -124,6 +135,13 @@ class _Chunks:
                 known = np.zeros(len(w) + 1, bool)
                 known[self.held(n - 1, filters)[0]] = True
                 here = here[known[here] & known[here + 1]]
+            if n == 3 and "near" in filters:
+                pair = np.zeros(len(w), np.uint64)
+                at, h = self.held(2, filters)
+                pair[at] = h
+                keep = _holds(filters["near"], _near(pair[here], self.side(here + 2)))
+                here = here[keep]
+                here = here[_holds(filters["near"], _near(pair[here + 1], SIDES + self.side(here)))]
             h = T.tuple_hash(w, here, n)
             if n in filters:
                 keep = _holds(filters[n], h)
@@ -152,6 +170,19 @@ class _Chunks:
         at = here[first]
         return _rows(self.langs(at), np.full(len(at), n), self.words.joined(at, at + n), np.bincount(which, f, len(at))), key
 
+    def pairs(self, filters: dict[int, np.ndarray]) -> pa.RecordBatch:
+        """Pairs that may be frequent, as text, and the sums of owned phrases of three words that begin or end with them, if these hold two such pairs."""
+        here, h = self.held(2, filters)
+        key, first, which = np.unique(h, return_index=True, return_inverse=True)
+        f = self.f[here] * self.own[here]
+        two = np.flatnonzero(here[1:] == here[:-1] + 1)
+        added = lambda at, words: np.bincount(which[at] * SIDES + self.side(words), f[two], len(key) * SIDES).reshape(-1, SIDES)
+        sums = np.minimum(np.hstack([added(two, here[two] + 2), added(two + 1, here[two])]), ENOUGH).astype(np.int64)
+        c = np.bincount(which, f, len(key))
+        keep = (c > 0) | sums.any(axis=1)
+        at = here[first[keep]]
+        return _wide(_rows(self.langs(at), np.full(len(at), 2), self.words.joined(at, at + 2), c[keep]), sums[keep, ::2] | sums[keep, 1::2] << 32)
+
     def runs(self, filters: dict[int, np.ndarray]) -> pa.RecordBatch:
         """Longest runs of three words or more whose pairs all may be frequent, as n = -1 less the words at the end that are not owned."""
         here, _ = self.held(2, filters)
@@ -168,6 +199,24 @@ def _rows(lang: pa.Array, n: np.ndarray, phrase: pa.Array, c: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([lang, pa.array(n.astype(np.int32)), phrase.cast(pa.string()), pa.array(c.astype(np.int64))], names=["lang", "n", "phrase", "c"])
 
 
+def _wide(rows: pa.RecordBatch, sums: np.ndarray | None = None) -> pa.RecordBatch:
+    """The rows with the sums of pairs; all others have 0."""
+    zero = pa.array(np.zeros(rows.num_rows, np.int64))
+    added = [zero] * len(SUMS) if sums is None else [pa.array(x) for x in np.ascontiguousarray(sums.T)]
+    return pa.RecordBatch.from_arrays([*rows.columns, *added], names=[*rows.schema.names, *SUMS])
+
+
+def _sums(rows: pa.RecordBatch) -> np.ndarray:
+    """The sums of pairs, one column each."""
+    both = np.column_stack([rows.column(rows.schema.get_field_index(x)) for x in SUMS]).astype(np.int64)
+    return np.stack([both & 0xFFFFFFFF, both >> 32], axis=2).reshape(len(both), 2 * len(SUMS))
+
+
+def _near(pair: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """A hash of a pair and the number of one of its sums."""
+    return T.mix(pair ^ T.mix(which, 93), 94)
+
+
 def _added(h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key, which = np.unique(h, return_inverse=True)
     return key, np.bincount(which, f, len(key)).astype(np.int64)
@@ -215,23 +264,36 @@ def _level(dictionary: DataFrame, n: int, filters: dict[int, np.ndarray], least:
 
 
 def _short(dictionary: DataFrame, filters: dict[int, np.ndarray], least: int) -> DataFrame:
-    """Words and pairs (lang, n, phrase, c) that stand at least so often, all words of each lang (n = 0) and the runs (n < 0)."""
+    """Words and pairs (lang, n, phrase, c, SUMS) that stand at least so often, all words of each lang (n = 0) and the runs (n < 0)."""
     def run(batches):
         for batch in batches:
             for part in T.pieces(batch, "chunk"):
                 some = _Chunks(part)
-                yield some.totals()
+                yield _wide(some.totals())
+                yield _wide(some.phrases(1, filters)[0])
                 if 2 in filters:
-                    yield some.runs(filters)
-                for n in filters:
-                    yield some.phrases(n, filters)[0]
+                    yield _wide(some.runs(filters))
+                    yield some.pairs(filters)
+
+    made = dictionary.mapInArrow(T.lean(run), ", ".join(["lang string, n int, phrase string, c long", *(f"{x} long" for x in SUMS)]))
+    return made.groupBy("lang", "n", "phrase").agg(*(F.sum(x).alias(x) for x in ["c", *SUMS])).filter((F.col("n") <= 0) | (F.col("c") >= least))
+
+
+def _sides(pairs: DataFrame, least: int) -> DataFrame:
+    """Hashes (key) of pairs with each of their sums that reaches the threshold."""
+    def run(batches):
+        for batch in batches:
+            for part in T.pieces(batch, "chunk"):
+                h = _Chunks(part).held(2, {})[1]  # one a row
+                row, which = np.nonzero(_sums(part) >= min(least, ENOUGH))
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(_near(h[row], which)))], names=["key"])
 
-    return dictionary.mapInArrow(T.lean(run), "lang string, n int, phrase string, c long").groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c")).filter((F.col("n") <= 0) | (F.col("c") >= least))
+    return pairs.select("lang", F.col("phrase").alias("chunk"), F.col("c").alias("f"), F.lit(0).alias("over"), *SUMS).mapInArrow(T.lean(run), "key long")
 
 
-def _longer(runs: DataFrame, n: int, filters: dict[int, np.ndarray], least: int) -> DataFrame:
+def _longer(runs: DataFrame, n: int, filters: dict[int | str, np.ndarray], least: int) -> DataFrame:
     """Phrases (lang, n, phrase, c) of n words that stand at least so often, with their hashes (key)."""
-    below = {k: v for k, v in filters.items() if k == n - 1}
+    below = {k: v for k, v in filters.items() if k == n - 1 or n == 3 and k == "near"}
 
     def run(batches):
         some, size = [], 0
@@ -261,13 +323,15 @@ def frequent(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Phrases (lang, n, phrase, c) of one to MOST words that stand at least ``least`` times, and all words of each lang as n = 0."""
     tune(docs.sparkSession)
     dictionary = kept(parse(docs), "chunks")
-    filters: dict[int, np.ndarray] = {}
+    filters: dict[int | str, np.ndarray] = {}
     for n in (1, 2):
         filters[n] = _filter(kept(_level(dictionary, n, filters, least), f"grams{n}"))
         if not filters[n].any():
             break
     made = kept(_short(dictionary, filters, least), "phrases")
-    counts = made.filter("n >= 0")
+    counts = made.filter("n >= 0").select("lang", "n", "phrase", "c")
+    if 2 in filters and filters[2].any():
+        filters["near"] = _filter(_sides(made.filter("n = 2"), least))
     runs = made.filter("n < 0").select("lang", F.col("phrase").alias("chunk"), F.col("c").alias("f"), (-1 - F.col("n")).alias("over"))
     for n in range(3, MOST + 1):
         if n - 1 not in filters or not filters[n - 1].any():

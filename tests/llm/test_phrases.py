@@ -117,3 +117,60 @@ def test_runs_end_where_their_chunk_owns_no_more(monkeypatch):
     batch = pa.RecordBatch.from_arrays([runs["lang"], runs["phrase"], runs["c"], pa.array([-1 - n for n in runs["n"].to_pylist()])], names=["lang", "chunk", "f", "over"])
     for n in (3, 4, 5):
         assert sorted(phrases._Chunks(batch).phrases(n, {})[0]["phrase"].to_pylist()) == sorted(" ".join(words[i: i + n]) for i in range(61 - n))
+
+
+def test_three_words_are_counted_where_pairs_around_them_allow(spark, monkeypatch):
+    """All pairs are frequent, and only one phrase of three words is: the others make no rows."""
+    made, phrases_of = [], phrases._Chunks.phrases
+
+    def spy(self, n, filters):
+        rows, key = phrases_of(self, n, filters)
+        made.extend(rows["phrase"].to_pylist())
+        return rows, key
+
+    docs = spark.createDataFrame([("en", f"a b{i} c{i}. b{i} c{i} d{j}, a b{i}! c{i} d{j}; x y z") for i in range(4) for j in range(3)], "lang string, text string")
+    counts = {(r.n, r.phrase): r.c for r in phrases.frequent(docs, 6).collect() if r.n > 1}
+    assert counts == {(2, f"a b{i}"): 6 for i in range(4)} | {(2, f"b{i} c{i}"): 6 for i in range(4)} | {(2, "x y"): 12, (2, "y z"): 12, (3, "x y z"): 12}
+
+    # the same rows by hand: every chunk in one batch, all pairs let through, sums as the pass over the dictionary makes them
+    every = phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, phrases.np.uint8)
+    table = phrases.chunks(pa.array([r.text for r in docs.collect()]), pa.array(["en"] * 12)).combine_chunks()
+    some = phrases._Chunks(table.to_batches()[0])
+    pairs = spark.createDataFrame(pa.Table.from_batches([some.pairs({2: every})]).to_pandas())
+    near = phrases._filter(phrases._sides(pairs, 6))
+    monkeypatch.setattr(phrases._Chunks, "phrases", spy)
+    some.phrases(3, {2: every})
+    assert len(made) == 4 + 12 + 1
+    made.clear()
+    phrases._Chunks(table.to_batches()[0]).phrases(3, {2: every, "near": near})
+    assert made == ["x y z"]
+
+
+@pytest.mark.parametrize("period", [1, 2, 32])
+def test_sums_of_pairs_hold_every_phrase_of_three_words(sf, monkeypatch, period):
+    """Wherever chunks end, a pair's sums add up to the phrases of three words that begin, and that end, with it."""
+    monkeypatch.setattr(phrases, "PERIOD", period)
+    texts = B.documents(sf).text.tolist()[:40] + [t for _, t in ROWS]
+    every = phrases.np.full(1 << (phrases.FILTER_BITS - 3), 255, phrases.np.uint8)
+    begin, end, seen = Counter(), Counter(), Counter()
+    for batch in phrases.chunks(pa.array(texts), pa.array(["en"] * len(texts))).to_batches():
+        rows = phrases._Chunks(batch).pairs({2: every})
+        for p, c, sums in zip(rows["phrase"].to_pylist(), rows["c"].to_pylist(), phrases._sums(rows).tolist(), strict=True):
+            seen[p] += c
+            begin[p] += sum(sums[: phrases.SIDES])
+            end[p] += sum(sums[phrases.SIDES:])
+    threes = Counter(tuple(w[i: i + 3]) for t in texts for w in pieces(t) for i in range(len(w) - 2))
+    assert seen == Counter(" ".join(w[i: i + 2]) for t in texts for w in pieces(t) for i in range(len(w) - 1))
+    want = Counter(), Counter()
+    for (a, b, d), c in threes.items():
+        want[0][f"{a} {b}"] += c
+        want[1][f"{b} {d}"] += c
+    assert (+begin, +end) == want
+
+
+def test_sums_that_are_large_keep_their_bits(spark):
+    """A pair that stands very often in a batch, and a threshold beyond what a sum counts."""
+    docs = spark.createDataFrame([("en", "a b c d. " * 6000 + "e f. g e f h")], "lang string, text string")
+    for least in (5000, 6000, 6001):
+        got = {(r.n, r.phrase): r.c for r in phrases.frequent(docs, least).collect() if r.n > 1}
+        assert got == ({} if least > 6000 else {(n, " ".join("abcd"[i: i + n])): 6000 for n in (2, 3, 4) for i in range(5 - n)})
